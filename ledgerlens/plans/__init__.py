@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, each with its DuckDB oracle."""
 
-from . import marts  # noqa: F401  (registers queries)
+from . import cleaning, marts  # noqa: F401  (registers queries)
 from .registry import ORACLE_SQL, QUERIES, register
 
 __all__ = ["QUERIES", "ORACLE_SQL", "register"]

@@ -54,6 +54,19 @@ def canonical(columns, rows):
     return cols, out
 
 
+_SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+                  "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+                  "timestamp": "TIMESTAMP WITH TIME ZONE", "float": "FLOAT", "smallint": "SMALLINT"}
+
+
+def spark_type_as_duck(t: str) -> str:
+    if t.startswith("decimal"):
+        return t.upper().replace(" ", "")
+    if t.startswith("array<"):
+        return spark_type_as_duck(t[6:-1]) + "[]"
+    return _SPARK_TO_DUCK.get(t, t.upper())
+
+
 def compare_one(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -67,14 +80,20 @@ def compare_one(spark, con, name, fn, sql, sf_dir):
     dc, dr = canonical(dcols, drows)
     ok = sc == dc and sr == dr
     detail = ""
+    stypes = {f.name: spark_type_as_duck(f.dataType.simpleString()) for f in sdf.schema.fields}
+    dtypes = {d[0]: str(d[1]).replace(" ", "") for d in res.description}
+    type_diff = {c: (stypes.get(c), dtypes.get(c)) for c in stypes
+                 if c in dtypes and stypes[c] != dtypes[c].upper()}
+    if type_diff:
+        detail += f" [type differences: {type_diff}]"
     if sc != dc:
-        detail = f"columns differ: spark={sc} duck={dc}"
+        detail += f"columns differ: spark={sc} duck={dc}"
     elif len(sr) != len(dr):
-        detail = f"row count spark={len(sr)} duck={len(dr)}"
+        detail += f"row count spark={len(sr)} duck={len(dr)}"
     elif sr != dr:
         diff_s = [r for r in sr if r not in set(dr)][:3]
         diff_d = [r for r in dr if r not in set(sr)][:3]
-        detail = f"values differ: spark-only={diff_s} duck-only={diff_d}"
+        detail += f"values differ: spark-only={diff_s} duck-only={diff_d}"
     return ok, len(sr), t_spark, detail
 
 
