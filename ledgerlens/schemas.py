@@ -136,3 +136,6 @@ GENERATOR_OUTPUT = T.StructType([
     T.StructField("type", T.StringType(), False),
     T.StructField("response", T.StringType(), True),
 ])
+
+# Stored types of defaulted organization columns.
+ORGANIZATION_DEFAULT_TYPES = {"max_users": "int", "max_rows": "bigint"}
