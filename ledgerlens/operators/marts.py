@@ -194,3 +194,70 @@ def refresh_months(stg: DataFrame, mart: DataFrame, since, org_id: str | None =
 def money_avg(amount: str = "amount", scale: int = 2) -> Column:
     """Exact ``round(avg(amount), scale)`` (re-exported for callers)."""
     return F.expr(scaled_quotient_sql(f"sum({amount})", f"count({amount})", scale))
+
+
+# Grouping sets of the four dashboard marts, keyed by mart name.
+MART_KEYS = ["category", "province", "txn_month", "txn_year", "status"]
+MART_SETS = {
+    "fct_revenue_by_category": ["category"],
+    "fct_revenue_by_province": ["province"],
+    "fct_monthly_revenue": ["txn_month", "txn_year"],
+    "fct_status_summary": ["status"],
+}
+
+
+def _gid(keys: list[str]) -> int:
+    """``grouping_id()`` of a grouping set over MART_KEYS (bit set = key rolled up)."""
+    n = len(MART_KEYS)
+    return sum(1 << (n - 1 - i) for i, k in enumerate(MART_KEYS) if k not in keys)
+
+
+def marts_one_pass(stg: DataFrame) -> DataFrame:
+    """The four marts' aggregates in ONE scan of staging (grouping sets).
+
+    Each input row is expanded once per grouping set and combined map-side,
+    so the shuffle carries aggregated rows only.  Completed-only measures are
+    conditional aggregates; the status mart uses the unconditional ones.  The
+    result has one row per group of every mart (a few hundred rows), which
+    :func:`split_marts` turns into the four mart frames."""
+    comp = "status = 'completed'"
+    return (stg.groupingSets([MART_SETS[m] for m in MART_SETS], *MART_KEYS)
+            .agg(F.grouping_id().alias("_gid"),
+                 F.count(F.lit(1)).alias("n_all"),
+                 F.expr("sum(amount)").alias("amt_all"),
+                 F.expr(f"count_if({comp})").alias("n_c"),
+                 F.expr(f"sum(CASE WHEN {comp} THEN amount END)").alias("amt_c"),
+                 F.expr(f"min(CASE WHEN {comp} THEN amount END)").alias("min_c"),
+                 F.expr(f"max(CASE WHEN {comp} THEN amount END)").alias("max_c"),
+                 F.expr(f"count(DISTINCT CASE WHEN {comp} THEN customer_ref END)").alias("cust_c"),
+                 F.expr(f"count(DISTINCT CASE WHEN {comp} THEN category END)").alias("cat_c")))
+
+
+def split_marts(combined: DataFrame) -> dict[str, DataFrame]:
+    """Mart frames from :func:`marts_one_pass` output (equal to the per-mart functions)."""
+    avg = F.expr(scaled_quotient_sql("amt_c", "n_c", 2)).alias("avg_transaction")
+    revenue = F.col("amt_c").cast("decimal(38,2)").alias("total_revenue")
+    done = F.col("n_c") > 0
+
+    def part(name):
+        return combined.where(F.col("_gid") == _gid(MART_SETS[name]))
+
+    monthly = (part("fct_monthly_revenue").where(done)
+               .select("txn_month", "txn_year", F.col("n_c").alias("total_transactions"), revenue, avg,
+                       F.col("cust_c").alias("unique_customers"), F.col("cat_c").alias("categories_active"))
+               .orderBy(F.col("txn_month").asc_nulls_last(), F.col("txn_year").asc_nulls_last()))
+    category = (part("fct_revenue_by_category").where(done)
+                .select("category", F.col("n_c").alias("total_transactions"), revenue, avg,
+                        F.col("min_c").cast("decimal(38,2)").alias("min_transaction"),
+                        F.col("max_c").cast("decimal(38,2)").alias("max_transaction"))
+                .orderBy(F.col("total_revenue").desc_nulls_first(), F.col("category").asc_nulls_last()))
+    province = (part("fct_revenue_by_province").where(done)
+                .select("province", F.col("n_c").alias("total_transactions"), revenue, avg,
+                        F.col("cust_c").alias("unique_customers"))
+                .orderBy(F.col("total_revenue").desc_nulls_first(), F.col("province").asc_nulls_last()))
+    status = pct_of_total(part("fct_status_summary").select(
+        "status", F.col("n_all").alias("total_transactions"),
+        F.col("amt_all").cast("decimal(38,2)").alias("total_amount")), "total_transactions")
+    status = status.orderBy(F.col("total_transactions").desc_nulls_first(), F.col("status").asc_nulls_last())
+    return {"fct_monthly_revenue": monthly, "fct_revenue_by_category": category,
+            "fct_revenue_by_province": province, "fct_status_summary": status}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import joins as JN
 from ..operators import tenancy as TN
 from ..schemas import ORGANIZATION_DEFAULT_TYPES, ORGANIZATION_DEFAULTS
 from ..functions.text import slugify
@@ -162,3 +163,30 @@ def q_cascade_purge(spark, sf_dir):
     tx = _tx(spark, sf_dir)
     purged = TN.quota_rows(FX.organizations(spark, sf_dir), tx).where("over_quota")
     return TN.purge_orgs(tx, purged, deleted_key="org_id")
+
+
+CUSTOMER_DIM_SQL = [
+    "cast(c_custkey as string) AS customer_id",
+    "n_name AS province",
+    FX.AGE_GROUP_SQL.replace("o_custkey", "c_custkey") + " AS age_group",
+    FX.ACCOUNT_TYPE_SQL.replace("o_custkey", "c_custkey") + " AS account_type",
+]
+
+
+@register("attach_customer", f"""
+WITH customers AS (SELECT {', '.join(CUSTOMER_DIM_SQL).replace('as string', 'AS VARCHAR')}
+                   FROM customer JOIN nation ON c_nationkey = n_nationkey),
+     raw AS (SELECT 'T' || cast(o_orderkey AS VARCHAR) AS transaction_id,
+                    cast(o_custkey AS VARCHAR) AS customer_id,
+                    cast(o_totalprice AS DECIMAL(15,2)) AS amount FROM orders)
+SELECT r.customer_id, r.transaction_id, r.amount, c.province, c.age_group, c.account_type
+FROM raw r JOIN customers c ON r.customer_id = c.customer_id""")
+def q_attach_customer(spark, sf_dir):
+    """JON-5: transactions denormalised with their customer's attributes."""
+    customer = read_parquet_table(spark, sf_dir, "customer")
+    nation = read_parquet_table(spark, sf_dir, "nation")
+    customers = customer.join(nation, customer.c_nationkey == nation.n_nationkey).selectExpr(*CUSTOMER_DIM_SQL)
+    raw = read_parquet_table(spark, sf_dir, "orders").selectExpr(
+        "concat('T', cast(o_orderkey as string)) AS transaction_id",
+        "cast(o_custkey as string) AS customer_id", "cast(o_totalprice as decimal(15,2)) AS amount")
+    return JN.attach_customer(raw, customers)
