@@ -34,7 +34,8 @@ def read_transactions_csv(spark: SparkSession, path: str, position_col: str = "s
     Missing-value tokens become null.  ``position_col`` is the file position
     (file path, block offset, row within the block): it orders rows exactly as
     they appear in the files and is what "keep the first copy" dedupes by."""
-    raw = spark.read.schema(CSV_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = (spark.read.schema(CSV_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     position = F.struct(F.col("_metadata.file_path").alias("file"),
                         F.col("_metadata.file_block_start").alias("block"),
                         F.monotonically_increasing_id().alias("row"))
@@ -49,9 +50,11 @@ def extract_summary(df: DataFrame) -> dict:
 
 
 def write_transactions_csv(df: DataFrame, path: str) -> None:
-    """SRC-5: header plus the 13 columns in their fixed order."""
+    """SRC-5: header plus the 13 columns in their fixed order; values are
+    written verbatim (the CSV writer would otherwise trim surrounding blanks)."""
     (df.select(*[F.col(c).cast("string").alias(c) for c in CSV_COLUMNS])
-     .write.mode("overwrite").option("header", True).csv(path))
+     .write.mode("overwrite").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 # ---------------------------------------------------------------------------

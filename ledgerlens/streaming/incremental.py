@@ -42,6 +42,11 @@ def process_batch(batch: DataFrame, batch_id: int, *, org_id: str, tx_path: str,
     """Clean, promote and refresh the touched months for one micro-batch."""
     spark = batch.sparkSession
     stamp = loaded_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    if "seq" not in batch.columns:
+        # File position inside the batch (row ids are not available on the stream itself).
+        batch = batch.select(F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"),
+                                      F.monotonically_increasing_id().alias("row")).alias("seq"),
+                             *CSV_COLUMNS)
     cleaned = clean_transactions(batch).withColumn("ingested_at", F.lit(stamp).cast("timestamp_ntz"))
     existing = spark.read.parquet(tx_path) if path_exists(spark, tx_path) else _empty_tenant_table(spark)
     promote(cleaned, org_id, existing).write.mode("append").parquet(tx_path)
@@ -59,10 +64,10 @@ def process_batch(batch: DataFrame, batch_id: int, *, org_id: str, tx_path: str,
 def start_incremental_ingest(spark: SparkSession, source_dir: str, tx_path: str, mart_path: str,
                              checkpoint: str, org_id: str, available_now: bool = True) -> StreamingQuery:
     """Start the incremental ingest stream; returns the running query."""
-    raw = (spark.readStream.schema(CSV_SCHEMA).option("header", True).csv(source_dir)
-           .select(F.struct(F.col("_metadata.file_path").alias("file"),
-                            F.col("_metadata.file_block_start").alias("block"),
-                            F.monotonically_increasing_id().alias("row")).alias("seq"),
+    raw = (spark.readStream.schema(CSV_SCHEMA).option("header", True)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(source_dir)
+           .select(F.col("_metadata.file_path").alias("_file"),
+                   F.col("_metadata.file_block_start").alias("_block"),
                    *[F.when(F.col(c).isin(*NULL_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c)
                      for c in CSV_COLUMNS]))
     writer = (raw.writeStream
