@@ -20,7 +20,8 @@ MONEY_TOTAL_SQL = "decimal(38,2)"
 
 def _round_div(num: str, den: str) -> str:
     """Integer quotient ``num / den`` rounded half away from zero (den > 0)."""
-    return f"(sign({num}) * ((2 * abs({num}) + ({den})) div (2 * ({den}))))"
+    q = f"((2 * abs({num}) + ({den})) div (2 * ({den})))"
+    return f"(CASE WHEN {num} < 0 THEN -{q} ELSE {q} END)"
 
 
 def scaled_quotient_sql(dividend: str, divisor: str, scale: int = 2,

@@ -7,17 +7,16 @@ non-positive amounts → status whitelist → strip seven text columns.  A bad
 first copy therefore hides a good second copy, and ``' completed '`` is
 dropped before it could be stripped.
 
-Scale: the only shuffle is the dedupe, written as a grouped ``min`` over a
-struct that leads with the file position.  That aggregation is combined
-map-side, so a key repeated a billion times leaves each input partition as a
-single row; a window ``row_number`` would instead send every copy of a hot
-key to one task.  The row counts of the cleaning report ride along in the same
-aggregation, so the report costs no extra pass.
+Scale: the only shuffle is the dedupe.  It is a first-row-per-key window that
+Spark limits map-side (partial ``WindowGroupLimit``), so a key repeated a
+billion times leaves each input partition as a single row.  The cleaning
+report uses the grouped form (``min`` over a struct that leads with the file
+position, plus a row count), so its counts come from the same single pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_lenient
@@ -56,10 +55,20 @@ def _dedupe_with_counts(df: DataFrame, keys: list[str], order: list[str]) -> Dat
 
 def dedupe_first(df: DataFrame, keys: list[str] | str = "transaction_id",
                  order: list[str] | str = "seq") -> DataFrame:
-    """CLN-2: keep the first row per key in ``order``; null keys are equal."""
+    """CLN-2: keep the first row per key in ``order``; null keys are equal.
+
+    ``row_number() = 1`` over the key is planned with a partial
+    ``WindowGroupLimit`` before the shuffle: every input partition keeps only
+    its first row per key, so a key repeated in a third of all rows still
+    sends at most one row per partition.  Ties in ``order`` are broken by the
+    remaining columns in schema order (nulls first), which makes the pick
+    deterministic and equal to the grouped form used by the cleaning report."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
-    return _dedupe_with_counts(df, keys, order).select(*df.columns)
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order + rest])
+    return df.withColumn("_first_rank", F.row_number().over(w)).where(F.col("_first_rank") == 1) \
+        .drop("_first_rank")
 
 
 def cast_amount(col: Column | str) -> Column:
@@ -116,7 +125,7 @@ def clean_transactions(raw: DataFrame, order_col: str = "seq", key: str = "trans
     and ``order_col``.  With ``normalize_first=True`` values are stripped
     before the status whitelist (the behaviour the comments promise but the
     ingest code does not do)."""
-    deduped = _dedupe_with_counts(raw, [key], [order_col])
+    deduped = dedupe_first(raw, [key], [order_col])
     if normalize_first:
         deduped = trim_columns(deduped)
     typed = _typed(deduped)

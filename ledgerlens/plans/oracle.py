@@ -160,7 +160,8 @@ def with_ctes(*ctes: str) -> str:
 
 def d_round_div(num: str, den: str) -> str:
     """Integer ``num / den`` rounded half away from zero (den > 0)."""
-    return f"(sign({num}) * ((2 * abs({num}) + ({den})) // (2 * ({den}))))"
+    q = f"((2 * abs({num}) + ({den})) // (2 * ({den})))"
+    return f"(CASE WHEN {num} < 0 THEN -{q} ELSE {q} END)"
 
 
 def d_quotient(dividend: str, divisor: str, scale: int = 2) -> str:

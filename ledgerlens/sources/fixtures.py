@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
-from .tables import read_parquet_table
+from .tables import read_parquet_table, spread_scan
 
 # Derivation rules of the fixtures.  Shared with the DuckDB oracle text in
 # ledgerlens.plans.oracle, which restates them in DuckDB syntax.
@@ -35,16 +35,20 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet_table(spark, sf_dir, name)
 
 
-def _customer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders ⋈ customer ⋈ nation, joined fact-first.
+
+    Joining the fact to each dimension in turn keeps every dimension a plain
+    scan, whose size the planner knows from its files: the nation side is
+    always broadcast, the customer side only while it is small (at scale it is
+    a shuffle join on the customer key).  Joining the two dimensions first
+    would make the planner estimate their join as the product of both sizes
+    and broadcast the fact table instead."""
+    orders = spread_scan(_t(spark, sf_dir, "orders"), "o_orderkey")
     customer = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    return customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-
-
-def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _t(spark, sf_dir, "orders")
-    places = _customer_places(spark, sf_dir)
-    return orders.join(places, orders.o_custkey == places.c_custkey)
+    return (orders.join(customer, orders.o_custkey == customer.c_custkey)
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
 
 
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +108,8 @@ def raw_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tx_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-level transactions (FIXTURES §2.3); ``transaction_id`` repeats."""
-    lineitem = _t(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    lineitem = spread_scan(_t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_type")
     supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     rows = (lineitem
@@ -134,7 +138,7 @@ def tx_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored insights (``ai_insights``) from the events table."""
-    return _t(spark, sf_dir, "events").selectExpr(
+    return spread_scan(_t(spark, sf_dir, "events"), "event_id").selectExpr(
         "cast(event_id as string) AS id",
         "cast(user_id as string) AS org_id",
         "cast(NULL as string) AS run_id",

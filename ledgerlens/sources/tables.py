@@ -29,3 +29,18 @@ def read_table(spark: SparkSession, name: str, base_dir: str | None = None,
     if base_dir is None:
         return spark.table(name)
     return spark.read.options(**(options or {})).format(fmt).load(os.path.join(base_dir, f"{name}.{fmt}"))
+
+
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a fact scan at least the session's default parallelism.
+
+    A table stored as one small file with a single row group scans as ONE
+    task, and everything before the first shuffle (joins to broadcast
+    dimensions, projections, partial aggregation) then runs on one core.  In
+    that case the scan is hash-partitioned on ``keys`` across the cores.  A
+    large table already has far more splits than cores, so this is a no-op on
+    a cluster and never adds a shuffle of big data."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys)
