@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import insights as IN
-from ..operators import tenancy as TN
 from ..schemas import (CONTEXT_MONTHS, DEFAULT_INSIGHT_TYPE, INSIGHT_PROMPTS, INSIGHT_TYPES,
                        LATEST_INSIGHTS, PLACEHOLDER_CONTENT, PLACEHOLDER_TITLE)
 from ..sources import fixtures as FX

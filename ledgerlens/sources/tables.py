@@ -40,7 +40,9 @@ def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
     that case the scan is hash-partitioned on ``keys`` across the cores.  A
     large table already has far more splits than cores, so this is a no-op on
     a cluster and never adds a shuffle of big data."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:      # sessions without RDD access: leave the scan as it is
         return df
-    return df.repartition(target, *keys)
+    return df if splits >= target else df.repartition(target, *keys)
