@@ -42,7 +42,7 @@ DEFAULT_INSIGHT_TYPE = "summary"
 
 # Placeholder written when no text generator is configured.
 PLACEHOLDER_TITLE = "AI insights unavailable"
-PLACEHOLDER_CONTENT = "Set ANTHROPIC_API_KEY to enable AI-generated insights."
+PLACEHOLDER_CONTENT = "Configure a text generator to enable AI-generated insights."
 
 # Context text layout.
 CONTEXT_MONTH_HEADER = "Monthly revenue data:\n"
