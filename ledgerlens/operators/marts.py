@@ -256,3 +256,20 @@ def split_marts(combined: DataFrame) -> dict[str, DataFrame]:
     status = status.orderBy(F.col("total_transactions").desc_nulls_first(), F.col("status").asc_nulls_last())
     return {"fct_monthly_revenue": monthly, "fct_revenue_by_category": category,
             "fct_revenue_by_province": province, "fct_status_summary": status}
+
+
+def stack_marts(combined: DataFrame) -> DataFrame:
+    """The four marts of :func:`marts_one_pass` as ONE frame tagged by ``model``
+    (mart name); columns a mart lacks are null.  Rows and values equal
+    :func:`split_marts`, but every mart is read from the same single plan
+    branch, so consumers that test all marts run the pass once."""
+    gid_to_model = F.create_map(*[x for name, keys in MART_SETS.items()
+                                  for x in (F.lit(_gid(keys)), F.lit(name))])
+    model = gid_to_model[F.col("_gid")]
+    status_mart = model == F.lit("fct_status_summary")
+    return (combined
+            .where(status_mart | (F.col("n_c") > 0))
+            .select(model.alias("model"), *MART_KEYS,
+                    F.when(status_mart, F.col("n_all")).otherwise(F.col("n_c")).alias("total_transactions"),
+                    F.when(~status_mart, F.col("amt_c").cast("decimal(38,2)")).alias("total_revenue"),
+                    F.when(status_mart, F.col("amt_all").cast("decimal(38,2)")).alias("total_amount")))

@@ -8,10 +8,11 @@ Test semantics follow the usual column-test conventions:
   the list (null passes);
 * rules — a row count equal to an expectation, a revenue above a floor.
 
-``run_tests`` fuses all ``not_null`` and ``accepted_values`` tests of a table
-into one aggregation pass; each ``unique`` test is one grouped count (a
-map-side-combined shuffle on the tested column).  The report is a DataFrame;
-:func:`enforce` is the action that raises when an error-severity test fails.
+``run_tests`` fuses all ``not_null`` and ``accepted_values`` tests of a table,
+and any aggregate rules on it (:class:`AggRule`), into one aggregation pass;
+each ``unique`` test is one grouped count (a map-side-combined shuffle on the
+tested column).  The report is a DataFrame; :func:`enforce` is the action that
+raises when an error-severity test fails.
 """
 
 from __future__ import annotations
@@ -68,6 +69,37 @@ SOURCE_TESTS = [
 ALL_COLUMN_TESTS = MART_TESTS + SOURCE_TESTS
 
 
+@dataclass(frozen=True)
+class AggRule:
+    """A table-level rule stated as one aggregate over a model.
+
+    ``failures`` is SQL aggregate text that yields 0 when the rule holds.  It
+    is evaluated inside the model's fused test pass, so a rule costs no scan of
+    its own.  ``label`` is the model name shown in the report (defaults to
+    ``model``), for rules computed from a model derived from the labelled one."""
+    model: str
+    name: str
+    failures: str
+    severity: str = "warn"
+    label: str | None = None
+
+
+def row_count_check(model: str, expected: int, severity: str = "warn") -> AggRule:
+    """QLT-5 as a fusable rule: the row count must equal ``expected``."""
+    return AggRule(model, "row_count", f"CASE WHEN count(1) = {int(expected)} THEN 0 ELSE 1 END", severity)
+
+
+def revenue_floor_check(model: str, floor: int | Decimal, where: str = "status = 'completed'",
+                        severity: str = "warn", label: str | None = None) -> AggRule:
+    """QLT-6 as a fusable rule: ``sum(amount)`` over the rows of ``model`` that
+    satisfy ``where`` must exceed ``floor``.  With ``where`` set to the staging
+    predicate and the completed status, the rule checks the completed staging
+    revenue inside a pass over the source table."""
+    lit = f"CAST('{Decimal(str(floor))}' AS DECIMAL(38,2))"
+    total = f"coalesce(sum(CASE WHEN {where} THEN amount END), 0)"
+    return AggRule(model, "revenue_floor", f"CASE WHEN {total} > {lit} THEN 0 ELSE 1 END", severity, label)
+
+
 def not_null(df: DataFrame, col: str) -> DataFrame:
     """QLT-1: the failing rows."""
     return df.where(F.col(col).isNull())
@@ -111,8 +143,10 @@ def revenue_floor_rule(df: DataFrame, floor: int | Decimal, severity: str = "war
                     F.lit(severity).alias("severity")))
 
 
-def _fused_counts(model: str, df: DataFrame, tests: list[ColumnTest]) -> DataFrame | None:
-    """not_null and accepted_values tests of one model, in one aggregation."""
+def _fused_counts(model: str, df: DataFrame, tests: list[ColumnTest],
+                  rules: list[AggRule] = ()) -> DataFrame | None:
+    """not_null and accepted_values tests and aggregate rules of one model,
+    in one aggregation (one scan of the model)."""
     exprs, labels = [], []
     for i, t in enumerate(tests):
         if t.test == "not_null":
@@ -122,27 +156,34 @@ def _fused_counts(model: str, df: DataFrame, tests: list[ColumnTest]) -> DataFra
             exprs.append(F.count_distinct(bad).alias(f"t{i}"))
         else:
             continue
-        labels.append((f"t{i}", t))
+        labels.append((f"t{i}", model, F.lit(t.column), t.test, t.severity))
+    for j, r in enumerate(rules):
+        exprs.append(F.expr(r.failures).alias(f"r{j}"))
+        labels.append((f"r{j}", r.label or r.model, F.lit(None).cast("string"), r.name, r.severity))
     if not exprs:
         return None
     wide = df.agg(*exprs)
-    rows = F.array(*[F.struct(F.lit(t.column).alias("column_name"), F.lit(t.test).alias("test"),
-                              F.col(name).cast("bigint").alias("failures"),
-                              F.lit(t.severity).alias("severity"))
-                     for name, t in labels])
-    return (wide.select(F.inline(rows))
-            .select(F.lit(model).alias("model"), "column_name", "test", "failures", "severity"))
+    rows = F.array(*[F.struct(F.lit(label).alias("model"), column.alias("column_name"),
+                              F.lit(test).alias("test"), F.col(name).cast("bigint").alias("failures"),
+                              F.lit(severity).alias("severity"))
+                     for name, label, column, test, severity in labels])
+    return wide.select(F.inline(rows)).select("model", "column_name", "test", "failures", "severity")
 
 
 def run_tests(models: dict[str, DataFrame], tests: list[ColumnTest],
-              rules: list[DataFrame] | None = None) -> DataFrame:
+              rules: list[DataFrame | AggRule] | None = None) -> DataFrame:
     """QLT-7: one report row per (model, column, test) with failures,
-    severity and pass flag; ``rules`` are extra one-row rule results shaped
-    like the report (see :func:`rule_rows`)."""
+    severity and pass flag.  ``rules`` are :class:`AggRule` objects, fused into
+    their model's test pass, or extra one-row rule results shaped like the
+    report (see :func:`rule_rows`)."""
+    agg_rules = [r for r in rules or [] if isinstance(r, AggRule)]
+    unknown = {r.model for r in agg_rules} - set(models)
+    if unknown:
+        raise ValueError(f"rules name models that are not given: {sorted(unknown)}")
     parts = []
     for model, df in models.items():
         mine = [t for t in tests if t.model == model]
-        fused = _fused_counts(model, df, mine)
+        fused = _fused_counts(model, df, mine, [r for r in agg_rules if r.model == model])
         if fused is not None:
             parts.append(fused)
         for t in mine:
@@ -151,13 +192,52 @@ def run_tests(models: dict[str, DataFrame], tests: list[ColumnTest],
                 parts.append(failing.select(F.lit(model).alias("model"), F.lit(t.column).alias("column_name"),
                                             F.lit("unique").alias("test"), "failures",
                                             F.lit(t.severity).alias("severity")))
-    parts.extend(rules or [])
+    parts.extend(r for r in rules or [] if not isinstance(r, AggRule))
     report = parts[0]
     for p in parts[1:]:
         report = report.unionByName(p)
     return report.withColumn("passed", F.col("failures") == 0)
 
 
+def run_tests_stacked(stacked: DataFrame, tests: list[ColumnTest], model_col: str = "model") -> DataFrame:
+    """QLT-7 for several SMALL models held in one frame (a ``model`` column
+    tags each row; columns a model lacks are null), e.g. the marts of one
+    grouping-sets pass.
+
+    Every tested cell becomes a (model, column, value) row, and one grouped
+    count per distinct value feeds a single aggregation that yields all test
+    results.  The stacked frame is read by one branch of the plan, so the
+    pass that produced it runs once.  Values compare by their text form (one
+    type per column, so equal text means equal values)."""
+    pairs = sorted({(t.model, t.column) for t in tests})
+    cells = F.array(*[F.when(F.col(model_col) == F.lit(m),
+                             F.struct(F.lit(m).alias("model"), F.lit(c).alias("column_name"),
+                                      F.col(c).cast("string").alias("value")))
+                      for m, c in pairs])
+    counts = (stacked.select(F.explode(cells).alias("cell")).where(F.col("cell").isNotNull())
+              .select("cell.*").groupBy("model", "column_name", "value")
+              .agg(F.count(F.lit(1)).alias("n")))
+    exprs = []
+    for i, t in enumerate(tests):
+        mine = (F.col("model") == t.model) & (F.col("column_name") == t.column)
+        value = F.col("value")
+        if t.test == "not_null":
+            failures = F.sum(F.when(mine & value.isNull(), F.col("n")))
+        elif t.test == "unique":
+            failures = F.count_if(mine & value.isNotNull() & (F.col("n") > 1))
+        elif t.test == "accepted_values":
+            failures = F.count_if(mine & value.isNotNull() & ~value.isin(*[str(v) for v in t.values]))
+        else:
+            raise ValueError(f"unknown test {t.test!r}")
+        exprs.append(F.coalesce(failures, F.lit(0)).cast("bigint").alias(f"t{i}"))
+    rows = F.array(*[F.struct(F.lit(t.model).alias("model"), F.lit(t.column).alias("column_name"),
+                              F.lit(t.test).alias("test"), F.col(f"t{i}").alias("failures"),
+                              F.lit(t.severity).alias("severity"))
+                     for i, t in enumerate(tests)])
+    return (counts.agg(*exprs).select(F.inline(rows))
+            .withColumn("passed", F.col("failures") == 0))
+
+
 def rule_rows(model: str, name: str, rule: DataFrame) -> DataFrame:
     """Shape a one-row rule result (with ``passed`` and ``severity``) as report rows."""
     return rule.select(F.lit(model).alias("model"), F.lit(None).cast("string").alias("column_name"),

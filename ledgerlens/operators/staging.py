@@ -35,6 +35,13 @@ STAGING_COLUMNS = [
 ]
 
 
+def staged_predicate_sql() -> str:
+    """SQL text of the staging row filter (PRJ-2 and PRJ-3 together), for
+    aggregates that evaluate a staging measure inside a pass over the source."""
+    statuses = ", ".join(f"'{s}'" for s in VALID_STATUSES)
+    return f"(amount > 0 AND status IN ({statuses}))"
+
+
 def filter_positive(df: DataFrame, amount: str = "amount") -> DataFrame:
     """PRJ-2: keep ``amount > 0``; a null amount is dropped."""
     return df.where(F.col(amount) > 0)

@@ -205,3 +205,35 @@ def test_one_pass_marts_equal_individual(spark, sf_dir):
         ref = getattr(M, name)(stg)
         assert df.columns == ref.columns
         assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
+
+
+def test_stacked_marts_equal_split(spark, sf_dir):
+    from ledgerlens.sources import fixtures as FX
+    combined = M.marts_one_pass(S.stg_transactions(FX.tx(spark, sf_dir)))
+    stacked = M.stack_marts(combined)
+    for name, df in M.split_marts(combined).items():
+        keep = [c for c in df.columns if c in stacked.columns]
+        mine = stacked.where(F.col("model") == name).select(*keep)
+        assert sorted(map(tuple, mine.collect()), key=str) == \
+            sorted(map(tuple, df.select(*keep).collect()), key=str)
+
+
+def test_stacked_tests_equal_per_model(spark):
+    from ledgerlens.operators import quality as Q
+    a = spark.createDataFrame([("x", "completed"), ("x", "REFUNDED"), (None, None), ("y", "REFUNDED")],
+                              "k string, status string")
+    b = spark.createDataFrame([("2025-01", 1), ("2025-01", 2), ("2025-02", 3)], "k string, n int")
+    empty = spark.createDataFrame([], "k string, status string")
+    tests = [Q.ColumnTest("a", "k", "not_null"), Q.ColumnTest("a", "k", "unique"),
+             Q.ColumnTest("a", "status", "accepted_values", ("completed", "pending", "failed")),
+             Q.ColumnTest("b", "k", "unique"), Q.ColumnTest("b", "k", "not_null"),
+             Q.ColumnTest("e", "k", "unique"), Q.ColumnTest("e", "k", "not_null")]
+    stacked = (a.withColumn("model", F.lit("a"))
+               .unionByName(b.withColumn("model", F.lit("b")), allowMissingColumns=True)
+               .unionByName(empty.withColumn("model", F.lit("e")), allowMissingColumns=True))
+    got = {(r.model, r.column_name, r.test): (r.failures, r.passed)
+           for r in Q.run_tests_stacked(stacked, tests).collect()}
+    ref = {(r.model, r.column_name, r.test): (r.failures, r.passed)
+           for r in Q.run_tests({"a": a, "b": b, "e": empty}, tests).collect()}
+    assert got == ref
+    assert got[("b", "k", "unique")] == (1, False) and got[("e", "k", "not_null")] == (0, True)
