@@ -20,8 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import exact_avg, money, money_sum, share_pct_sql, scaled_quotient_sql
+from .joins import join_dimension
 from .staging import fct_revenue, for_tenant
 
+# Most (month, year) keys an incremental refresh ships whole to every task:
+# more than 8,000 years of months.
+TOUCHED_MAX_ROWS = 100_000
+
 
 def _scoped(stg: DataFrame, org_id: str | None) -> DataFrame:
     """Marts ignore tenants unless asked; ``org_id`` scopes them to one."""
@@ -167,15 +172,18 @@ def failure_rate(stg: DataFrame, threshold_pct: Decimal | float | str = Decimal(
             .orderBy(F.col("txn_month").asc_nulls_last()))
 
 
-def refresh_months(stg: DataFrame, mart: DataFrame, since, org_id: str | None = None) -> DataFrame:
+def refresh_months(stg: DataFrame, mart: DataFrame, since, org_id: str | None = None,
+                   max_touched: int = TOUCHED_MAX_ROWS) -> DataFrame:
     """AGG-17: incremental refresh of the monthly mart.
 
     Only (month, year) groups touched by rows loaded after ``since`` are
     recomputed; the other groups are kept from ``mart``.  The touched-key set
-    has at most one row per calendar month, so the semi and anti joins on it
-    are joins against a tiny side (the planner broadcasts it after checking
-    its size at runtime).  Keys compare null-safe, because a null month is a
-    group of its own.  The result equals a full rebuild.
+    has one row per calendar month present in the new rows; after a bounded
+    count proves it holds at most ``max_touched`` rows it is broadcast, so the
+    semi join that selects the rows to recompute never shuffles the fact table
+    (a month holding a third of all rows would otherwise be one task).  Keys
+    compare null-safe, because a null month is a group of its own.  The
+    result equals a full rebuild.
     """
     since_ts = F.lit(since).cast("timestamp_ntz")
     scoped = _scoped(stg, org_id)
@@ -184,9 +192,9 @@ def refresh_months(stg: DataFrame, mart: DataFrame, since, org_id: str | None =
                .withColumnRenamed("txn_month", "_m").withColumnRenamed("txn_year", "_y"))
     on_keys = lambda left: (left.txn_month.eqNullSafe(touched._m) &
                             left.txn_year.eqNullSafe(touched._y))
-    recompute_src = scoped.join(touched, on_keys(scoped), "left_semi")
+    recompute_src = join_dimension(scoped, touched, on_keys(scoped), "left_semi", max_touched)
     fresh = fct_monthly_revenue(recompute_src)
-    kept = mart.join(touched, on_keys(mart), "left_anti")
+    kept = join_dimension(mart, touched, on_keys(mart), "left_anti", max_touched)
     return (kept.unionByName(fresh)
             .orderBy(F.col("txn_month").asc_nulls_last(), F.col("txn_year").asc_nulls_last()))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import exact_avg, money_sum
 from ..schemas import CONTEXT_MONTHS
+from .joins import BROADCAST_MAX_ROWS, join_dimension
 from .staging import active, for_tenant
 
 
@@ -139,16 +140,26 @@ def quota_users(orgs: DataFrame, memberships: DataFrame) -> DataFrame:
                     (F.coalesce("users_used", F.lit(0)) > F.col("max_users")).alias("over_quota")))
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None) -> DataFrame:
-    """JON-3: child rows whose non-null key has no parent row."""
+def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None,
+            max_parents: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """JON-3: child rows whose non-null key has no parent row.
+
+    A parent table proven to hold at most ``max_parents`` keys is broadcast,
+    so the child is never shuffled; a larger one is a shuffle join, where AQE
+    splits a child key that holds a third of all rows."""
     parent_key = parent_key or child_key
     parents = parent.select(F.col(parent_key).alias("_parent_key")).where(F.col("_parent_key").isNotNull())
-    return (child.where(F.col(child_key).isNotNull())
-            .join(parents, F.col(child_key) == F.col("_parent_key"), "left_anti"))
+    return join_dimension(child.where(F.col(child_key).isNotNull()), parents,
+                          F.col(child_key) == F.col("_parent_key"), "left_anti", max_parents)
 
 
 def purge_orgs(child: DataFrame, deleted_orgs: DataFrame, org_col: str = "org_id",
-               deleted_key: str = "id") -> DataFrame:
-    """JON-4: drop the child rows of deleted orgs (``ON DELETE CASCADE``)."""
+               deleted_key: str = "id", max_orgs: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """JON-4: drop the child rows of deleted orgs (``ON DELETE CASCADE``).
+
+    The deleted orgs are often computed (e.g. from a quota aggregate), so the
+    planner cannot size them; after a bounded count proves at most
+    ``max_orgs`` keys they are broadcast, and the child table, in which one
+    org may own a third of all rows, is filtered in place without a shuffle."""
     gone = deleted_orgs.select(F.col(deleted_key).alias("_gone"))
-    return child.join(gone, F.col(org_col) == F.col("_gone"), "left_anti")
+    return join_dimension(child, gone, F.col(org_col) == F.col("_gone"), "left_anti", max_orgs)

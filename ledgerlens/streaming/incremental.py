@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import clean_transactions
-from ..operators.marts import fct_monthly_revenue
+from ..operators.joins import join_dimension
+from ..operators.marts import TOUCHED_MAX_ROWS, fct_monthly_revenue
 from ..operators.staging import stg_transactions
 from ..operators.tenancy import promote
 from ..schemas import CSV_COLUMNS, CSV_SCHEMA, TRANSACTIONS
@@ -54,9 +55,12 @@ def process_batch(batch: DataFrame, batch_id: int, *, org_id: str, tx_path: str,
     # The months this batch touches come from the batch itself, not from the
     # load stamp: a replayed batch whose rows an earlier attempt already
     # appended (and so are skipped by promote) still refreshes their months.
+    # The touched set is size-checked and broadcast, so selecting the rows of
+    # those months never shuffles the tenant table.
     touched = cleaned.select("txn_month").distinct()
     stg = stg_transactions(spark.read.parquet(tx_path).where(F.col("org_id") == org_id))
-    fresh = fct_monthly_revenue(stg.join(touched, stg.txn_month.eqNullSafe(touched.txn_month), "left_semi"))
+    fresh = fct_monthly_revenue(join_dimension(stg, touched, stg.txn_month.eqNullSafe(touched.txn_month),
+                                               "left_semi", TOUCHED_MAX_ROWS))
     (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("txn_month").parquet(mart_path))
 
