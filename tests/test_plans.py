@@ -35,3 +35,17 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir, scratch):
                    "EqualTo(status,completed)"]:
         assert pushed in plan
     assert "ReadSchema: struct<category:string,amount:decimal(15,2),status:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["incremental_monthly", "cascade_purge", "relationships"])
+def test_small_key_sets_are_broadcast(spark, sf_dir, name):
+    """Touched months, purged orgs and parent keys are size-checked and
+    broadcast, so the fact side is never shuffled on month or org."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan, plan
+
+
+def test_quality_report_reads_the_fact_three_times(spark, sf_dir):
+    """Marts (one grouping-sets pass), fused source checks, and the unique id test."""
+    plan = QUERIES["dq_report"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") == 3, plan
