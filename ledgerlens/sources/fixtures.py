@@ -112,8 +112,11 @@ def tx_line(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_type")
     supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    # Two fact tables: a sort-merge join on the order key (it spills, and the
+    # hash-partitioned scans already satisfy its distribution).  Left to file
+    # statistics, a small lineitem file would be broadcast whole instead.
     rows = (lineitem
-            .join(_order_rows(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(_order_rows(spark, sf_dir).hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey")))
     return rows.selectExpr(
