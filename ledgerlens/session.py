@@ -26,10 +26,52 @@ JOB_CONF = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings ledgerlens depends on to an existing session."""
+MB = 1 << 20
+
+
+def sizing_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * MB,
+                max_partitions: int = 200_000) -> dict[str, str]:
+    """Shuffle and scan sizing for a job that reads ``input_bytes`` on a
+    cluster with ``total_cores`` task slots.
+
+    The widest shuffle in this library (dedupe, promote, the unique-id test)
+    carries about the projected input, so the initial shuffle partition count
+    is ``input_bytes / partition_bytes``, at least three tasks per core, and
+    at most ``max_partitions``.  AQE then coalesces the many small partitions
+    of the aggregating stages up to the advisory size and splits skewed join
+    partitions.  Scan splits use the same size, so a task's input and its
+    shuffle output both fit the executor memory share of one core.
+
+    Example: 100 TB on 1,000 executors x 8 cores asks for about 373,000
+    partitions and gets the cap of 200,000, so each holds about 500 MB of
+    input before column pruning (a projected column subset is far less);
+    small stages coalesce back towards 256 MB."""
+    wanted = -(-int(input_bytes) // int(partition_bytes))
+    partitions = max(3 * int(total_cores), min(wanted, int(max_partitions)))
+    size = f"{int(partition_bytes) // MB}m"
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * int(partition_bytes) // MB}m",
+        "spark.sql.files.maxPartitionBytes": size,
+    }
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None,
+              total_cores: int | None = None) -> SparkSession:
+    """Apply the runtime settings ledgerlens depends on to an existing session.
+
+    With ``input_bytes`` (and optionally ``total_cores``; default: the
+    session's default parallelism) the shuffle and scan sizing of
+    :func:`sizing_conf` is applied as well.  Without it partition counts are
+    left as the cluster configured them."""
     for key, value in JOB_CONF.items():
         spark.conf.set(key, value)
+    if input_bytes is not None:
+        cores = total_cores or spark.sparkContext.defaultParallelism
+        for key, value in sizing_conf(input_bytes, cores).items():
+            spark.conf.set(key, value)
     return spark
 
 

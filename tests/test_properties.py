@@ -70,3 +70,12 @@ def test_hot_org_top_k_and_latest(spark):
     per_org = {r.org_id: (r.c, r.t) for r in latest.groupBy("org_id").agg(
         F.count(F.lit(1)).alias("c"), F.max("total").alias("t")).collect()}
     assert per_org["big"] == (20, 20)
+
+
+def test_sizing_conf_bounds():
+    from ledgerlens.session import sizing_conf
+    big = sizing_conf(100 * 10**12, 8000)
+    assert big["spark.sql.shuffle.partitions"] == "200000"          # capped
+    assert sizing_conf(10 * 2**30, 100)["spark.sql.shuffle.partitions"] == "300"   # 3 per core floor
+    assert sizing_conf(1000 * 2**30, 100)["spark.sql.shuffle.partitions"] == "4000"  # 1000 GiB / 256 MiB
+    assert big["spark.sql.files.maxPartitionBytes"] == big["spark.sql.adaptive.advisoryPartitionSizeInBytes"]
