@@ -21,7 +21,7 @@ from ..schemas import (CONTEXT_CATEGORY_HEADER, CONTEXT_MONTH_HEADER, DEFAULT_IN
                        INSIGHT_PROMPTS, INSIGHT_TYPES, LATEST_INSIGHTS, PLACEHOLDER_CONTENT,
                        PLACEHOLDER_TITLE)
 from .staging import for_tenant
-from .tenancy import org_categories_all, org_monthly_all
+from .tenancy import org_summaries_all
 
 Generator = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -45,26 +45,32 @@ def category_line(category: str = "category", revenue: str = "revenue", volume:
                     F.lit(" ("), F.col(volume).cast("string"), F.lit(" txns, avg $"), avg2, F.lit(")\n"))
 
 
-def _ordered_text(rank_col: str, line: Column) -> Column:
-    """Concatenate an org's lines in rank order."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"), line.alias("t"))))
+def _ordered_text(rank_col: str, line: Column, when: Column | None = None) -> Column:
+    """Concatenate an org's lines in rank order (only the rows where ``when`` holds)."""
+    item = F.struct(F.col(rank_col).alias("r"), line.alias("t"))
+    lines = F.array_sort(F.collect_list(item if when is None else F.when(when, item)))
     return F.array_join(F.transform(lines, lambda x: x["t"]), "")
 
 
 def insight_context(tx: DataFrame) -> DataFrame:
-    """INS-1: one ``(org_id, context)`` row per org that has completed months.
-
-    Orgs without a readable completed month get no row (INS-2), exactly as
-    the service answers 404 for them."""
-    months = (org_monthly_all(tx).groupBy("org_id")
-              .agg(_ordered_text("month_rank", month_line()).alias("month_text"),
-                   F.count(F.lit(1)).alias("n_months")))
-    cats = (org_categories_all(tx).groupBy("org_id")
-            .agg(_ordered_text("category_rank", category_line()).alias("category_text")))
-    return (months.join(cats, "org_id", "left")
-            .select("org_id", "n_months",
-                    F.concat(F.lit(CONTEXT_MONTH_HEADER), F.col("month_text"), F.lit(CONTEXT_CATEGORY_HEADER),
-                             F.coalesce(F.col("category_text"), F.lit(""))).alias("context")))
+    """INS-1: one ``(org_id, n_months, context)`` row per org that has completed months.
+
+    Month and category figures come from one grouping-sets pass over the
+    transactions (:func:`org_summaries_all`), and each org's text is put
+    together by one grouped ``collect_list`` over at most 12 month rows and
+    one row per category.  Orgs without a readable completed month get no
+    row (INS-2), exactly as the service answers 404 for them."""
+    rows = org_summaries_all(tx)
+    is_month = F.col("is_month")
+    per_org = (rows.groupBy("org_id")
+               .agg(_ordered_text("month_rank", month_line(), is_month).alias("month_text"),
+                    _ordered_text("category_rank", category_line(), ~is_month).alias("category_text"),
+                    F.count_if(is_month).alias("n_months"))
+               .where(F.col("n_months") > 0))
+    return per_org.select(
+        "org_id", "n_months",
+        F.concat(F.lit(CONTEXT_MONTH_HEADER), F.col("month_text"), F.lit(CONTEXT_CATEGORY_HEADER),
+                 F.col("category_text")).alias("context"))
 
 
 def eligible_orgs(orgs: DataFrame, context: DataFrame, org_key: str = "id") -> DataFrame:

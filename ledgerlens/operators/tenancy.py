@@ -59,6 +59,33 @@ def org_categories_all(tx: DataFrame) -> DataFrame:
     return grouped.withColumn("category_rank", F.row_number().over(w))
 
 
+def org_summaries_all(tx: DataFrame, months: int = CONTEXT_MONTHS) -> DataFrame:
+    """AGG-5 and AGG-6 batched in ONE aggregation over the transactions.
+
+    Grouping sets ``(org, month)`` and ``(org, category)`` over the completed
+    rows; ``is_month`` tells the two kinds of row apart.  Month rows keep the
+    newest ``months`` per org (a null month uses a slot and is then dropped,
+    as in :func:`org_monthly_all`), category rows drop a null category and
+    carry ``category_rank`` (revenue descending, then name).  Both rankings
+    run over aggregated rows partitioned by (org, kind), so a hot org adds one
+    row per month or category, never its transactions."""
+    grouped = (_completed(tx)
+               .groupingSets([["org_id", "txn_month"], ["org_id", "category"]], "org_id", "txn_month", "category")
+               .agg(F.grouping("category").alias("_kind"),
+                    money_sum().alias("revenue"), F.count(F.lit(1)).alias("volume")))
+    is_month = F.col("_kind") == 1          # category rolled up: an (org, month) row
+    by_kind = Window.partitionBy("org_id", "_kind")
+    ranked = (grouped
+              .withColumn("month_rank", F.row_number().over(by_kind.orderBy(F.col("txn_month").desc_nulls_first())))
+              .withColumn("category_rank", F.row_number().over(
+                  by_kind.orderBy(F.col("revenue").desc_nulls_first(), F.col("category")))))
+    keep = ((is_month & (F.col("month_rank") <= months) & F.col("txn_month").isNotNull())
+            | (~is_month & F.col("category").isNotNull()))
+    return (ranked.where(keep)
+            .select("org_id", is_month.alias("is_month"), F.col("txn_month").alias("month"), "category",
+                    "revenue", "volume", "month_rank", "category_rank"))
+
+
 def org_categories(tx: DataFrame, org_id: str) -> DataFrame:
     """AGG-6 for one org: ``category, revenue, volume, avg_amount``, revenue descending."""
     return (_completed(for_tenant(tx, org_id)).where(F.col("category").isNotNull())

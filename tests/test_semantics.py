@@ -237,3 +237,15 @@ def test_stacked_tests_equal_per_model(spark):
            for r in Q.run_tests({"a": a, "b": b, "e": empty}, tests).collect()}
     assert got == ref
     assert got[("b", "k", "unique")] == (1, False) and got[("e", "k", "not_null")] == (0, True)
+
+
+def test_org_summaries_one_pass_equal_separate(spark, sf_dir):
+    from ledgerlens.sources import fixtures as FX
+    tx = FX.tx(spark, sf_dir)
+    both = TN.org_summaries_all(tx)
+    months = both.where("is_month").select("org_id", "month", "revenue", "volume", "month_rank")
+    ref_m = TN.org_monthly_all(tx).select("org_id", "month", "revenue", "volume", "month_rank")
+    cats = both.where("NOT is_month").select("org_id", "category", "revenue", "volume", "category_rank")
+    ref_c = TN.org_categories_all(tx).select("org_id", "category", "revenue", "volume", "category_rank")
+    for mine, ref in [(months, ref_m), (cats, ref_c)]:
+        assert sorted(map(tuple, mine.collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
