@@ -120,8 +120,10 @@ def promote(raw: DataFrame, org_id: str, existing: DataFrame,
     table already holds (one row per ``(org_id, transaction_id)``).
 
     The id is a name-based hash of the key, so re-promoting the same batch
-    yields the same ids.  The anti join is keyed on the full unique key, so it
-    spreads evenly even when one org owns most rows."""
+    yields the same ids.  Both sides hold the one org, so the anti join is
+    keyed on ``transaction_id`` alone: it spreads evenly even when the org owns
+    most rows, and cleaned rows, which the dedupe already hash-partitioned on
+    ``transaction_id``, are not shuffled a second time."""
     tenant = (raw.withColumnRenamed("customer_id", "customer_ref")
               .withColumn("org_id", F.lit(str(org_id)))
               .withColumn("id", F.md5(F.concat_ws(":", F.col("org_id"), F.col("transaction_id"))))
@@ -132,8 +134,8 @@ def promote(raw: DataFrame, org_id: str, existing: DataFrame,
     cols = ["id", "org_id", "source_id", "transaction_id", "customer_ref", "province", "age_group",
             "account_type", "merchant", "category", "amount", "currency", "status", "txn_date",
             "txn_month", "txn_year", "metadata", "loaded_at"]
-    keys = existing.where(F.col("org_id") == F.lit(str(org_id))).select("org_id", "transaction_id")
-    return tenant.select(*cols).join(keys, ["org_id", "transaction_id"], "left_anti").select(*cols)
+    keys = existing.where(F.col("org_id") == F.lit(str(org_id))).select("transaction_id")
+    return tenant.select(*cols).join(keys, "transaction_id", "left_anti").select(*cols)
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key_sets: list[list[str]]) -> DataFrame:
