@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import exact_avg, money, money_sum, share_pct_sql, scaled_quotient_sql
-from .joins import join_dimension
+from .joins import fits_broadcast
 from .staging import fct_revenue, for_tenant
 
 # Most (month, year) keys an incremental refresh ships whole to every task:
@@ -192,9 +192,9 @@ def refresh_months(stg: DataFrame, mart: DataFrame, since, org_id: str | None =
                .withColumnRenamed("txn_month", "_m").withColumnRenamed("txn_year", "_y"))
     on_keys = lambda left: (left.txn_month.eqNullSafe(touched._m) &
                             left.txn_year.eqNullSafe(touched._y))
-    recompute_src = join_dimension(scoped, touched, on_keys(scoped), "left_semi", max_touched)
-    fresh = fct_monthly_revenue(recompute_src)
-    kept = join_dimension(mart, touched, on_keys(mart), "left_anti", max_touched)
+    side = F.broadcast(touched) if fits_broadcast(touched, max_touched) else touched   # one bounded check
+    fresh = fct_monthly_revenue(scoped.join(side, on_keys(scoped), "left_semi"))
+    kept = mart.join(side, on_keys(mart), "left_anti")
     return (kept.unionByName(fresh)
             .orderBy(F.col("txn_month").asc_nulls_last(), F.col("txn_year").asc_nulls_last()))
 
