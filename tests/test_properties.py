@@ -79,3 +79,38 @@ def test_sizing_conf_bounds():
     assert sizing_conf(10 * 2**30, 100)["spark.sql.shuffle.partitions"] == "300"   # 3 per core floor
     assert sizing_conf(1000 * 2**30, 100)["spark.sql.shuffle.partitions"] == "4000"  # 1000 GiB / 256 MiB
     assert big["spark.sql.files.maxPartitionBytes"] == big["spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+
+
+keys = st.one_of(st.none(), st.sampled_from(["x", "y", "z", "w"]))
+statuses = st.one_of(st.none(), st.sampled_from(["completed", "pending", "failed", "REFUNDED", " completed "]))
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(keys, statuses), max_size=12), st.lists(st.tuples(keys, statuses), max_size=12))
+def test_stacked_tests_match_brute_force(spark, rows_a, rows_b):
+    """Column tests over models stacked in one frame equal a direct count per model."""
+    from collections import Counter
+
+    from ledgerlens.operators import quality as Q
+    accepted = ("completed", "pending", "failed")
+    tests = [Q.ColumnTest(m, c, t, accepted if t == "accepted_values" else ())
+             for m in ("a", "b") for c, t in [("k", "not_null"), ("k", "unique"), ("status", "unique"),
+                                              ("status", "accepted_values")]]
+    data = [("a", k, s) for k, s in rows_a] + [("b", k, s) for k, s in rows_b]
+    stacked = spark.createDataFrame(data, "model string, k string, status string")
+    got = {(r.model, r.column_name, r.test): r.failures for r in Q.run_tests_stacked(stacked, tests).collect()}
+
+    def brute(rows, col, test):
+        vals = [r[col] for r in rows]
+        seen = Counter(v for v in vals if v is not None)
+        if test == "not_null":
+            return sum(v is None for v in vals)
+        if test == "unique":
+            return sum(1 for n in seen.values() if n > 1)
+        return sum(1 for v in seen if v not in accepted)
+
+    for (m, rows) in [("a", rows_a), ("b", rows_b)]:
+        for c, col in [("k", 0), ("status", 1)]:
+            for t in ("not_null", "unique", "accepted_values"):
+                if (m, c, t) in got:
+                    assert got[(m, c, t)] == brute(rows, col, t), (m, c, t)
