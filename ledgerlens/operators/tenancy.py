@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import exact_avg, money_sum
 from ..schemas import CONTEXT_MONTHS
-from .joins import BROADCAST_MAX_ROWS, join_dimension
+from .joins import BROADCAST_MAX_ROWS, fits_broadcast, join_dimension
 from .staging import active, for_tenant
 
 
@@ -115,15 +115,21 @@ def apply_defaults(df: DataFrame, defaults: dict, required: list[str] | None = N
 
 
 def promote(raw: DataFrame, org_id: str, existing: DataFrame,
-            loaded_at_col: str = "ingested_at") -> DataFrame:
+            loaded_at_col: str = "ingested_at", small_batch_rows: int | None = None) -> DataFrame:
     """SRC-8: raw rows → tenant rows for ``org_id``, skipping keys the tenant
     table already holds (one row per ``(org_id, transaction_id)``).
 
     The id is a name-based hash of the key, so re-promoting the same batch
-    yields the same ids.  Both sides hold the one org, so the anti join is
-    keyed on ``transaction_id`` alone: it spreads evenly even when the org owns
-    most rows, and cleaned rows, which the dedupe already hash-partitioned on
-    ``transaction_id``, are not shuffled a second time."""
+    yields the same ids.  Both sides hold the one org, so the key is
+    ``transaction_id``, and by default the anti join shuffles on it (the
+    cleaned rows keep the partitioning of their dedupe).
+
+    ``small_batch_rows`` is for batches far smaller than the stored table (a
+    stream micro-batch, which the caller persists): when a bounded count proves
+    the batch holds at most that many rows, its keys are broadcast and the
+    stored keys are filtered against them in place.  The tenant table is then
+    scanned but never shuffled, and only the stored keys that the batch
+    repeats are joined back."""
     tenant = (raw.withColumnRenamed("customer_id", "customer_ref")
               .withColumn("org_id", F.lit(str(org_id)))
               .withColumn("id", F.md5(F.concat_ws(":", F.col("org_id"), F.col("transaction_id"))))
@@ -134,8 +140,11 @@ def promote(raw: DataFrame, org_id: str, existing: DataFrame,
     cols = ["id", "org_id", "source_id", "transaction_id", "customer_ref", "province", "age_group",
             "account_type", "merchant", "category", "amount", "currency", "status", "txn_date",
             "txn_month", "txn_year", "metadata", "loaded_at"]
-    keys = existing.where(F.col("org_id") == F.lit(str(org_id))).select("transaction_id")
-    return tenant.select(*cols).join(keys, "transaction_id", "left_anti").select(*cols)
+    stored = existing.where(F.col("org_id") == F.lit(str(org_id))).select("transaction_id")
+    batch_keys = tenant.select("transaction_id")
+    if small_batch_rows is not None and fits_broadcast(batch_keys, small_batch_rows):
+        stored = stored.join(F.broadcast(batch_keys), "transaction_id", "left_semi")
+    return tenant.select(*cols).join(stored, "transaction_id", "left_anti").select(*cols)
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key_sets: list[list[str]]) -> DataFrame:

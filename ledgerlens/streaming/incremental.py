@@ -23,6 +23,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark import StorageLevel
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import clean_transactions
@@ -34,6 +35,10 @@ from ..schemas import CSV_COLUMNS, CSV_SCHEMA, TRANSACTIONS
 from ..sources.sinks import NULL_TOKENS, path_exists
 
 
+# Largest micro-batch (rows) whose keys are broadcast against the stored keys.
+MICRO_BATCH_MAX_ROWS = 1_000_000
+
+
 def _empty_tenant_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], TRANSACTIONS)
 
@@ -48,9 +53,24 @@ def process_batch(batch: DataFrame, batch_id: int, *, org_id: str, tx_path: str,
         batch = batch.select(F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"),
                                       F.monotonically_increasing_id().alias("row")).alias("seq"),
                              *CSV_COLUMNS)
-    cleaned = clean_transactions(batch).withColumn("ingested_at", F.lit(stamp).cast("timestamp_ntz"))
+    # The micro-batch is read several times (size check, promote, touched
+    # months), so it is persisted for the batch; a lost executor's blocks are
+    # recomputed from the same source files.
+    cleaned = (clean_transactions(batch).withColumn("ingested_at", F.lit(stamp).cast("timestamp_ntz"))
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        _promote_and_refresh(spark, cleaned, org_id=org_id, tx_path=tx_path, mart_path=mart_path)
+    finally:
+        cleaned.unpersist()
+
+
+def _promote_and_refresh(spark: SparkSession, cleaned: DataFrame, *, org_id: str, tx_path: str,
+                         mart_path: str) -> None:
     existing = spark.read.parquet(tx_path) if path_exists(spark, tx_path) else _empty_tenant_table(spark)
-    promote(cleaned, org_id, existing).write.mode("append").parquet(tx_path)
+    # A micro-batch is small next to the tenant table: its keys are broadcast
+    # to filter the stored keys in place instead of shuffling the table.
+    new_rows = promote(cleaned, org_id, existing, small_batch_rows=MICRO_BATCH_MAX_ROWS)
+    new_rows.write.mode("append").parquet(tx_path)
 
     # The months this batch touches come from the batch itself, not from the
     # load stamp: a replayed batch whose rows an earlier attempt already

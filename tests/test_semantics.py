@@ -249,3 +249,22 @@ def test_org_summaries_one_pass_equal_separate(spark, sf_dir):
     ref_c = TN.org_categories_all(tx).select("org_id", "category", "revenue", "volume", "category_rank")
     for mine, ref in [(months, ref_m), (cats, ref_c)]:
         assert sorted(map(tuple, mine.collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
+
+
+def test_promote_small_batch_filters_stored_keys_in_place(spark, sf_dir):
+    """The broadcast path for small batches returns the same rows, and the
+    stored keys are filtered by a broadcast semi join (no shuffle of them
+    before the hits are known)."""
+    from ledgerlens.sources import fixtures as FX
+    # Half the keys are stored already, so both new and repeated keys occur.
+    stored = FX.tx(spark, sf_dir).withColumn("org_id", F.lit("7")).where(F.col("id").cast("long") % 2 == 0)
+    batch = (C.clean_transactions(FX.raw_dirty(spark, sf_dir))
+             .withColumn("ingested_at", F.lit("2025-06-01 00:00:00").cast("timestamp_ntz")))
+    plain = TN.promote(batch, "7", stored)
+    small = TN.promote(batch, "7", stored, small_batch_rows=10**6)
+    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert small.count() > 0
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan
+    too_big = TN.promote(batch, "7", stored, small_batch_rows=10)
+    assert "LeftSemi" not in too_big._jdf.queryExecution().executedPlan().toString()
