@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import exact_avg, money, money_sum, share_pct_sql, scaled_quotient_sql
@@ -215,25 +215,90 @@ def _gid(keys: list[str]) -> int:
     return sum(1 << (n - 1 - i) for i, k in enumerate(MART_KEYS) if k not in keys)
 
 
-def marts_one_pass(stg: DataFrame) -> DataFrame:
+# Helper grouping sets for the exact distinct counts: (output column, mart,
+# counted column).  The helper set is the mart's keys plus the counted column.
+DISTINCT_SETS = [
+    ("cust_c", "fct_revenue_by_province", "customer_ref"),
+    ("cust_c", "fct_monthly_revenue", "customer_ref"),
+    ("cat_c", "fct_monthly_revenue", "category"),
+]
+_PASS_KEYS = MART_KEYS + ["customer_ref"]
+
+
+def _gid_pass(keys: list[str]) -> int:
+    """``grouping_id()`` of a grouping set over MART_KEYS + customer_ref."""
+    n = len(_PASS_KEYS)
+    return sum(1 << (n - 1 - i) for i, k in enumerate(_PASS_KEYS) if k not in keys)
+
+
+def marts_one_pass(stg: DataFrame, distinct_counts: bool = True) -> DataFrame:
     """The four marts' aggregates in ONE scan of staging (grouping sets).
 
     Each input row is expanded once per grouping set and combined map-side,
-    so the shuffle carries aggregated rows only.  Completed-only measures are
-    conditional aggregates; the status mart uses the unconditional ones.  The
-    result has one row per group of every mart (a few hundred rows), which
-    :func:`split_marts` turns into the four mart frames."""
+    so the first shuffle carries aggregated rows only.  Completed-only
+    measures are conditional aggregates; the status mart uses the
+    unconditional ones.
+
+    Distinct counts need no ``count(DISTINCT)`` (which Spark would expand
+    again for every set and both counted columns).  Instead a helper set per
+    distinct count groups by the mart's keys plus the counted column, and a
+    second, map-side-combined aggregation counts the helper groups that hold
+    a completed row with a non-null value.  Only the province and monthly
+    marts ship (key, customer) pairs.  A hot month's pairs are counted per
+    partition before the second shuffle.  The result has one row per group of
+    every mart (``_gid`` as :func:`_gid`), which :func:`split_marts` and
+    :func:`stack_marts` turn into the marts.
+
+    ``distinct_counts=False`` leaves out the helper sets (``cust_c`` and
+    ``cat_c`` are then 0), for consumers such as the quality report that do
+    not read them: grouping sets, unlike unused aggregates, are not pruned."""
     comp = "status = 'completed'"
-    return (stg.groupingSets([MART_SETS[m] for m in MART_SETS], *MART_KEYS)
-            .agg(F.grouping_id().alias("_gid"),
-                 F.count(F.lit(1)).alias("n_all"),
-                 F.expr("sum(amount)").alias("amt_all"),
-                 F.expr(f"count_if({comp})").alias("n_c"),
-                 F.expr(f"sum(CASE WHEN {comp} THEN amount END)").alias("amt_c"),
-                 F.expr(f"min(CASE WHEN {comp} THEN amount END)").alias("min_c"),
-                 F.expr(f"max(CASE WHEN {comp} THEN amount END)").alias("max_c"),
-                 F.expr(f"count(DISTINCT CASE WHEN {comp} THEN customer_ref END)").alias("cust_c"),
-                 F.expr(f"count(DISTINCT CASE WHEN {comp} THEN category END)").alias("cat_c")))
+    main = {_gid_pass(keys): _gid(keys) for keys in MART_SETS.values()}
+    helpers = {_gid_pass(MART_SETS[mart] + [col]): (out, _gid(MART_SETS[mart]), col)
+               for out, mart, col in (DISTINCT_SETS if distinct_counts else [])}
+    helper_sets = [MART_SETS[mart] + [col] for _, mart, col in DISTINCT_SETS] if distinct_counts else []
+    sets = [MART_SETS[m] for m in MART_SETS] + helper_sets
+    first = (stg.groupingSets(sets, *_PASS_KEYS)
+             .agg(F.grouping_id().alias("_g"),
+                  F.count(F.lit(1)).alias("n_all"),
+                  F.expr("sum(amount)").alias("amt_all"),
+                  F.expr(f"count_if({comp})").alias("n_c"),
+                  F.expr(f"sum(CASE WHEN {comp} THEN amount END)").alias("amt_c"),
+                  F.expr(f"min(CASE WHEN {comp} THEN amount END)").alias("min_c"),
+                  F.expr(f"max(CASE WHEN {comp} THEN amount END)").alias("max_c")))
+
+    def by_g(mapping: dict, pick) -> Column:
+        out = None
+        for g, v in mapping.items():
+            out = (F.when(F.col("_g") == g, pick(v)) if out is None
+                   else out.when(F.col("_g") == g, pick(v)))
+        return out
+
+    measures = ["n_all", "amt_all", "n_c", "amt_c", "min_c", "max_c"]
+    target = by_g({**main, **{g: v[1] for g, v in helpers.items()}}, F.lit).alias("_gid")
+    if not helpers:
+        return first.select(*MART_KEYS, target, *measures,
+                            F.lit(0).cast("bigint").alias("cust_c"), F.lit(0).cast("bigint").alias("cat_c"))
+    is_main = F.col("_g").isin(*main)
+    # A helper group counts when it holds a completed row and a non-null value.
+    hit_flags = []
+    for out in sorted({o for o, _, _ in DISTINCT_SETS}):
+        cond = F.lit(False)
+        for g, (o, _, col) in helpers.items():
+            if o == out:
+                cond = cond | ((F.col("_g") == g) & F.col(col).isNotNull())
+        hit_flags.append((cond & (F.col("n_c") > 0)).alias(f"_{out}_hit"))
+    # A helper row joins its mart's group: the counted column leaves the key
+    # (customer_ref is not a mart key; category is nulled on category helpers).
+    cat_helpers = [g for g, (_, _, col) in helpers.items() if col == "category"]
+    tagged = first.select(
+        target,
+        F.when(F.col("_g").isin(*cat_helpers), F.lit(None)).otherwise(F.col("category")).alias("category"),
+        *[c for c in MART_KEYS if c != "category"], is_main.alias("_main"), *hit_flags, *measures)
+    return (tagged.groupBy("_gid", *MART_KEYS)
+            .agg(*[F.max(F.when(F.col("_main"), F.col(m))).alias(m) for m in measures],
+                 F.count_if("_cust_c_hit").alias("cust_c"), F.count_if("_cat_c_hit").alias("cat_c"))
+            .select(*MART_KEYS, "_gid", *measures, "cust_c", "cat_c"))
 
 
 def split_marts(combined: DataFrame) -> dict[str, DataFrame]:

@@ -109,7 +109,7 @@ def q_dq_report(spark, sf_dir):
     tx = FX.tx(spark, sf_dir)
     stg = S.stg_transactions(tx)
     mart_tests = [t for t in Q.ALL_COLUMN_TESTS if t.model in M.MART_SETS]
-    marts = Q.run_tests_stacked(M.stack_marts(M.marts_one_pass(stg)), mart_tests)
+    marts = Q.run_tests_stacked(M.stack_marts(M.marts_one_pass(stg, distinct_counts=False)), mart_tests)
     staged_completed = f"{S.staged_predicate_sql()} AND status = 'completed'"
     rules = [Q.row_count_check("transactions", EXPECTED_ROW_COUNT),
              Q.revenue_floor_check("transactions", REVENUE_FLOOR, where=staged_completed,

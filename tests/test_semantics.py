@@ -268,3 +268,13 @@ def test_promote_small_batch_filters_stored_keys_in_place(spark, sf_dir):
     assert "LeftSemi" in plan and "BroadcastHashJoin" in plan
     too_big = TN.promote(batch, "7", stored, small_batch_rows=10)
     assert "LeftSemi" not in too_big._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_pass_without_distinct_counts_keeps_measures(spark, sf_dir):
+    from ledgerlens.sources import fixtures as FX
+    stg = S.stg_transactions(FX.tx(spark, sf_dir))
+    cols = M.MART_KEYS + ["_gid", "n_all", "amt_all", "n_c", "amt_c", "min_c", "max_c"]
+    full = M.marts_one_pass(stg).select(*cols)
+    lean = M.marts_one_pass(stg, distinct_counts=False)
+    assert sorted(map(tuple, lean.select(*cols).collect()), key=str) == \
+        sorted(map(tuple, full.collect()), key=str)
