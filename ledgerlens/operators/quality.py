@@ -209,6 +209,8 @@ def run_tests_stacked(stacked: DataFrame, tests: list[ColumnTest], model_col: st
     results.  The stacked frame is read by one branch of the plan, so the
     pass that produced it runs once.  Values compare by their text form (one
     type per column, so equal text means equal values)."""
+    if not tests:
+        return empty_report(stacked.sparkSession)
     pairs = sorted({(t.model, t.column) for t in tests})
     cells = F.array(*[F.when(F.col(model_col) == F.lit(m),
                              F.struct(F.lit(m).alias("model"), F.lit(c).alias("column_name"),

@@ -278,3 +278,11 @@ def test_one_pass_without_distinct_counts_keeps_measures(spark, sf_dir):
     lean = M.marts_one_pass(stg, distinct_counts=False)
     assert sorted(map(tuple, lean.select(*cols).collect()), key=str) == \
         sorted(map(tuple, full.collect()), key=str)
+
+
+def test_stacked_tests_with_no_tests_is_an_empty_report(spark):
+    from ledgerlens.operators import quality as Q
+    stacked = spark.createDataFrame([("a", "x")], "model string, k string")
+    out = Q.run_tests_stacked(stacked, [])
+    assert out.columns == ["model", "column_name", "test", "failures", "severity", "passed"]
+    assert out.count() == 0
