@@ -211,35 +211,45 @@ def run_tests_stacked(stacked: DataFrame, tests: list[ColumnTest], model_col: st
     type per column, so equal text means equal values)."""
     if not tests:
         return empty_report(stacked.sparkSession)
+    # The expressions are SQL text: one parse each instead of one driver call
+    # per column object.
     pairs = sorted({(t.model, t.column) for t in tests})
-    cells = F.array(*[F.when(F.col(model_col) == F.lit(m),
-                             F.struct(F.lit(m).alias("model"), F.lit(c).alias("column_name"),
-                                      F.col(c).cast("string").alias("value")))
-                      for m, c in pairs])
-    counts = (stacked.select(F.explode(cells).alias("cell")).where(F.col("cell").isNotNull())
+    cells = ", ".join(
+        f"CASE WHEN {_ident(model_col)} = {_str(m)} THEN named_struct('model', {_str(m)}, "
+        f"'column_name', {_str(c)}, 'value', cast({_ident(c)} AS string)) END" for m, c in pairs)
+    counts = (stacked.select(F.expr(f"explode(array({cells}))").alias("cell")).where("cell IS NOT NULL")
               .select("cell.*").groupBy("model", "column_name", "value")
               .agg(F.count(F.lit(1)).alias("n")))
     exprs = []
     for i, t in enumerate(tests):
-        mine = (F.col("model") == t.model) & (F.col("column_name") == t.column)
-        value = F.col("value")
+        mine = f"model = {_str(t.model)} AND column_name = {_str(t.column)}"
         if t.test == "not_null":
-            failures = F.sum(F.when(mine & value.isNull(), F.col("n")))
+            failures = f"sum(CASE WHEN {mine} AND value IS NULL THEN n END)"
         elif t.test == "unique":
-            failures = F.count_if(mine & value.isNotNull() & (F.col("n") > 1))
+            failures = f"count_if({mine} AND value IS NOT NULL AND n > 1)"
         elif t.test == "accepted_values":
-            failures = F.count_if(mine & value.isNotNull() & ~value.isin(*[str(v) for v in t.values]))
+            accepted = ", ".join(_str(str(v)) for v in t.values)
+            failures = f"count_if({mine} AND value IS NOT NULL AND NOT value IN ({accepted}))"
         else:
             raise ValueError(f"unknown test {t.test!r}")
-        exprs.append(F.coalesce(failures, F.lit(0)).cast("bigint").alias(f"t{i}"))
-    rows = F.array(*[F.struct(F.lit(t.model).alias("model"), F.lit(t.column).alias("column_name"),
-                              F.lit(t.test).alias("test"), F.col(f"t{i}").alias("failures"),
-                              F.lit(t.severity).alias("severity"))
-                     for i, t in enumerate(tests)])
-    return (counts.agg(*exprs).select(F.inline(rows))
+        exprs.append(F.expr(f"cast(coalesce({failures}, 0) AS bigint)").alias(f"t{i}"))
+    rows = ", ".join(
+        f"named_struct('model', {_str(t.model)}, 'column_name', {_str(t.column)}, 'test', {_str(t.test)}, "
+        f"'failures', t{i}, 'severity', {_str(t.severity)})" for i, t in enumerate(tests))
+    return (counts.agg(*exprs).select(F.expr(f"inline(array({rows}))"))
             .withColumn("passed", F.col("failures") == 0))
 
 
+def _str(value: str) -> str:
+    """SQL string literal."""
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _ident(name: str) -> str:
+    """SQL column reference."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def rule_rows(model: str, name: str, rule: DataFrame) -> DataFrame:
     """Shape a one-row rule result (with ``passed`` and ``severity``) as report rows."""
     return rule.select(F.lit(model).alias("model"), F.lit(None).cast("string").alias("column_name"),

@@ -31,8 +31,17 @@ ORG_MAX_USERS = 60
 FIXTURE_EPOCH = "2024-01-01 00:00:00"
 
 
+# Scans of the driver's read-only test tables, one per (application, table):
+# resolving a parquet relation lists its files and reads a footer, which would
+# otherwise be repeated by every fixture of every query.
+_SCANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet_table(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SCANS:
+        _SCANS[key] = read_parquet_table(spark, sf_dir, name)
+    return _SCANS[key]
 
 
 def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
