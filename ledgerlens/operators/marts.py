@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import exact_avg, money, money_sum, share_pct_sql, scaled_quotient_sql
+from ..session import checkpoint_dir
 from .joins import fits_broadcast
 from .staging import fct_revenue, for_tenant
 
@@ -187,9 +188,13 @@ def refresh_months(stg: DataFrame, mart: DataFrame, since, org_id: str | None =
     """
     since_ts = F.lit(since).cast("timestamp_ntz")
     scoped = _scoped(stg, org_id)
+    # Computed once and checkpointed to the shared checkpoint folder: the size
+    # check and both joins read the small stored set, not the fact again.
+    checkpoint_dir(stg.sparkSession)
     touched = (fct_revenue(scoped).where(F.col("_loaded_at") > since_ts)
                .select("txn_month", "txn_year").distinct()
-               .withColumnRenamed("txn_month", "_m").withColumnRenamed("txn_year", "_y"))
+               .withColumnRenamed("txn_month", "_m").withColumnRenamed("txn_year", "_y")
+               .checkpoint(eager=True))
     on_keys = lambda left: (left.txn_month.eqNullSafe(touched._m) &
                             left.txn_year.eqNullSafe(touched._y))
     side = F.broadcast(touched) if fits_broadcast(touched, max_touched) else touched   # one bounded check
