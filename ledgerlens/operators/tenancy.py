@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import exact_avg, money_sum
 from ..schemas import CONTEXT_MONTHS
+from ..session import checkpoint_dir
 from .joins import BROADCAST_MAX_ROWS, fits_broadcast, join_dimension
 from .staging import active, for_tenant
 
@@ -195,9 +196,12 @@ def purge_orgs(child: DataFrame, deleted_orgs: DataFrame, org_col: str = "org_id
                deleted_key: str = "id", max_orgs: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """JON-4: drop the child rows of deleted orgs (``ON DELETE CASCADE``).
 
-    The deleted orgs are often computed (e.g. from a quota aggregate), so the
-    planner cannot size them; after a bounded count proves at most
-    ``max_orgs`` keys they are broadcast, and the child table, in which one
-    org may own a third of all rows, is filtered in place without a shuffle."""
-    gone = deleted_orgs.select(F.col(deleted_key).alias("_gone"))
+    The deleted orgs are often computed (e.g. from a quota aggregate over the
+    child table), so the planner cannot size them.  Their keys are computed
+    once and checkpointed to the shared checkpoint folder; after a bounded
+    count proves at most ``max_orgs`` keys they are broadcast, and the child
+    table, in which one org may own a third of all rows, is filtered in place
+    without a shuffle."""
+    checkpoint_dir(child.sparkSession)
+    gone = deleted_orgs.select(F.col(deleted_key).alias("_gone")).checkpoint(eager=True)
     return join_dimension(child, gone, F.col(org_col) == F.col("_gone"), "left_anti", max_orgs)
