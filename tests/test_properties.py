@@ -137,3 +137,21 @@ def test_one_pass_marts_match_per_mart_functions(spark, rows):
     for name, df in M.split_marts(M.marts_one_pass(stg)).items():
         ref = getattr(M, name)(stg)
         assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, ref.collect()), key=str), name
+
+
+def test_configure_applies_sizing_only_when_asked(spark):
+    from ledgerlens.session import configure, sizing_conf
+    keys = list(sizing_conf(1, 1))
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        configure(spark)
+        assert {k: spark.conf.get(k, None) for k in keys} == before
+        configure(spark, input_bytes=1000 * 2**30, total_cores=100)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "4000"
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "256m"
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
