@@ -2,14 +2,13 @@
 
 The library never creates a cluster session on its own; callers pass one in.
 ``local_session`` is for tests and the bench only.  ``checkpoint_dir`` reads the
-shared folder the cluster names in ``spark.checkpoint.dir`` and only falls back
-to a scratch folder when the setting is absent (local runs).
+shared folder the cluster names in ``spark.checkpoint.dir`` and raises when the
+setting is absent.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -96,17 +95,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and staged writes.
-
-    On a cluster this must be ``spark.checkpoint.dir`` (a shared file system);
-    a scratch folder is created only when the setting is unset, as in tests.
+    """Shared folder for checkpoints and stored intermediates: the one the
+    cluster names in ``spark.checkpoint.dir`` (or a caller set with
+    ``SparkContext.setCheckpointDir``).  Raises when there is none: a folder
+    picked here would be local to the driver, and executors could not see it.
     """
     sc = spark.sparkContext
-    configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    scratch = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    sc.setCheckpointDir(scratch)
-    return sc.getCheckpointDir() or scratch
+    if not sc.getCheckpointDir():
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()

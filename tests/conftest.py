@@ -13,10 +13,10 @@ SF_SMALL = os.environ.get("LEDGERLENS_TEST_SF", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from ledgerlens.session import checkpoint_dir, local_session
+    from ledgerlens.session import local_session
 
     session = local_session(cores="*", shuffle_partitions=8, app="ledgerlens-tests")
-    checkpoint_dir(session)
+    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     yield session
     session.stop()
 

@@ -2,12 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from ledgerlens.plans import ORACLE_SQL as ORACLE
+from ledgerlens.plans import QUERIES
 from oracle_compare import compare_one, duck_connect
 
-QUERIES = queries()
-ORACLE = oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck(sf_dir):
