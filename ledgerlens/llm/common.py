@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,12 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once: inside a lambda a plain
+    expression would be evaluated again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_of(modulus: int, column: str = "doc_id") -> Column:
     """``crc32(doc_id as text) mod modulus``; a null id has remainder -1."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(-1))
