@@ -45,6 +45,14 @@ def small_side(df: DataFrame, max_bytes: int = 32 * MB) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= max_bytes else df
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until ``df`` has no such column (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

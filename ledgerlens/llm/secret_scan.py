@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, small_side, stored, text_or_empty
+from .common import bind, free_name, small_side, stored, text_or_empty
 
 CORE = r"[A-Za-z0-9_+/=.~-]{16,}"
 KEY_BLOCK = "PRIVATE KEY"
@@ -166,17 +166,19 @@ def redact(docs: DataFrame, max_findings: int = 10_000, threshold: float = 0.5,
     (``n_chars`` follows where the column exists); rows without one are unchanged.
     Secrets are matched to rows by the whole text's hash, so repeated or null
     ids do no harm."""
-    key = F.xxhash64(text_or_empty())
-    found = scan(docs.select(key.alias("doc_id"), "text"), max_findings, threshold).where("is_secret")
-    lists = stored(found.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("core").alias("_cores")), "secret-lists")
-    out = docs.withColumn("_own", key)
-    out = out.join(small_side(lists), out["_own"] == lists["_key"], "left")
-    longest = F.array_sort(F.col("_cores"), lambda a, b: F.char_length(b) - F.char_length(a))
+    digest = F.xxhash64(text_or_empty())
+    found = scan(docs.select(digest.alias("doc_id"), "text"), max_findings, threshold).where("is_secret")
+    own, key, cores = (free_name(docs, name) for name in ("_own", "_key", "_cores"))
+    lists = stored(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("core").alias(cores)), "secret-lists")
+    out = docs.withColumn(own, digest)
+    out = out.join(small_side(lists), F.col(own) == F.col(key), "left")
+    some = F.col(cores).isNotNull()
+    longest = F.array_sort(F.col(cores), lambda a, b: F.char_length(b) - F.char_length(a))
     block = F.regexp_replace(F.col("text"), r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(-----END [A-Z ]*PRIVATE KEY-----|$)", mask)
-    clean = F.aggregate(longest, F.when(F.array_contains("_cores", KEY_HEADER), block).otherwise(F.col("text")),
+    clean = F.aggregate(longest, F.when(F.array_contains(cores, KEY_HEADER), block).otherwise(F.col("text")),
                         lambda t, c: F.replace(t, c, F.lit(mask)))
-    out = out.withColumn("text", F.when(F.col("_cores").isNotNull(), clean).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(some, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_cores").isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
