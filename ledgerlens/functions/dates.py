@@ -21,5 +21,5 @@ def year_int(date_col: Column | str) -> Column:
 def parse_date_lenient(text_col: Column | str) -> Column:
     """Date text (``YYYY-MM-DD``) → date; unparsable text → null, so the
     caller can count violations and decide whether to fail."""
-    c = F.col(text_col) if isinstance(text_col, str) else text_col
-    return F.trim(c).try_cast("date")
+    c = F.trim(F.col(text_col) if isinstance(text_col, str) else text_col)
+    return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), c.try_cast("date"))

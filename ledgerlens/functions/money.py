@@ -48,6 +48,11 @@ def exact_avg(amount: str = "amount", scale: int = 2) -> Column:
     return F.expr(scaled_quotient_sql(f"sum({amount})", f"count({amount})", scale))
 
 
+def full_avg(amount: str = "amount") -> Column:
+    """``avg(amount)`` as the full quotient of the exact sum, a double at the output edge."""
+    return F.expr(f"cast(sum({amount}) as double) / count({amount})")
+
+
 def money_sum(amount: str = "amount") -> Column:
     """``round(sum(amount), 2)`` as decimal(38,2) (sums of 2-place decimals are exact)."""
     return F.expr(f"cast(sum({amount}) as {MONEY_TOTAL_SQL})")

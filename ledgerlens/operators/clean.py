@@ -10,8 +10,7 @@ dropped before it could be stripped.
 Scale: the only shuffle is the dedupe.  It is a first-row-per-key window that
 Spark limits map-side (partial ``WindowGroupLimit``), so a key repeated a
 billion times leaves each input partition as a single row.  The cleaning
-report uses the grouped form (``min`` over a struct that leads with the file
-position, plus a row count), so its counts come from the same single pass.
+report is one grouped pass over the key, the file position and the row's flags.
 """
 
 from __future__ import annotations
@@ -43,16 +42,6 @@ def null_audit(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             .select("ordinal", "column_name", "null_count"))
 
 
-def _dedupe_with_counts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row per key by ``order`` (ties broken by the other columns in
-    schema order), plus ``_copies``: how many rows the key had."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    packed = F.struct(*[F.col(c) for c in order + rest])
-    first = (df.groupBy(*keys)
-             .agg(F.min(packed).alias("_first"), F.count(F.lit(1)).alias(_COPIES)))
-    return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order + rest], _COPIES)
-
-
 def dedupe_first(df: DataFrame, keys: list[str] | str = "transaction_id",
                  order: list[str] | str = "seq") -> DataFrame:
     """CLN-2: keep the first row per key in ``order``; null keys are equal.
@@ -62,7 +51,7 @@ def dedupe_first(df: DataFrame, keys: list[str] | str = "transaction_id",
     its first row per key, so a key repeated in a third of all rows still
     sends at most one row per partition.  Ties in ``order`` are broken by the
     remaining columns in schema order (nulls first), which makes the pick
-    deterministic and equal to the grouped form used by the cleaning report."""
+    deterministic."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
     rest = [c for c in df.columns if c not in keys and c not in order]
@@ -71,10 +60,15 @@ def dedupe_first(df: DataFrame, keys: list[str] | str = "transaction_id",
         .drop("_first_rank")
 
 
+# Decimal numbers with an optional exponent; Spark's own cast also takes type
+# suffixes and hexadecimal floats.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def cast_amount(col: Column | str) -> Column:
     """CLN-3: lenient number parse; unparsable text becomes null."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.trim(c).try_cast("double")
+    c = F.trim(F.col(col) if isinstance(col, str) else col)
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def amount_is_valid(amount_num: Column) -> Column:
@@ -99,9 +93,11 @@ def _typed(deduped: DataFrame) -> DataFrame:
             .withColumn("_amount_num", cast_amount("amount"))
             .withColumn("_date", parse_date_lenient("txn_date"))
             .withColumn("_year", F.trim("txn_year").try_cast("int"))
-            .withColumn("_strict_bad", F.col("_date").isNull() | F.col("_year").isNull())
             .withColumn("_amount_ok", F.coalesce(amount_is_valid(F.col("_amount_num")), F.lit(False)))
-            .withColumn("_status_ok", F.coalesce(status_is_valid(F.col("status")), F.lit(False))))
+            .withColumn("_status_ok", F.coalesce(status_is_valid(F.col("status")), F.lit(False)))
+            # A date that does not parse is bad in every row, a missing one only in a row that is kept.
+            .withColumn("_strict_bad", F.col("_year").isNull() | (F.col("_date").isNull() & (
+                F.col("txn_date").isNotNull() | (F.col("_amount_ok") & F.col("_status_ok"))))))
 
 
 def _strict_guard(ok: Column) -> Column:
@@ -137,11 +133,21 @@ def clean_transactions(raw: DataFrame, order_col: str = "seq", key: str = "trans
     return out if normalize_first else trim_columns(out)
 
 
+def _verdicts(raw: DataFrame, order_col: str, key: str) -> DataFrame:
+    """Per key: ``_copies`` and the flags of its first row.  Only the file
+    position and three flags cross the shuffle; a file position is unique, so
+    the flags never decide which row is first."""
+    flags = ["_amount_ok", "_status_ok", "_strict_bad"]
+    first = F.min(F.struct(F.col(order_col), *flags))
+    return (_typed(raw).groupBy(key).agg(first.alias("_f"), F.count(F.lit(1)).alias(_COPIES))
+            .select(key, *[F.col(f"_f.{c}").alias(c) for c in flags], _COPIES))
+
+
 def cleaning_report(raw: DataFrame, order_col: str = "seq", key: str = "transaction_id") -> DataFrame:
     """CLN-7: rows in, duplicates removed, invalid amounts removed, unknown
     statuses removed, rows out — one aggregation over the dedupe output
     (each row is counted at the first stage that drops it)."""
-    typed = _typed(_dedupe_with_counts(raw, [key], [order_col]))
+    typed = _verdicts(raw, order_col, key)
     return typed.agg(
         F.sum(_COPIES).cast("bigint").alias("rows_in"),
         F.sum(F.col(_COPIES) - 1).cast("bigint").alias("duplicates_removed"),
@@ -155,7 +161,7 @@ def cleaning_report(raw: DataFrame, order_col: str = "seq", key: str = "transact
 def check_strict(raw: DataFrame, order_col: str = "seq", key: str = "transaction_id") -> int:
     """CLN-4 as an explicit check: number of deduped rows whose date or year
     does not cast; raises :class:`CleaningError` when there are any."""
-    bad = _typed(_dedupe_with_counts(raw, [key], [order_col])).where("_strict_bad").count()
+    bad = _verdicts(raw, order_col, key).where("_strict_bad").count()
     if bad:
         raise CleaningError(f"{bad} row(s) with an unparsable txn_date or txn_year")
     return 0

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import scaled_quotient_sql
-from ..schemas import (CONTEXT_CATEGORY_HEADER, CONTEXT_MONTH_HEADER, DEFAULT_INSIGHT_TYPE,
+from ..sources.sinks import enforce_contract
+from ..schemas import (AI_INSIGHTS, CONTEXT_CATEGORY_HEADER, CONTEXT_MONTH_HEADER, DEFAULT_INSIGHT_TYPE,
                        INSIGHT_PROMPTS, INSIGHT_TYPES, LATEST_INSIGHTS, PLACEHOLDER_CONTENT,
-                       PLACEHOLDER_TITLE)
+                       PLACEHOLDER_TITLE, TITLE_LENGTH)
 from .staging import for_tenant
 from .tenancy import org_summaries_all
 
@@ -128,32 +129,55 @@ def generate_insights(requests: DataFrame, generator: Generator | None = None) -
     return requests.mapInPandas(run, "org_id string, type string, response string")
 
 
+_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def parse_insight_json(text_col: Column) -> Column:
     """FN-11: parse ``{"title", "content", "confidence"}``.
 
-    Returns a struct ``(valid, title, content, confidence)``: ``valid`` is
-    false when the text is not a JSON object; missing fields become ''/0,
-    extra fields are ignored; ``confidence`` is ``decimal(5,4)`` and null when
-    the number does not fit (such an insight is not stored)."""
-    fields = F.from_json(text_col, "map<string,string>")
-    valid = fields.isNotNull()
-    conf = F.coalesce(F.try_element_at(fields, F.lit("confidence")).try_cast("double"), F.lit(0.0))
+    Returns a struct ``(valid, title, content, confidence)``.  The whole text
+    must be one JSON object (or ``null``, which has no fields); a field of the
+    wrong type makes it invalid.  Field names match ignoring case, the last of
+    several matches counts, missing and null fields become ''/0 and other
+    fields are ignored; ``confidence`` is ``decimal(5,4)`` and null when the
+    number does not fit (such an insight is not stored)."""
+    # Between brackets the text must be exactly one element, and as a field's value it must end the object.
+    elements = F.from_json(F.concat(F.lit("["), text_col, F.lit("]")), "array<map<string,variant>>", _STRICT_JSON)
+    alone = F.from_json(F.concat(F.lit('{"x":'), text_col, F.lit("}")), "map<string,string>", _STRICT_JSON)
+    whole = alone.isNotNull() & (F.size(F.map_keys(alone)) == 1) & (F.size(elements) == 1)
+    entries = F.coalesce(F.map_entries(F.get(elements, F.lit(0))), F.array())
+
+    def given(name: str) -> Column:
+        return F.filter(entries, lambda e: F.lower(e["key"]) == name)
+
+    def kind(e: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID"))
+
+    def typed(name: str, pattern: str) -> Column:
+        return F.forall(given(name), lambda e: kind(e).rlike(f"^(VOID|{pattern})"))
+
+    def last(name: str, target: str) -> Column:
+        values = F.transform(F.filter(given(name), lambda e: kind(e) != "VOID"), lambda e: F.try_variant_get(e["value"], "$", target))
+        return F.try_element_at(values, F.lit(-1))
+
+    numbers = "BIGINT|DECIMAL|DOUBLE|FLOAT"
+    valid = F.coalesce(whole & typed("title", "STRING") & typed("content", "STRING") & typed("confidence", numbers), F.lit(False))
     return F.struct(
         valid.alias("valid"),
-        F.when(valid, F.coalesce(F.try_element_at(fields, F.lit("title")), F.lit(""))).alias("title"),
-        F.when(valid, F.coalesce(F.try_element_at(fields, F.lit("content")), F.lit(""))).alias("content"),
-        F.when(valid, conf.try_cast("decimal(5,4)")).alias("confidence"))
+        F.when(valid, F.coalesce(last("title", "string"), F.lit(""))).alias("title"),
+        F.when(valid, F.coalesce(last("content", "string"), F.lit(""))).alias("content"),
+        F.when(valid, F.coalesce(last("confidence", "double"), F.lit(0.0)).try_cast("decimal(5,4)")).alias("confidence"))
 
 
 def split_insights(responses: DataFrame, text_col: str = "response") -> DataFrame:
     """INS-5: parsed insights with ``stored``: valid JSON whose confidence
-    fits ``NUMERIC(5,4)``.  Filter on ``stored`` for the good rows and on
-    ``~stored`` for the failures."""
+    fits ``NUMERIC(5,4)`` and whose title fits its column.  Filter on
+    ``stored`` for the good rows and on ``~stored`` for the failures."""
     parsed = responses.withColumn("_p", parse_insight_json(F.col(text_col)))
     return (parsed.select(*[c for c in responses.columns if c != text_col],
                           F.col("_p.valid").alias("valid_json"), F.col("_p.title").alias("title"),
                           F.col("_p.content").alias("content"), F.col("_p.confidence").alias("confidence"))
-            .withColumn("stored", F.col("valid_json") & F.col("confidence").isNotNull()))
+            .withColumn("stored", F.col("valid_json") & F.col("confidence").isNotNull() & (F.char_length("title") <= TITLE_LENGTH)))
 
 
 def latest_insights(insights: DataFrame, org_id: str, n: int = LATEST_INSIGHTS) -> DataFrame:
@@ -180,12 +204,14 @@ def latest_insights_all(insights: DataFrame, n: int = LATEST_INSIGHTS) -> DataFr
 
 def store_insights(insights: DataFrame, path: str, created_at=None) -> None:
     """SRC-11: append insights with the stored columns only; ``run_id`` and
-    ``metadata`` stay null and confidence is ``decimal(5,4)`` (rows whose
-    confidence does not fit must be filtered out by :func:`split_insights`)."""
+    ``metadata`` stay null and confidence is ``decimal(5,4)``.  Rows that
+    :func:`split_insights` marked as not stored are left out; a null in a NOT
+    NULL column fails the job."""
     ts = F.current_timestamp().cast("timestamp_ntz") if created_at is None \
         else F.lit(created_at).cast("timestamp_ntz")
-    out = insights.select(
+    good = insights.where("stored") if "stored" in insights.columns else insights
+    out = good.select(
         F.expr("uuid()").alias("id"), "org_id", F.lit(None).cast("string").alias("run_id"), "type", "title",
         "content", F.col("confidence").try_cast("decimal(5,4)").alias("confidence"),
         F.lit(None).cast("string").alias("metadata"), ts.alias("created_at"))
-    out.write.mode("append").parquet(path)
+    enforce_contract(out, AI_INSIGHTS, {"type": 100, "title": TITLE_LENGTH}).write.mode("append").parquet(path)

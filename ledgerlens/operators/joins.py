@@ -1,40 +1,32 @@
-"""Dimension joins (JON-5) with a size-checked broadcast."""
+"""Dimension joins (JON-5) and the bound for computed key sets."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension (in rows) that is shipped whole to every task.  Above it
-# the join is left to the planner (a shuffle join, with AQE splitting skewed
-# partitions and converting to broadcast if the runtime size turns out small).
-BROADCAST_MAX_ROWS = 1_000_000
+# Largest stored parent table (bytes, from its file statistics) whose computed
+# subsets are shipped whole to every task.
+PARENT_MAX_BYTES = 32 << 20
 
 
-def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``small`` has at most ``max_rows`` rows.
+def subset_side(keys: DataFrame, parent: DataFrame, max_bytes: int = PARENT_MAX_BYTES) -> DataFrame:
+    """``keys``, a subset of the rows of the stored table ``parent``, hinted for
+    broadcast when the parent's file statistics are within ``max_bytes``.
 
-    The check reads at most ``max_rows + 1`` rows (a bounded job), so it is
-    safe to run against a side that turns out to be huge."""
-    return small.limit(max_rows + 1).count() <= max_rows
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a fact to a dimension, broadcasting the dimension only when its
-    row count is proven to be at most ``max_rows``."""
-    side = F.broadcast(dim) if fits_broadcast(dim, max_rows) else dim
-    return fact.join(side, on, how)
+    The planner cannot size a computed key set, but a subset is no larger than
+    its parent.  The statistics come from the file listing; no job runs.
+    Beyond the bound the join is the planner's own."""
+    size = int(parent._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(keys) if size <= max_bytes else keys
 
 
 def attach_customer(tx: DataFrame, customers: DataFrame, key: str = "customer_id",
-                    attrs: tuple[str, ...] = ("province", "age_group", "account_type"),
-                    max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                    attrs: tuple[str, ...] = ("province", "age_group", "account_type")) -> DataFrame:
     """JON-5: each transaction carries its customer's attributes.
 
     Inner join on the customer key (every transaction references a known
-    customer).  The customer dimension is broadcast only below ``max_rows``;
-    a larger one is shuffle-joined, and a customer owning a third of all
-    transactions is handled by AQE's skew-join split."""
-    dim = customers.select(key, *attrs)
-    return join_dimension(tx, dim, key, "inner", max_rows)
+    customer).  The planner broadcasts a small dimension; a large one is
+    shuffle-joined, and a customer owning a third of all transactions is
+    handled by AQE's skew-join split."""
+    return tx.join(customers.select(key, *attrs), key, "inner")

@@ -19,16 +19,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import exact_avg, money, money_sum, share_pct_sql, scaled_quotient_sql
-from ..session import checkpoint_dir
-from .joins import fits_broadcast
+from ..functions.money import exact_avg, full_avg, money, money_sum, share_pct_sql, scaled_quotient_sql
 from .staging import fct_revenue, for_tenant
 
-# Most (month, year) keys an incremental refresh ships whole to every task:
-# more than 8,000 years of months.
-TOUCHED_MAX_ROWS = 100_000
-
-
 def _scoped(stg: DataFrame, org_id: str | None) -> DataFrame:
     """Marts ignore tenants unless asked; ``org_id`` scopes them to one."""
     return stg if org_id is None else for_tenant(stg, org_id)
@@ -130,10 +123,10 @@ def rpt_monthly_summary(fct: DataFrame) -> DataFrame:
 
 
 def rpt_category_breakdown(fct: DataFrame) -> DataFrame:
-    """AGG-11: revenue, volume and average per category (average kept to 6 places)."""
+    """AGG-11: revenue, volume and average per category (the average is not rounded)."""
     return (fct.groupBy("category")
             .agg(money_sum().alias("revenue"), F.count(F.lit(1)).alias("volume"),
-                 exact_avg(scale=6).alias("avg_amount"))
+                 full_avg().alias("avg_amount"))
             .orderBy(F.col("revenue").desc_nulls_first(), F.col("category").asc_nulls_last()))
 
 
@@ -173,37 +166,51 @@ def failure_rate(stg: DataFrame, threshold_pct: Decimal | float | str = Decimal(
             .orderBy(F.col("txn_month").asc_nulls_last()))
 
 
-def refresh_months(stg: DataFrame, mart: DataFrame, since, org_id: str | None = None,
-                   max_touched: int = TOUCHED_MAX_ROWS) -> DataFrame:
+def touched_rows(rows: DataFrame, months: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``txn_month`` is among ``months`` (``left_anti``: is not).
+
+    The months compare by plain equality, so that on a table partitioned by
+    month a selective filter on ``months`` prunes the scan's partitions at run
+    time; the null month is a branch of its own, whose scan reads the null
+    partition alone."""
+    month = months.withColumnRenamed("txn_month", "_m")
+    dated = rows.where(F.col("txn_month").isNotNull()).join(
+        month.where(F.col("_m").isNotNull()), F.col("txn_month") == F.col("_m"), how)
+    undated = rows.where(F.col("txn_month").isNull()).join(
+        month.where(F.col("_m").isNull()), F.col("txn_month").eqNullSafe(F.col("_m")), how)
+    return dated.unionByName(undated)
+
+
+def refresh_months(stg: DataFrame, mart: DataFrame, since, org_id: str | None = None) -> DataFrame:
     """AGG-17: incremental refresh of the monthly mart.
 
-    Only (month, year) groups touched by rows loaded after ``since`` are
-    recomputed; the other groups are kept from ``mart``.  The touched-key set
-    has one row per calendar month present in the new rows; after a bounded
-    count proves it holds at most ``max_touched`` rows it is broadcast, so the
-    semi join that selects the rows to recompute never shuffles the fact table
-    (a month holding a third of all rows would otherwise be one task).  Keys
-    compare null-safe, because a null month is a group of its own.  The
-    result equals a full rebuild.
-    """
-    since_ts = F.lit(since).cast("timestamp_ntz")
-    scoped = _scoped(stg, org_id)
-    # Computed once and checkpointed to the shared checkpoint folder: the size
-    # check and both joins read the small stored set, not the fact again.
-    checkpoint_dir(stg.sparkSession)
-    touched = (fct_revenue(scoped).where(F.col("_loaded_at") > since_ts)
-               .select("txn_month", "txn_year").distinct()
-               .withColumnRenamed("txn_month", "_m").withColumnRenamed("txn_year", "_y")
-               .checkpoint(eager=True))
-    on_keys = lambda left: (left.txn_month.eqNullSafe(touched._m) &
-                            left.txn_year.eqNullSafe(touched._y))
-    side = F.broadcast(touched) if fits_broadcast(touched, max_touched) else touched   # one bounded check
-    fresh = fct_monthly_revenue(scoped.join(side, on_keys(scoped), "left_semi"))
-    kept = mart.join(side, on_keys(mart), "left_anti")
+    Only months touched by rows loaded after ``since`` are recomputed; the
+    other rows are kept from ``mart``.  The result equals a full rebuild.  See
+    :func:`fresh_months` for the part that a stored, partitioned mart needs."""
+    months = touched_months(_scoped(stg, org_id), since)
+    fresh = fresh_months(stg, since, org_id)
+    kept = touched_rows(mart, months, "left_anti")
     return (kept.unionByName(fresh)
             .orderBy(F.col("txn_month").asc_nulls_last(), F.col("txn_year").asc_nulls_last()))
 
 
+def touched_months(stg: DataFrame, since) -> DataFrame:
+    """The months of completed rows loaded after ``since``, one row each."""
+    return (fct_revenue(stg).where(F.col("_loaded_at") > F.lit(since).cast("timestamp_ntz"))
+            .select("txn_month").distinct())
+
+
+def fresh_months(stg: DataFrame, since, org_id: str | None = None, by_partition: bool = False) -> DataFrame:
+    """The monthly mart's rows for the months touched after ``since``.
+
+    ``by_partition`` is for a table partitioned by ``txn_month``: its months
+    are at most as many as its partition folders, so they are broadcast, and
+    the recompute reads the touched partitions only."""
+    scoped = _scoped(stg, org_id)
+    months = touched_months(scoped, since)
+    return fct_monthly_revenue(touched_rows(scoped, F.broadcast(months) if by_partition else months))
+
+
 # Grouping sets of the four dashboard marts, keyed by mart name.
 MART_KEYS = ["category", "province", "txn_month", "txn_year", "status"]
 MART_SETS = {

@@ -10,13 +10,15 @@ of all transactions still contributes only one row per month to the window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import exact_avg, money_sum
-from ..schemas import CONTEXT_MONTHS
-from ..session import checkpoint_dir
-from .joins import BROADCAST_MAX_ROWS, fits_broadcast, join_dimension
+from ..functions.money import full_avg, money_sum
+from ..schemas import CONTEXT_MONTHS, TRANSACTIONS
+from .clean import dedupe_first
+from .joins import subset_side
 from .staging import active, for_tenant
 
 
@@ -49,13 +51,13 @@ def org_monthly(tx: DataFrame, org_id: str, months: int = CONTEXT_MONTHS) -> Dat
 def org_categories_all(tx: DataFrame) -> DataFrame:
     """AGG-6 batched: completed revenue, volume and average per (org, category).
 
-    The average is the exact mean kept to 6 places.  Null categories are
+    The average is the full quotient, not rounded.  Null categories are
     dropped (unreadable as text), and ``category_rank`` orders categories by
     revenue, highest first, within each org."""
     grouped = (_completed(tx).where(F.col("category").isNotNull())
                .groupBy("org_id", "category")
                .agg(money_sum().alias("revenue"), F.count(F.lit(1)).alias("volume"),
-                    exact_avg(scale=6).alias("avg_amount")))
+                    full_avg().alias("avg_amount")))
     w = Window.partitionBy("org_id").orderBy(F.col("revenue").desc_nulls_first(), F.col("category"))
     return grouped.withColumn("category_rank", F.row_number().over(w))
 
@@ -92,7 +94,7 @@ def org_categories(tx: DataFrame, org_id: str) -> DataFrame:
     return (_completed(for_tenant(tx, org_id)).where(F.col("category").isNotNull())
             .groupBy("category")
             .agg(money_sum().alias("revenue"), F.count(F.lit(1)).alias("volume"),
-                 exact_avg(scale=6).alias("avg_amount"))
+                 full_avg().alias("avg_amount"))
             .orderBy(F.col("revenue").desc_nulls_first(), F.col("category")))
 
 
@@ -115,46 +117,55 @@ def apply_defaults(df: DataFrame, defaults: dict, required: list[str] | None = N
     return out
 
 
-def promote(raw: DataFrame, org_id: str, existing: DataFrame,
-            loaded_at_col: str = "ingested_at", small_batch_rows: int | None = None) -> DataFrame:
+def promote(raw: DataFrame, org_id: str, existing: DataFrame, loaded_at_col: str = "ingested_at",
+            order_col: str = "seq", batch_is_small: bool = False) -> DataFrame:
     """SRC-8: raw rows → tenant rows for ``org_id``, skipping keys the tenant
     table already holds (one row per ``(org_id, transaction_id)``).
 
-    The id is a name-based hash of the key, so re-promoting the same batch
-    yields the same ids.  Both sides hold the one org, so the key is
-    ``transaction_id``, and by default the anti join shuffles on it (the
-    cleaned rows keep the partitioning of their dedupe).
-
-    ``small_batch_rows`` is for batches far smaller than the stored table (a
-    stream micro-batch, which the caller persists): when a bounded count proves
-    the batch holds at most that many rows, its keys are broadcast and the
-    stored keys are filtered against them in place.  The tenant table is then
-    scanned but never shuffled, and only the stored keys that the batch
-    repeats are joined back."""
-    tenant = (raw.withColumnRenamed("customer_id", "customer_ref")
+    A key that repeats inside the batch keeps its first row in the order of
+    ``order_col``; a null key fails the job (the column is NOT NULL).  The id
+    is a name-based hash of the key, so re-promoting the same batch yields the
+    same ids.  Both sides hold the one org, so the key is ``transaction_id``:
+    the dedupe and the anti join share one shuffle of the batch.
+
+    ``batch_is_small`` is the caller's word that the batch is far smaller than
+    the stored table (a stream micro-batch): the stored keys are first narrowed
+    to those of the batch, which the planner does in place (broadcast) when the
+    batch's size allows."""
+    tenant = (dedupe_first(raw, ["transaction_id"], [order_col])
+              .withColumnRenamed("customer_id", "customer_ref")
+              .withColumn("transaction_id", F.when(F.col("transaction_id").isNull(), F.raise_error(
+                  F.lit("null value in column transaction_id violates not-null constraint"))).otherwise(F.col("transaction_id")))
               .withColumn("org_id", F.lit(str(org_id)))
               .withColumn("id", F.md5(F.concat_ws(":", F.col("org_id"), F.col("transaction_id"))))
               .withColumn("source_id", F.lit(None).cast("string"))
               .withColumn("metadata", F.lit(None).cast("string"))
               .withColumn("amount", F.col("amount").cast("decimal(15,2)"))
               .withColumn("loaded_at", F.col(loaded_at_col).cast("timestamp_ntz")))
-    cols = ["id", "org_id", "source_id", "transaction_id", "customer_ref", "province", "age_group",
-            "account_type", "merchant", "category", "amount", "currency", "status", "txn_date",
-            "txn_month", "txn_year", "metadata", "loaded_at"]
+    cols = [f.name for f in TRANSACTIONS.fields]
     stored = existing.where(F.col("org_id") == F.lit(str(org_id))).select("transaction_id")
-    batch_keys = tenant.select("transaction_id")
-    if small_batch_rows is not None and fits_broadcast(batch_keys, small_batch_rows):
-        stored = stored.join(F.broadcast(batch_keys), "transaction_id", "left_semi")
+    if batch_is_small:
+        stored = stored.join(raw.select("transaction_id"), "transaction_id", "left_semi")
     return tenant.select(*cols).join(stored, "transaction_id", "left_anti").select(*cols)
 
 
-def insert_if_absent(target: DataFrame, new: DataFrame, key_sets: list[list[str]]) -> DataFrame:
+def insert_if_absent(target: DataFrame, new: DataFrame, key_sets: list[list[str]],
+                     order: list[str] | None = None) -> DataFrame:
     """SRC-9: ``INSERT ... ON CONFLICT DO NOTHING``: rows of ``new`` that
-    collide with ``target`` on any unique key set are skipped; the result is
-    the target plus the inserted rows."""
+    collide with ``target`` on any unique key set are skipped, and of rows of
+    ``new`` that collide with one another the first in ``order`` (default: the
+    key columns) is inserted, key set by key set.  A null in a key never
+    collides.  The result is the target plus the inserted rows."""
     inserted = new.select(*target.columns)
+    first = order or [c for keys in key_sets for c in keys]
     for keys in key_sets:
         inserted = inserted.join(target.select(*keys), keys, "left_anti")
+    rest = [c for c in target.columns if c not in first]
+    for keys in key_sets:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in first + rest])
+        known = [F.col(k).isNotNull() for k in keys]
+        inserted = inserted.withColumn("_rank", F.row_number().over(w))
+        inserted = inserted.where((F.col("_rank") == 1) | ~reduce(Column.__and__, known)).drop("_rank")
     return target.unionByName(inserted.select(*target.columns))
 
 
@@ -179,29 +190,27 @@ def quota_users(orgs: DataFrame, memberships: DataFrame) -> DataFrame:
                     (F.coalesce("users_used", F.lit(0)) > F.col("max_users")).alias("over_quota")))
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None,
-            max_parents: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None) -> DataFrame:
     """JON-3: child rows whose non-null key has no parent row.
 
-    A parent table proven to hold at most ``max_parents`` keys is broadcast,
-    so the child is never shuffled; a larger one is a shuffle join, where AQE
-    splits a child key that holds a third of all rows."""
+    The planner broadcasts a parent table that its file statistics show to be
+    small, so the child is not shuffled; a larger one is a shuffle join, where
+    AQE splits a child key that holds a third of all rows."""
     parent_key = parent_key or child_key
     parents = parent.select(F.col(parent_key).alias("_parent_key")).where(F.col("_parent_key").isNotNull())
-    return join_dimension(child.where(F.col(child_key).isNotNull()), parents,
-                          F.col(child_key) == F.col("_parent_key"), "left_anti", max_parents)
+    return child.where(F.col(child_key).isNotNull()).join(parents, F.col(child_key) == F.col("_parent_key"), "left_anti")
 
 
 def purge_orgs(child: DataFrame, deleted_orgs: DataFrame, org_col: str = "org_id",
-               deleted_key: str = "id", max_orgs: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               deleted_key: str = "id", organizations: DataFrame | None = None) -> DataFrame:
     """JON-4: drop the child rows of deleted orgs (``ON DELETE CASCADE``).
 
     The deleted orgs are often computed (e.g. from a quota aggregate over the
-    child table), so the planner cannot size them.  Their keys are computed
-    once and checkpointed to the shared checkpoint folder; after a bounded
-    count proves at most ``max_orgs`` keys they are broadcast, and the child
-    table, in which one org may own a third of all rows, is filtered in place
-    without a shuffle."""
-    checkpoint_dir(child.sparkSession)
-    gone = deleted_orgs.select(F.col(deleted_key).alias("_gone")).checkpoint(eager=True)
-    return join_dimension(child, gone, F.col(org_col) == F.col("_gone"), "left_anti", max_orgs)
+    child table), so the planner cannot size them.  Given the stored
+    ``organizations`` table they are a subset of, its file statistics bound
+    them (:func:`ledgerlens.operators.joins.subset_side`): the child table, in
+    which one org may own a third of all rows, is then filtered in place."""
+    gone = deleted_orgs.select(F.col(deleted_key).alias("_gone"))
+    if organizations is not None:
+        gone = subset_side(gone, organizations)
+    return child.join(gone, F.col(org_col) == F.col("_gone"), "left_anti")

@@ -34,9 +34,12 @@ _RAW_REST = [c for c in CSV_COLUMNS if c != "transaction_id"]
 CTE_DEDUP = ("dedup AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY "
              "transaction_id ORDER BY " + ", ".join(f"{c} NULLS FIRST" for c in ["seq"] + _RAW_REST) +
              ") AS rn, count(*) OVER (PARTITION BY transaction_id) AS copies FROM raw_dirty) WHERE rn = 1)")
-CTE_TYPED = ("typed AS (SELECT *, try_cast(trim(amount) AS DOUBLE) AS amount_num, "
-             "try_cast(trim(txn_date) AS DATE) AS date_val, try_cast(trim(txn_year) AS INTEGER) AS year_val "
-             "FROM dedup)")
+# The number and date grammars, stated apart from the operators.
+D_NUMBER = ("CASE WHEN regexp_full_match(trim(amount), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') "
+            "THEN cast(trim(amount) AS DOUBLE) END")
+CTE_TYPED = (f"typed AS (SELECT *, {D_NUMBER} AS amount_num, "
+             "CASE WHEN regexp_full_match(trim(txn_date), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(trim(txn_date) AS DATE) END "
+             "AS date_val, try_cast(trim(txn_year) AS INTEGER) AS year_val FROM dedup)")
 
 
 def _strip_or_keep(c: str) -> str:
@@ -75,7 +78,7 @@ def q_dedupe_first(spark, sf_dir):
 
 
 @register("cast_amount", RAW + """
-SELECT seq, amount AS amount_text, try_cast(trim(amount) AS DOUBLE) AS amount_num FROM raw_dirty""")
+SELECT seq, amount AS amount_text, """ + D_NUMBER + """ AS amount_num FROM raw_dirty""")
 def q_cast_amount(spark, sf_dir):
     """CLN-3: lenient amount parse."""
     return _raw(spark, sf_dir).select(
@@ -83,14 +86,14 @@ def q_cast_amount(spark, sf_dir):
 
 
 @register("filter_positive", RAW + f"""
-SELECT seq, transaction_id, cast(amount_num AS DECIMAL(12,2)) AS amount
-FROM (SELECT *, try_cast(trim(amount) AS DOUBLE) AS amount_num FROM raw_dirty)
-WHERE {D_AMOUNT_OK}""")
+SELECT seq, transaction_id, amount FROM (
+  SELECT seq, transaction_id, CASE WHEN NOT isinf(amount_num) THEN cast(amount_num AS DECIMAL(12,2)) END AS amount
+  FROM (SELECT *, {D_NUMBER} AS amount_num FROM raw_dirty))
+WHERE amount > 0""")
 def q_filter_positive(spark, sf_dir):
-    """PRJ-2: positive parsed amounts only."""
-    parsed = _raw(spark, sf_dir).withColumn("amount_num", C.cast_amount("amount"))
-    kept = parsed.where(C.amount_is_valid(F.col("amount_num")))
-    return kept.select("seq", "transaction_id", F.col("amount_num").cast("decimal(12,2)").alias("amount"))
+    """PRJ-2: positive amounts only, over parsed and rounded amounts (some null, negative or 0.00)."""
+    parsed = _raw(spark, sf_dir).select("seq", "transaction_id", C.cast_amount("amount").cast("decimal(12,2)").alias("amount"))
+    return S.filter_positive(parsed)
 
 
 @register("filter_status", RAW + f"SELECT seq, transaction_id, status FROM raw_dirty WHERE {D_STATUS_OK}")
@@ -112,18 +115,25 @@ def q_clean_transactions(spark, sf_dir):
     return C.clean_transactions(_raw(spark, sf_dir))
 
 
-@register("cleaning_report", CLEAN_ALL + f"""
+# The report's input has unparsable and missing dates as well.
+BAD_DATE_SQL = "CASE WHEN seq % 211 = 0 THEN '2025-99-99' WHEN seq % 223 = 0 THEN NULL ELSE txn_date END"
+
+
+@register("cleaning_report", with_ctes(CTE_RAW_DIRTY.replace("raw_dirty AS", "raw_good AS"),
+                                       f"raw_dirty AS (SELECT * REPLACE ({BAD_DATE_SQL} AS txn_date) FROM raw_good)",
+                                       CTE_DEDUP, CTE_TYPED) + f"""
 SELECT cast(sum(copies) AS BIGINT) AS rows_in,
        cast(sum(copies - 1) AS BIGINT) AS duplicates_removed,
        count(*) FILTER (WHERE NOT coalesce({D_AMOUNT_OK}, false)) AS invalid_amounts_removed,
        count(*) FILTER (WHERE coalesce({D_AMOUNT_OK}, false) AND NOT coalesce({D_STATUS_OK}, false))
          AS unknown_statuses_removed,
        count(*) FILTER (WHERE coalesce({D_AMOUNT_OK}, false) AND coalesce({D_STATUS_OK}, false)) AS rows_out,
-       count(*) FILTER (WHERE date_val IS NULL OR year_val IS NULL) AS strict_cast_failures
+       count(*) FILTER (WHERE year_val IS NULL OR (date_val IS NULL AND (txn_date IS NOT NULL OR
+         (coalesce({D_AMOUNT_OK}, false) AND coalesce({D_STATUS_OK}, false))))) AS strict_cast_failures
 FROM typed""")
 def q_cleaning_report(spark, sf_dir):
     """CLN-7: the cleaning counts in one pass."""
-    return C.cleaning_report(_raw(spark, sf_dir))
+    return C.cleaning_report(_raw(spark, sf_dir).withColumn("txn_date", F.expr(BAD_DATE_SQL)))
 
 
 @register("completed_revenue", with_ctes(CTE_RAW_DIRTY, CTE_DEDUP, CTE_TYPED, CTE_CLEAN) + """

@@ -7,9 +7,9 @@ from ..schemas import (CONTEXT_MONTHS, DEFAULT_INSIGHT_TYPE, INSIGHT_PROMPTS, IN
                        LATEST_INSIGHTS, PLACEHOLDER_CONTENT, PLACEHOLDER_TITLE)
 from ..sources import fixtures as FX
 from .marts import TENANT
-from .oracle import CTE_INSIGHTS, CTE_TX, d_quotient, with_ctes
+from .oracle import CTE_INSIGHTS, CTE_ORGS, CTE_TX, d_quotient, with_ctes
 from .registry import register
-from .tenancy import CATEGORIES_ALL_SQL, MONTHLY_ALL_SQL, q_insert_if_absent
+from .tenancy import CATEGORIES_ALL_SQL, CTE_ALL_ORGS, MONTHLY_ALL_SQL, q_insert_if_absent
 
 # Request types of the prompt query: the three known types, an unknown one
 # and an empty one (which becomes the default type).
@@ -68,14 +68,7 @@ def q_insight_context(spark, sf_dir):
     return _context(spark, sf_dir)
 
 
-def _all_orgs_sql() -> str:
-    from .registry import ORACLE_SQL
-    return ORACLE_SQL["insert_if_absent"].split("WITH ", 1)[1]
-
-
-@register("insight_eligible_orgs", with_ctes(CTE_TX, CTE_CONTEXT) + ", " + _all_orgs_sql().replace(
-    "\nSELECT * FROM organizations\nUNION ALL", ",\nall_orgs AS (SELECT * FROM organizations\nUNION ALL", 1)
-    + """)
+@register("insight_eligible_orgs", with_ctes(CTE_TX, CTE_CONTEXT, CTE_ORGS, CTE_ALL_ORGS) + """
 SELECT a.id AS org_id, coalesce(c.n_months, 0) AS n_months, c.n_months IS NOT NULL AS eligible
 FROM all_orgs a LEFT JOIN context c ON a.id = c.org_id""")
 def q_insight_eligible_orgs(spark, sf_dir):
@@ -101,43 +94,47 @@ def q_insights_placeholder(spark, sf_dir):
     return IN.generate_insights(IN.insight_requests(_context(spark, sf_dir)))
 
 
+# Model-style answers by event: wrong types, trailing words, other-case keys,
+# null, an array, raw props (fields missing, extra fields), text that is no
+# JSON, a confidence out of range, and well-formed answers.
 RESPONSES_SQL = """responses AS (
-  SELECT cast(event_id AS VARCHAR) AS id, cast(user_id AS VARCHAR) AS org_id, event_type AS type,
-         CASE WHEN event_id % 5 = 0 THEN props
-              WHEN event_id % 5 = 1 THEN 'not json ' || event_type
-              WHEN event_id % 13 = 0 THEN json_object('title', event_type,
-                   'content', 'user ' || cast(user_id AS VARCHAR), 'confidence', 12)::VARCHAR
-              ELSE json_object('title', event_type, 'content', 'user ' || cast(user_id AS VARCHAR),
-                   'confidence', cast(event_id % 10000 AS DOUBLE) / 10000.0, 'extra', value)::VARCHAR
-         END AS response
+  SELECT event_id, cast(event_id AS VARCHAR) AS id, cast(user_id AS VARCHAR) AS org_id, event_type AS type, user_id, props,
+         event_id % 17 AS k17, event_id % 5 AS k5, event_id % 13 = 0 AS far
   FROM events)"""
 
 
 def _responses(spark, sf_dir):
-    """Model-style JSON answers derived from the events table: raw props
-    (fields missing, extra field), non-JSON text, an out-of-range confidence
-    and well-formed answers."""
     ev = FX.read_parquet_table(spark, sf_dir, "events")
     return ev.selectExpr(
         "cast(event_id as string) AS id", "cast(user_id as string) AS org_id", "event_type AS type",
-        "CASE WHEN event_id % 5 = 0 THEN props "
-        "WHEN event_id % 5 = 1 THEN concat('not json ', event_type) "
-        "WHEN event_id % 13 = 0 THEN to_json(named_struct('title', event_type, "
-        "'content', concat('user ', cast(user_id as string)), 'confidence', 12)) "
-        "ELSE to_json(named_struct('title', event_type, 'content', concat('user ', cast(user_id as string)), "
-        "'confidence', cast(event_id % 10000 as double) / 10000.0D, 'extra', value)) END AS response")
-
-
+        """CASE WHEN event_id % 17 = 0 THEN '{"title": "t", "content": "c", "confidence": "high"}'
+             WHEN event_id % 17 = 1 THEN '{"title": 5, "content": "c"}'
+             WHEN event_id % 17 = 2 THEN '{"title": "t", "content": "c"} and more'
+             WHEN event_id % 17 = 3 THEN concat('{"Title": "', event_type, '", "CONTENT": "c", "Confidence": 0.5}')
+             WHEN event_id % 17 = 4 THEN ' null '
+             WHEN event_id % 17 = 5 THEN '[{"title": "t"}]'
+             WHEN event_id % 17 = 6 THEN '{"title": null, "content": "only content", "title": "last"}'
+             WHEN event_id % 5 = 0 THEN props
+             WHEN event_id % 5 = 1 THEN concat('not json ', event_type)
+             WHEN event_id % 13 = 0 THEN to_json(named_struct('title', event_type,
+               'content', concat('user ', cast(user_id as string)), 'confidence', 12))
+             ELSE to_json(named_struct('title', event_type, 'content', concat('user ', cast(user_id as string)),
+               'confidence', cast(event_id % 10000 as double) / 10000.0D, 'extra', value)) END AS response""")
+
+
+# The expected outcome of each kind of answer, stated outright (props is an
+# object without the three fields).
 @register("parse_insight_json", with_ctes(RESPONSES_SQL) + """
-SELECT id, org_id, type, valid_json, title, content, confidence,
-       valid_json AND confidence IS NOT NULL AS stored
-FROM (SELECT id, org_id, type, valid_json,
-             CASE WHEN valid_json THEN coalesce(json_extract_string(response, '$.title'), '') END AS title,
-             CASE WHEN valid_json THEN coalesce(json_extract_string(response, '$.content'), '') END AS content,
-             CASE WHEN valid_json THEN try_cast(coalesce(try_cast(json_extract_string(response, '$.confidence')
-                  AS DOUBLE), 0.0) AS DECIMAL(5,4)) END AS confidence
-      FROM (SELECT *, CASE WHEN coalesce(json_valid(response), false) THEN json_type(response) = 'OBJECT' ELSE false END AS valid_json
-            FROM responses))""")
+SELECT id, org_id, type, valid_json, title, content, confidence, valid_json AND confidence IS NOT NULL AS stored
+FROM (SELECT id, org_id, type,
+        k17 IN (3, 4, 6) OR (k17 > 6 AND k5 <> 1) AS valid_json,
+        CASE WHEN k17 IN (0, 1, 2, 5) THEN NULL WHEN k17 = 3 THEN type WHEN k17 = 4 THEN '' WHEN k17 = 6 THEN 'last'
+             WHEN k5 = 0 THEN '' WHEN k5 = 1 THEN NULL ELSE type END AS title,
+        CASE WHEN k17 IN (0, 1, 2, 5) THEN NULL WHEN k17 = 3 THEN 'c' WHEN k17 = 4 THEN '' WHEN k17 = 6 THEN 'only content'
+             WHEN k5 = 0 THEN '' WHEN k5 = 1 THEN NULL ELSE 'user ' || cast(user_id AS VARCHAR) END AS content,
+        cast(CASE WHEN k17 IN (0, 1, 2, 5) THEN NULL WHEN k17 = 3 THEN 0.5 WHEN k17 IN (4, 6) THEN 0
+             WHEN k5 = 0 THEN 0 WHEN k5 = 1 OR far THEN NULL ELSE cast(event_id % 10000 AS DOUBLE) / 10000.0 END AS DECIMAL(5,4)) AS confidence
+      FROM responses)""")
 def q_parse_insight_json(spark, sf_dir):
     """FN-11 / INS-5: parse generator answers and flag which are stored."""
     return IN.split_insights(_responses(spark, sf_dir))

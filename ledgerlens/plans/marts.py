@@ -151,7 +151,7 @@ def q_rpt_monthly_summary(spark, sf_dir):
 
 
 @register("rpt_category_breakdown", FCT + f"""
-SELECT category, {d_sum()} AS revenue, count(*) AS volume, {d_avg(scale=6)} AS avg_amount
+SELECT category, {d_sum()} AS revenue, count(*) AS volume, cast(sum(amount) AS DOUBLE) / count(amount) AS avg_amount
 FROM fct GROUP BY category ORDER BY revenue DESC""")
 def q_rpt_category_breakdown(spark, sf_dir):
     """AGG-11: category report."""

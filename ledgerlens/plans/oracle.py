@@ -60,7 +60,9 @@ CTE_RAW_DIRTY = f"""raw_dirty AS (
               ELSE o_orderpriority END AS category,
          CASE WHEN copy = 1 THEN '1.00' WHEN o_orderkey % 53 = 0 THEN '-5.00'
               WHEN o_orderkey % 59 = 0 THEN 'abc' WHEN o_orderkey % 79 = 0 THEN NULL
-              WHEN o_orderkey % 89 = 0 THEN '0.004'
+              WHEN o_orderkey % 89 = 0 THEN '0.004' WHEN o_orderkey % 83 = 0 THEN '10d'
+              WHEN o_orderkey % 101 = 0 THEN '0x1p3' WHEN o_orderkey % 103 = 0 THEN '1e3'
+              WHEN o_orderkey % 107 = 0 THEN '  12.50 '
               ELSE cast(cast(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) END AS amount,
          'CAD' AS currency,
          CASE WHEN copy = 1 THEN 'completed' WHEN o_orderkey % 61 = 0 THEN ' completed '

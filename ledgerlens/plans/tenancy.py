@@ -13,7 +13,7 @@ from ..sources import fixtures as FX
 from ..sources.tables import read_parquet_table
 from .cleaning import CTE_CLEAN, CTE_DEDUP, CTE_TYPED
 from .marts import TENANT
-from .oracle import (CTE_MEMBERSHIPS, CTE_ORGS, CTE_RAW_DIRTY, CTE_TX, SLUG_SQL, d_avg, d_sum,
+from .oracle import (CTE_MEMBERSHIPS, CTE_ORGS, CTE_RAW_DIRTY, CTE_TX, SLUG_SQL, d_sum,
                      with_ctes)
 from .registry import register
 
@@ -30,7 +30,7 @@ WHERE month_rank <= 12 AND month IS NOT NULL"""
 CATEGORIES_ALL_SQL = f"""SELECT org_id, category, revenue, volume, avg_amount,
        cast(row_number() OVER (PARTITION BY org_id ORDER BY revenue DESC NULLS FIRST, category)
             AS INTEGER) AS category_rank
-FROM (SELECT org_id, category, {d_sum()} AS revenue, count(*) AS volume, {d_avg(scale=6)} AS avg_amount
+FROM (SELECT org_id, category, {d_sum()} AS revenue, count(*) AS volume, cast(sum(amount) AS DOUBLE) / count(amount) AS avg_amount
       FROM tx WHERE status = 'completed' AND category IS NOT NULL GROUP BY org_id, category)"""
 
 QUOTA_ROWS_SQL = """SELECT o.id AS org_id, coalesce(u.rows_used, 0) AS rows_used, o.max_rows,
@@ -61,7 +61,7 @@ def q_org_monthly_top12_all(spark, sf_dir):
 
 
 @register("org_category_breakdown", with_ctes(CTE_TX) + f"""
-SELECT category, {d_sum()} AS revenue, count(*) AS volume, {d_avg(scale=6)} AS avg_amount
+SELECT category, {d_sum()} AS revenue, count(*) AS volume, cast(sum(amount) AS DOUBLE) / count(amount) AS avg_amount
 FROM tx WHERE org_id = '{TENANT}' AND status = 'completed' AND category IS NOT NULL
 GROUP BY category ORDER BY revenue DESC""")
 def q_org_category_breakdown(spark, sf_dir):
@@ -92,34 +92,51 @@ SELECT md5(concat_ws(':', '{TENANT}', transaction_id)) AS id, '{TENANT}' AS org_
        age_group, account_type, merchant, category, cast(amount AS DECIMAL(15,2)) AS amount, currency,
        status, txn_date, txn_month, txn_year, cast(NULL AS VARCHAR) AS metadata,
        TIMESTAMP '{PROMOTE_LOADED_AT}' AS loaded_at
-FROM clean c
+FROM (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY seq) AS rn FROM (
+  SELECT * FROM clean UNION ALL SELECT * REPLACE (seq + 1000000000 AS seq, cast(amount + 1 AS DECIMAL(12,2)) AS amount)
+  FROM clean WHERE seq % 11 = 0)) WHERE rn = 1) c
 WHERE NOT EXISTS (SELECT 1 FROM tx WHERE tx.org_id = '{TENANT}' AND tx.transaction_id = c.transaction_id)""")
 def q_promote_new_rows(spark, sf_dir):
-    """SRC-8: cleaned raw rows promoted into one tenant, skipping stored keys."""
-    raw = C.clean_transactions(FX.raw_dirty(spark, sf_dir)).withColumn(
-        "ingested_at", F.lit(PROMOTE_LOADED_AT).cast("timestamp_ntz"))
+    """SRC-8: cleaned raw rows promoted into one tenant, skipping stored keys;
+    every eleventh position is offered again later with another amount."""
+    clean = C.clean_transactions(FX.raw_dirty(spark, sf_dir))
+    again = clean.where("seq % 11 = 0").withColumn("seq", F.col("seq") + 1_000_000_000).withColumn(
+        "amount", (F.col("amount") + 1).cast("decimal(12,2)"))
+    raw = clean.unionByName(again).withColumn("ingested_at", F.lit(PROMOTE_LOADED_AT).cast("timestamp_ntz"))
     return TN.promote(raw, TENANT, _tx(spark, sf_dir))
 
 
-@register("insert_if_absent", with_ctes(CTE_ORGS) + f""",
-incoming AS (
+# Nations offered as orgs, every third one a second time under another id: the
+# stored orgs win, then the smaller id.
+CTE_ALL_ORGS = f"""incoming AS (
   SELECT cast(n_nationkey AS VARCHAR) AS id, n_name AS name, {SLUG_SQL.format(x='n_name')} AS slug
-  FROM nation)
-SELECT * FROM organizations
-UNION ALL
-SELECT id, name, slug, 'free' AS plan, 'active' AS status, {FX.ORG_MAX_USERS} AS max_users,
-       cast({FX.ORG_MAX_ROWS} AS BIGINT) AS max_rows, TIMESTAMP '{FX.FIXTURE_EPOCH}' AS created_at,
-       TIMESTAMP '{FX.FIXTURE_EPOCH}' AS updated_at, cast(NULL AS TIMESTAMP) AS deleted_at
-FROM incoming i
-WHERE NOT EXISTS (SELECT 1 FROM organizations o WHERE o.id = i.id)
-  AND NOT EXISTS (SELECT 1 FROM organizations o WHERE o.slug = i.slug)""")
+  FROM nation
+  UNION ALL
+  SELECT cast(n_nationkey + 100 AS VARCHAR), n_name, {SLUG_SQL.format(x='n_name')}
+  FROM nation WHERE n_nationkey % 3 = 0),
+inserted AS (
+  SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS rn FROM incoming i
+  WHERE NOT EXISTS (SELECT 1 FROM organizations o WHERE o.id = i.id)
+    AND NOT EXISTS (SELECT 1 FROM organizations o WHERE o.slug = i.slug)),
+all_orgs AS (
+  SELECT * FROM organizations
+  UNION ALL
+  SELECT id, name, slug, 'free' AS plan, 'active' AS status, {FX.ORG_MAX_USERS} AS max_users,
+         cast({FX.ORG_MAX_ROWS} AS BIGINT) AS max_rows, TIMESTAMP '{FX.FIXTURE_EPOCH}' AS created_at,
+         TIMESTAMP '{FX.FIXTURE_EPOCH}' AS updated_at, cast(NULL AS TIMESTAMP) AS deleted_at
+  FROM inserted WHERE rn = 1)"""
+
+
+@register("insert_if_absent", with_ctes(CTE_ORGS, CTE_ALL_ORGS) + "SELECT * FROM all_orgs")
 def q_insert_if_absent(spark, sf_dir):
-    """SRC-9: nations offered as new orgs; id or slug conflicts are skipped."""
+    """SRC-9: nations offered as new orgs; id or slug conflicts, with stored
+    orgs or with one another, are skipped."""
     orgs = FX.organizations(spark, sf_dir)
-    nations = read_parquet_table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
-    incoming = _with_org_defaults(nations.withColumn("slug", slugify("name")))
-    return TN.insert_if_absent(orgs, incoming, [["id"], ["slug"]])
+    nations = read_parquet_table(spark, sf_dir, "nation")
+    offered = nations.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")).unionAll(
+        nations.where("n_nationkey % 3 = 0").select((F.col("n_nationkey") + 100).cast("string"), "n_name"))
+    incoming = _with_org_defaults(offered.withColumn("slug", slugify("name")))
+    return TN.insert_if_absent(orgs, incoming, [["id"], ["slug"]], order=["id"])
 
 
 def _with_org_defaults(df):
@@ -161,8 +178,9 @@ SELECT * FROM tx WHERE NOT EXISTS (SELECT 1 FROM quota q WHERE q.over_quota AND
 def q_cascade_purge(spark, sf_dir):
     """JON-4: remove the transactions of purged orgs (here: orgs over their row quota)."""
     tx = _tx(spark, sf_dir)
-    purged = TN.quota_rows(FX.organizations(spark, sf_dir), tx).where("over_quota")
-    return TN.purge_orgs(tx, purged, deleted_key="org_id")
+    orgs = FX.organizations(spark, sf_dir)
+    purged = TN.quota_rows(orgs, tx).where("over_quota")
+    return TN.purge_orgs(tx, purged, deleted_key="org_id", organizations=orgs)
 
 
 CUSTOMER_DIM_SQL = [

@@ -23,13 +23,11 @@ CSV_COLUMNS = [
 ]
 
 # Column defaults of the stored tables (a default fills an omitted column only).
-TRANSACTION_DEFAULTS = {"currency": "CAD"}
 ORGANIZATION_DEFAULTS = {"plan": "free", "status": "active", "max_users": 5, "max_rows": 100000}
 
-# Other enumerations used by the tenant tables.
-ORG_PLANS = ["free", "starter", "pro", "enterprise"]
-MEMBER_ROLES = ["owner", "admin", "member", "viewer"]
-RUN_STATUSES = ["running", "success", "failed"]
+# Insight types, in prompt order.
+# Width of a stored insight's title.
+TITLE_LENGTH = 255
 INSIGHT_TYPES = ["summary", "anomaly", "recommendation"]
 
 # Insight prompts keyed by type; unknown types fall back to the summary prompt.
@@ -65,12 +63,14 @@ REVENUE_FLOOR = 1000000
 
 MONEY_RAW = T.DecimalType(12, 2)      # raw layer amount
 MONEY = T.DecimalType(15, 2)          # tenant layer amount
-MONEY_TOTAL = T.DecimalType(38, 2)    # every money aggregate we emit
-PERCENT = T.DecimalType(7, 2)
 CONFIDENCE = T.DecimalType(5, 4)
 
 CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in CSV_COLUMNS])
 
+# Widths of the raw table's text columns.
+RAW_LENGTHS = {"province": 5, "age_group": 10, "account_type": 20, "merchant": 100, "category": 50, "currency": 5,
+               "status": 20, "txn_month": 7}
+
 RAW_TRANSACTIONS = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("transaction_id", T.StringType(), False),
@@ -130,12 +130,5 @@ AI_INSIGHTS = T.StructType([
     T.StructField("created_at", T.TimestampNTZType(), False),
 ])
 
-# Output of a text generator plugged into the insight batch.
-GENERATOR_OUTPUT = T.StructType([
-    T.StructField("org_id", T.StringType(), False),
-    T.StructField("type", T.StringType(), False),
-    T.StructField("response", T.StringType(), True),
-])
-
 # Stored types of defaulted organization columns.
 ORGANIZATION_DEFAULT_TYPES = {"max_users": "int", "max_rows": "bigint"}

@@ -28,32 +28,28 @@ JOB_CONF = {
 MB = 1 << 20
 
 
-def sizing_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * MB,
-                max_partitions: int = 200_000) -> dict[str, str]:
+def sizing_conf(input_bytes: int, total_cores: int, shuffled_share: float = 0.1,
+                partition_bytes: int = 256 * MB, split_bytes: int = 1024 * MB) -> dict[str, str]:
     """Shuffle and scan sizing for a job that reads ``input_bytes`` on a
     cluster with ``total_cores`` task slots.
 
-    The widest shuffle in this library (dedupe, promote, the unique-id test)
-    carries about the projected input, so the initial shuffle partition count
-    is ``input_bytes / partition_bytes``, at least three tasks per core, and
-    at most ``max_partitions``.  AQE then coalesces the many small partitions
-    of the aggregating stages up to the advisory size and splits skewed join
-    partitions.  Scan splits use the same size, so a task's input and its
-    shuffle output both fit the executor memory share of one core.
-
-    Example: 100 TB on 1,000 executors x 8 cores asks for about 373,000
-    partitions and gets the cap of 200,000, so each holds about 500 MB of
-    input before column pruning (a projected column subset is far less);
-    small stages coalesce back towards 256 MB."""
-    wanted = -(-int(input_bytes) // int(partition_bytes))
-    partitions = max(3 * int(total_cores), min(wanted, int(max_partitions)))
-    size = f"{int(partition_bytes) // MB}m"
+    Shuffle partitions follow the bytes that are shuffled, not those read:
+    ``input_bytes * shuffled_share / partition_bytes``, at least three tasks
+    per core.  The widest shuffle here (dedupe, the unique-id test) carries a
+    few of the columns, about a tenth of the input.  Scan splits are larger
+    than shuffle partitions: map tasks times reduce partitions is the number
+    of shuffle blocks, and a column-pruned split holds far less than its size.
+    AQE coalesces small stages and splits skewed join partitions.
+
+    Example: 100 TB on 8,000 cores gives about 93,000 scan splits and 37,000
+    shuffle partitions of 256 MB."""
+    partitions = max(3 * int(total_cores), -(-int(input_bytes * shuffled_share) // int(partition_bytes)))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{int(partition_bytes) // MB}m",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * int(partition_bytes) // MB}m",
-        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.files.maxPartitionBytes": f"{int(split_bytes) // MB}m",
     }
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
-from .tables import read_parquet_table, spread_scan
+from .tables import read_parquet_table
 
 # Derivation rules of the fixtures.  Shared with the DuckDB oracle text in
 # ledgerlens.plans.oracle, which restates them in DuckDB syntax.
@@ -31,17 +31,8 @@ ORG_MAX_USERS = 60
 FIXTURE_EPOCH = "2024-01-01 00:00:00"
 
 
-# Scans of the driver's read-only test tables, one per (application, table):
-# resolving a parquet relation lists its files and reads a footer, which would
-# otherwise be repeated by every fixture of every query.
-_SCANS: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _SCANS:
-        _SCANS[key] = read_parquet_table(spark, sf_dir, name)
-    return _SCANS[key]
+    return read_parquet_table(spark, sf_dir, name)
 
 
 def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +44,7 @@ def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a shuffle join on the customer key).  Joining the two dimensions first
     would make the planner estimate their join as the product of both sizes
     and broadcast the fact table instead."""
-    orders = spread_scan(_t(spark, sf_dir, "orders"), "o_orderkey")
+    orders = _t(spark, sf_dir, "orders")
     customer = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     return (orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -104,7 +95,9 @@ def raw_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ELSE o_orderpriority END AS category",
         "CASE WHEN copy = 1 THEN '1.00' WHEN o_orderkey % 53 = 0 THEN '-5.00' "
         "WHEN o_orderkey % 59 = 0 THEN 'abc' WHEN o_orderkey % 79 = 0 THEN NULL "
-        "WHEN o_orderkey % 89 = 0 THEN '0.004' "
+        "WHEN o_orderkey % 89 = 0 THEN '0.004' WHEN o_orderkey % 83 = 0 THEN '10d' "
+        "WHEN o_orderkey % 101 = 0 THEN '0x1p3' WHEN o_orderkey % 103 = 0 THEN '1e3' "
+        "WHEN o_orderkey % 107 = 0 THEN '  12.50 ' "
         "ELSE cast(cast(o_totalprice as decimal(15,2)) as string) END AS amount",
         "'CAD' AS currency",
         f"CASE WHEN copy = 1 THEN 'completed' WHEN o_orderkey % 61 = 0 THEN ' completed ' "
@@ -117,8 +110,8 @@ def raw_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tx_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-level transactions (FIXTURES §2.3); ``transaction_id`` repeats."""
-    lineitem = spread_scan(_t(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
+    lineitem = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_type")
     supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     # Two fact tables: a sort-merge join on the order key (it spills, and the
@@ -150,7 +143,7 @@ def tx_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored insights (``ai_insights``) from the events table."""
-    return spread_scan(_t(spark, sf_dir, "events"), "event_id").selectExpr(
+    return _t(spark, sf_dir, "events").selectExpr(
         "cast(event_id as string) AS id",
         "cast(user_id as string) AS org_id",
         "cast(NULL as string) AS run_id",

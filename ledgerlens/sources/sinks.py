@@ -1,9 +1,9 @@
 """Sources and sinks with side effects (SRC-1, SRC-3..6, SRC-10, SRC-12).
 
-Loads are atomic at the table level: the new data is written to a staging
-folder next to the table and swapped in only after the write job succeeded,
-so a failing load leaves the previous table in place (and readers never see a
-half-written table).  The row count comes from an ``Observation`` on the
+Loads are atomic at the table level: the new data is written to a version
+folder and one pointer file is switched to it after the write job succeeded,
+so a failing load leaves the previous table in place and readers always find
+one complete version.  The row count comes from an ``Observation`` on the
 write itself — no second pass over the data.
 """
 
@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import CSV_COLUMNS, CSV_SCHEMA, INSERT_BATCH_ROWS, PIPELINE_RUNS, RAW_TRANSACTIONS
+from ..schemas import CSV_COLUMNS, INSERT_BATCH_ROWS, PIPELINE_RUNS, RAW_LENGTHS, RAW_TRANSACTIONS, TRANSACTIONS
 from ..session import checkpoint_dir
 
 # The text tokens that the source reader treats as missing
@@ -28,14 +30,28 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 # CSV (SRC-1, SRC-5)
 # ---------------------------------------------------------------------------
 
+#: The file dialect, reading and writing: quotes inside a quoted field are
+#: doubled and a quoted field may hold line breaks (so a file is one split; many
+#: files are read in parallel).  Rows with too many or too few fields and headers
+#: that differ from the expected one fail the read.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST",
+               "enforceSchema": False, "columnPruning": False,
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_transactions_csv(spark: SparkSession, path: str, position_col: str = "seq") -> DataFrame:
     """SRC-1: the 13-column transactions file(s), every column as text.
 
+    Columns are matched by header name: the first file's header gives the
+    order, every file must have the same one, and all 13 must be there.
     Missing-value tokens become null.  ``position_col`` is the file position
     (file path, block offset, row within the block): it orders rows exactly as
     they appear in the files and is what "keep the first copy" dedupes by."""
-    raw = (spark.read.schema(CSV_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    header = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    missing = [c for c in CSV_COLUMNS if c not in header]
+    if missing:
+        raise ValueError(f"the header lacks {', '.join(missing)}")
+    raw = spark.read.schema(", ".join(f"`{c}` string" for c in header)).options(**CSV_OPTIONS).csv(path)
     position = F.struct(F.col("_metadata.file_path").alias("file"),
                         F.col("_metadata.file_block_start").alias("block"),
                         F.monotonically_increasing_id().alias("row"))
@@ -53,10 +69,24 @@ def write_transactions_csv(df: DataFrame, path: str) -> None:
     """SRC-5: header plus the 13 columns in their fixed order; values are
     written verbatim (the CSV writer would otherwise trim surrounding blanks)."""
     (df.select(*[F.col(c).cast("string").alias(c) for c in CSV_COLUMNS])
-     .write.mode("overwrite").option("header", True)
+     .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
+# ---------------------------------------------------------------------------
+# The tenant transactions table: partitioned by month
+# ---------------------------------------------------------------------------
+
+def append_transactions(rows: DataFrame, path: str) -> None:
+    """Append tenant transactions, one folder per month (a null month has its own)."""
+    rows.write.mode("append").partitionBy("txn_month").parquet(path)
+
+
+def read_transactions(spark: SparkSession, path: str) -> DataFrame:
+    """The tenant transactions table with its declared types and column order."""
+    return spark.read.schema(TRANSACTIONS).parquet(path).select(*[f.name for f in TRANSACTIONS.fields])
+
+
 # ---------------------------------------------------------------------------
 # File-system helpers (Hadoop FileSystem API, so they work on any cluster FS)
 # ---------------------------------------------------------------------------
@@ -72,22 +102,55 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def swap_in(spark: SparkSession, staging: str, target: str) -> None:
-    """Replace ``target`` by ``staging`` (two renames; the old copy is removed
-    only after the new one is in place, and restored if the rename fails)."""
-    fs, t = _fs(spark, target)
-    _, s = _fs(spark, staging)
-    old = None
-    if fs.exists(t):
-        _, old = _fs(spark, f"{target}.__old_{uuid.uuid4().hex}")
-        if not fs.rename(t, old):
-            raise OSError(f"cannot move {target} aside")
-    if not fs.rename(s, t):
-        if old is not None:
-            fs.rename(old, t)
-        raise OSError(f"cannot move {staging} to {target}")
-    if old is not None:
-        fs.delete(old, True)
+POINTER = "_CURRENT"
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of a versioned table's current data; None before its first load."""
+    fs, p = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return f"{path}/{name.strip()}"
+
+
+def read_versioned(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The current version of a table that :func:`load_raw` loads."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"{path} has never been loaded")
+    return spark.read.format(fmt).load(version)
+
+
+def switch_version(spark: SparkSession, path: str, version: str) -> None:
+    """Make the folder ``version`` below ``path`` the table's data: the pointer
+    file is replaced in one rename, so a reader finds the old version or the
+    new one and never neither.  Folders that neither is are leftovers of
+    interrupted loads or superseded versions and are removed; the version just
+    superseded stays for readers that opened it, until the next load."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    before = current_version(spark, path)
+    fs, fresh = _fs(spark, f"{path}/{POINTER}.{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    try:
+        out.write(bytearray(version.encode()))
+    finally:
+        out.close()
+    _, pointer = _fs(spark, f"{path}/{POINTER}")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri(), conf) \
+        .rename(fs.makeQualified(fresh), fs.makeQualified(pointer), options)
+    keep = {POINTER, version, before.rpartition("/")[2] if before else version}
+    _, top = _fs(spark, path)
+    for status in fs.listStatus(top):
+        name = status.getPath().getName()
+        if name not in keep and (name.startswith("v-") or name.startswith(f"{POINTER}.")):
+            fs.delete(status.getPath(), True)
 
 
 # ---------------------------------------------------------------------------
@@ -125,9 +188,10 @@ def load_raw(df: DataFrame, path: str, fmt: str = "parquet", batch_rows: int = I
              jdbc_options: dict | None = None) -> int:
     """SRC-3/4: truncate-and-load; returns the number of rows loaded.
 
-    Files: the rows are written to a staging folder, then swapped in, so N
-    runs leave the same table as one run and a failed run leaves the old
-    table.  JDBC: ``truncate`` + ``batchsize`` (pages of ``batch_rows``)."""
+    Files: the rows are written to a new version folder and the table's pointer
+    is switched to it, so N runs leave the same table as one run, a failed run
+    leaves the old table, and readers (:func:`read_versioned`) always find one
+    complete version.  JDBC: ``truncate`` + ``batchsize`` (pages of ``batch_rows``)."""
     spark = df.sparkSession
     obs = Observation(f"load_{uuid.uuid4().hex}")
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
@@ -135,16 +199,32 @@ def load_raw(df: DataFrame, path: str, fmt: str = "parquet", batch_rows: int = I
         (observed.write.format("jdbc").options(**(jdbc_options or {}))
          .option("truncate", "true").option("batchsize", batch_rows).mode("overwrite").save())
     else:
-        staging = f"{path}.__staging_{uuid.uuid4().hex}"
-        observed.write.mode("overwrite").format(fmt).save(staging)
-        swap_in(spark, staging, path)
+        version = f"v-{uuid.uuid4().hex}"
+        observed.write.format(fmt).save(f"{path}/{version}")
+        switch_version(spark, path, version)
     return int(obs.get.get("rows", 0))
 
 
+def enforce_contract(df: DataFrame, schema: T.StructType, lengths: dict[str, int]) -> DataFrame:
+    """``df`` shaped as ``schema``; the job fails on a null in a NOT NULL column
+    and on a text longer than its column."""
+    def checked(f: T.StructField) -> Column:
+        c = F.col(f.name).cast(f.dataType)
+        if not f.nullable:
+            c = F.when(c.isNull(), F.raise_error(F.lit(f"null value in column {f.name} violates not-null constraint"))
+                       .cast(f.dataType)).otherwise(c)
+        if f.name in lengths:
+            c = F.when(F.char_length(f.name) > lengths[f.name], F.raise_error(
+                F.lit(f"value too long for column {f.name} ({lengths[f.name]})"))).otherwise(c)
+        return c.alias(f.name)
+
+    return df.select(*[checked(f) for f in schema.fields])
+
+
 def raw_table_rows(cleaned: DataFrame, loaded_at, order_col: str = "seq") -> DataFrame:
-    """Cleaned rows shaped as the raw table (id, 13 columns, ingested_at)."""
-    with_ids = with_load_columns(cleaned, loaded_at, order_col)
-    return with_ids.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_TRANSACTIONS.fields])
+    """Cleaned rows shaped as the raw table (id, 13 columns, ingested_at), its
+    constraints enforced (``transaction_id`` is unique after the dedupe)."""
+    return enforce_contract(with_load_columns(cleaned, loaded_at, order_col), RAW_TRANSACTIONS, RAW_LENGTHS)
 
 
 # ---------------------------------------------------------------------------
@@ -160,19 +240,32 @@ def log_run(spark: SparkSession, path: str, rows_loaded: int, status: str, notes
     spark.createDataFrame(row, PIPELINE_RUNS).write.mode("append").parquet(path)
 
 
-def ingest(spark: SparkSession, csv_path: str, raw_path: str, runs_path: str, loaded_at=None) -> int:
-    """The ingest job: read → clean → stamp ids → atomic load → run log.
+def ingest(spark: SparkSession, csv_path: str, raw_path: str, runs_path: str, loaded_at=None,
+           report: Callable[[str, object], None] | None = None) -> int:
+    """The ingest job: read → audit → clean → stamp ids → constraints → atomic
+    load → run log.
 
-    Any failure (including a strict date/year cast) leaves the previous raw
-    table untouched and is still logged as a failed run."""
-    from ..operators.clean import clean_transactions
+    ``report(name, value)`` receives what the run has to say: the extract
+    summary, the null audit, the cleaning report and the completed revenue of
+    the loaded rows.  Any failure (a strict date or year cast, a constraint) leaves the previous raw table
+    untouched and is still logged, with its whole text, as a failed run."""
+    from ..operators.clean import clean_transactions, cleaning_report, null_audit
+    from ..operators.marts import completed_revenue
 
     loaded_at = loaded_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    say = report or (lambda name, value: None)
     try:
-        cleaned = clean_transactions(read_transactions_csv(spark, csv_path))
+        extracted = read_transactions_csv(spark, csv_path)
+        if report is not None:
+            say("extract", extract_summary(extracted))
+            say("nulls", {r.column_name: r.null_count for r in null_audit(extracted, CSV_COLUMNS).collect()})
+            say("cleaning", cleaning_report(extracted).first().asDict())
+        cleaned = clean_transactions(extracted)
         rows = load_raw(raw_table_rows(cleaned, loaded_at), raw_path)
+        if report is not None:
+            say("completed_revenue", completed_revenue(read_versioned(spark, raw_path)).first()[0])
     except Exception as e:
-        log_run(spark, runs_path, 0, "failed", f"{type(e).__name__}: {e}"[:4000])
+        log_run(spark, runs_path, 0, "failed", f"{type(e).__name__}: {e}")
         raise
     log_run(spark, runs_path, rows, "success")
     return rows
@@ -182,17 +275,21 @@ def ingest(spark: SparkSession, csv_path: str, raw_path: str, runs_path: str, lo
 # Mart materialisation (SRC-12)
 # ---------------------------------------------------------------------------
 
-def build_all(spark: SparkSession, tx: DataFrame, target_dir: str, org_id: str | None = None) -> dict:
+def build_all(spark: SparkSession, tx: DataFrame, target_dir: str, org_id: str | None = None,
+              blocking: tuple[str, ...] = ("error",)) -> dict:
     """SRC-12: staging stays lazy; the four marts are computed in one scan
     (grouping sets), the small combined result is checkpointed to the shared
-    checkpoint folder, and each mart replaces its table atomically.  Returns
-    the row count of each mart."""
-    from ..operators.marts import marts_one_pass, split_marts
+    checkpoint folder, the marts' column tests run on it (a failed test of
+    a ``blocking`` severity stops the load), and each mart replaces its table
+    atomically.  Returns the row count of each mart."""
+    from ..operators.marts import MART_SETS, marts_one_pass, split_marts, stack_marts
+    from ..operators.quality import ALL_COLUMN_TESTS, enforce, run_tests_stacked
     from ..operators.staging import for_tenant, stg_transactions
 
     stg = stg_transactions(tx if org_id is None else for_tenant(tx, org_id))
     checkpoint_dir(spark)
     combined = marts_one_pass(stg).checkpoint(eager=True)
+    enforce(run_tests_stacked(stack_marts(combined), [t for t in ALL_COLUMN_TESTS if t.model in MART_SETS]), blocking)
     counts = {}
     for name, mart in split_marts(combined).items():
         counts[name] = load_raw(mart, f"{target_dir}/{name}")

@@ -16,33 +16,24 @@ def read_parquet_table(spark: SparkSession, base_dir: str, name: str) -> DataFra
     return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
 
 
+# Options that make a JDBC scan parallel.
+JDBC_PARALLEL = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
 def read_table(spark: SparkSession, name: str, base_dir: str | None = None,
                fmt: str = "parquet", options: dict | None = None) -> DataFrame:
     """Warehouse table scan.
 
     With ``base_dir`` the table is a file-based dataset; otherwise ``name`` is a
     catalog table (``spark.table``).  ``fmt='jdbc'`` reads through JDBC with the
-    given options (``url``, ``dbtable``, partitioning options for parallel reads).
+    given options (``url``, ``dbtable``, and the partitioning options, which are
+    required: without them one task would read the whole table).
     """
     if fmt == "jdbc":
+        missing = [o for o in JDBC_PARALLEL if o not in (options or {})]
+        if missing:
+            raise ValueError(f"a JDBC scan without {', '.join(missing)} reads through one task")
         return spark.read.format("jdbc").options(**(options or {})).load()
     if base_dir is None:
         return spark.table(name)
     return spark.read.options(**(options or {})).format(fmt).load(os.path.join(base_dir, f"{name}.{fmt}"))
-
-
-def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a fact scan at least the session's default parallelism.
-
-    A table stored as one small file with a single row group scans as ONE
-    task, and everything before the first shuffle (joins to broadcast
-    dimensions, projections, partial aggregation) then runs on one core.  In
-    that case the scan is hash-partitioned on ``keys`` across the cores.  A
-    large table already has far more splits than cores, so this is a no-op on
-    a cluster and never adds a shuffle of big data."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:      # sessions without RDD access: leave the scan as it is
-        return df
-    return df if splits >= target else df.repartition(target, *keys)

@@ -27,16 +27,11 @@ from pyspark import StorageLevel
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import clean_transactions
-from ..operators.joins import join_dimension
-from ..operators.marts import TOUCHED_MAX_ROWS, fct_monthly_revenue
+from ..operators.marts import fct_monthly_revenue, touched_rows
 from ..operators.staging import stg_transactions
 from ..operators.tenancy import promote
 from ..schemas import CSV_COLUMNS, CSV_SCHEMA, TRANSACTIONS
-from ..sources.sinks import NULL_TOKENS, path_exists
-
-
-# Largest micro-batch (rows) whose keys are broadcast against the stored keys.
-MICRO_BATCH_MAX_ROWS = 1_000_000
+from ..sources.sinks import CSV_OPTIONS, NULL_TOKENS, append_transactions, path_exists, read_transactions
 
 
 def _empty_tenant_table(spark: SparkSession) -> DataFrame:
@@ -59,28 +54,28 @@ def process_batch(batch: DataFrame, batch_id: int, *, org_id: str, tx_path: str,
     cleaned = (clean_transactions(batch).withColumn("ingested_at", F.lit(stamp).cast("timestamp_ntz"))
                .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        _promote_and_refresh(spark, cleaned, org_id=org_id, tx_path=tx_path, mart_path=mart_path)
+        _promote_and_refresh(spark, cleaned, stamp, org_id=org_id, tx_path=tx_path, mart_path=mart_path)
     finally:
         cleaned.unpersist()
 
 
-def _promote_and_refresh(spark: SparkSession, cleaned: DataFrame, *, org_id: str, tx_path: str,
+def _promote_and_refresh(spark: SparkSession, cleaned: DataFrame, stamp: dt.datetime, *, org_id: str, tx_path: str,
                          mart_path: str) -> None:
-    existing = spark.read.parquet(tx_path) if path_exists(spark, tx_path) else _empty_tenant_table(spark)
-    # A micro-batch is small next to the tenant table: its keys are broadcast
-    # to filter the stored keys in place instead of shuffling the table.
-    new_rows = promote(cleaned, org_id, existing, small_batch_rows=MICRO_BATCH_MAX_ROWS)
-    new_rows.write.mode("append").parquet(tx_path)
+    existing = read_transactions(spark, tx_path) if path_exists(spark, tx_path) else _empty_tenant_table(spark)
+    # A micro-batch is small next to the tenant table: the stored keys are
+    # narrowed to the batch's before the anti join.
+    append_transactions(promote(cleaned, org_id, existing, batch_is_small=True), tx_path)
 
     # The months this batch touches come from the batch itself, not from the
     # load stamp: a replayed batch whose rows an earlier attempt already
     # appended (and so are skipped by promote) still refreshes their months.
-    # The touched set is size-checked and broadcast, so selecting the rows of
-    # those months never shuffles the tenant table.
-    touched = cleaned.select("txn_month").distinct()
-    stg = stg_transactions(spark.read.parquet(tx_path).where(F.col("org_id") == org_id))
-    fresh = fct_monthly_revenue(join_dimension(stg, touched, stg.txn_month.eqNullSafe(touched.txn_month),
-                                               "left_semi", TOUCHED_MAX_ROWS))
+    # The table is partitioned by month, so a batch has at most as many months
+    # as the table has partition folders (they are broadcast), and the filter
+    # on the load stamp lets the scan prune to the touched partitions.
+    touched = F.broadcast(cleaned.where(F.col("ingested_at") <= F.lit(stamp).cast("timestamp_ntz"))
+                          .select("txn_month").distinct())
+    stg = stg_transactions(read_transactions(spark, tx_path).where(F.col("org_id") == org_id))
+    fresh = fct_monthly_revenue(touched_rows(stg, touched))
     (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("txn_month").parquet(mart_path))
 
@@ -88,8 +83,7 @@ def _promote_and_refresh(spark: SparkSession, cleaned: DataFrame, *, org_id: str
 def start_incremental_ingest(spark: SparkSession, source_dir: str, tx_path: str, mart_path: str,
                              checkpoint: str, org_id: str, available_now: bool = True) -> StreamingQuery:
     """Start the incremental ingest stream; returns the running query."""
-    raw = (spark.readStream.schema(CSV_SCHEMA).option("header", True)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(source_dir)
+    raw = (spark.readStream.schema(CSV_SCHEMA).options(**CSV_OPTIONS).csv(source_dir)
            .select(F.col("_metadata.file_path").alias("_file"),
                    F.col("_metadata.file_block_start").alias("_block"),
                    *[F.when(F.col(c).isin(*NULL_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c)

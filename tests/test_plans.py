@@ -4,12 +4,12 @@ import os
 
 import pytest
 
-from __spark_entry__ import queries
 from ledgerlens.operators import marts as M
 from ledgerlens.operators import staging as S
+from ledgerlens.plans import QUERIES
 from ledgerlens.sources import fixtures as FX
+from ledgerlens.sources import sinks as K
 
-QUERIES = queries()
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
 
 
@@ -37,14 +37,32 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir, scratch):
     assert "ReadSchema: struct<category:string,amount:decimal(15,2),status:string>" in plan
 
 
-@pytest.mark.parametrize("name", ["incremental_monthly", "cascade_purge", "relationships"])
+@pytest.mark.parametrize("name", ["cascade_purge", "relationships"])
 def test_small_key_sets_are_broadcast(spark, sf_dir, name):
-    """Touched months, purged orgs and parent keys are size-checked and
-    broadcast, so the fact side is never shuffled on month or org."""
+    """Purged orgs (bounded by their stored parent table) and parent keys are
+    broadcast, so the fact side is never shuffled on org."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan, plan
 
 
+def test_refresh_prunes_to_the_touched_months(spark, sf_dir, scratch):
+    """On the stored, month-partitioned table the recompute scan is pruned at
+    run time to the touched months, the null month's scan to its own folder,
+    and the refresh equals a full rebuild of those months."""
+    path = os.path.join(scratch, "transactions")
+    K.append_transactions(FX.tx(spark, sf_dir), path)
+    stg = S.stg_transactions(K.read_transactions(spark, path))
+    since = "2001-05-01 00:00:00"
+    fresh = M.fresh_months(stg, since, by_partition=True)
+    rows = sorted(map(tuple, fresh.collect()), key=str)
+    plan = fresh._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan and "PartitionFilters: [isnull(txn_month" in plan, plan
+    months = {r.txn_month for r in M.touched_months(stg, since).collect()}
+    full = M.fct_monthly_revenue(stg).collect()
+    assert 0 < len(rows) < len(full)
+    assert rows == sorted([tuple(r) for r in full if r.txn_month in months], key=str)
+
+
 def test_quality_report_reads_the_fact_three_times(spark, sf_dir):
     """Marts (one grouping-sets pass), fused source checks, and the unique id test."""
     plan = QUERIES["dq_report"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

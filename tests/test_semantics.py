@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.money import exact_avg, money_sum, share_pct_sql
+from ledgerlens.functions.dates import parse_date_lenient
 from ledgerlens.functions.text import slugify, strip_unicode
 from ledgerlens.operators import clean as C
 from ledgerlens.operators import marts as M
 from ledgerlens.operators import staging as S
 from ledgerlens.operators import tenancy as TN
-from ledgerlens.schemas import CSV_COLUMNS
+from ledgerlens.schemas import CSV_COLUMNS, TRANSACTIONS
 
 
 def _raw_rows(spark, rows):
@@ -251,23 +252,63 @@ def test_org_summaries_one_pass_equal_separate(spark, sf_dir):
         assert sorted(map(tuple, mine.collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
 
 
-def test_promote_small_batch_filters_stored_keys_in_place(spark, sf_dir):
-    """The broadcast path for small batches returns the same rows, and the
-    stored keys are filtered by a broadcast semi join (no shuffle of them
-    before the hits are known)."""
+def test_promote_small_batch_gives_the_same_rows(spark, sf_dir):
     from ledgerlens.sources import fixtures as FX
     # Half the keys are stored already, so both new and repeated keys occur.
     stored = FX.tx(spark, sf_dir).withColumn("org_id", F.lit("7")).where(F.col("id").cast("long") % 2 == 0)
     batch = (C.clean_transactions(FX.raw_dirty(spark, sf_dir))
              .withColumn("ingested_at", F.lit("2025-06-01 00:00:00").cast("timestamp_ntz")))
     plain = TN.promote(batch, "7", stored)
-    small = TN.promote(batch, "7", stored, small_batch_rows=10**6)
+    small = TN.promote(batch, "7", stored, batch_is_small=True)
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     assert small.count() > 0
-    plan = small._jdf.queryExecution().executedPlan().toString()
-    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan
-    too_big = TN.promote(batch, "7", stored, small_batch_rows=10)
-    assert "LeftSemi" not in too_big._jdf.queryExecution().executedPlan().toString()
+
+
+def test_promote_keeps_the_first_of_a_batch_and_refuses_null_keys(spark):
+    raw = _raw_rows(spark, [{"transaction_id": "A", "amount": "1.00"}, {"transaction_id": "B"}])
+    batch = C.clean_transactions(raw).withColumn("ingested_at", F.lit("2025-06-01 00:00:00").cast("timestamp_ntz"))
+    again = batch.withColumn("seq", F.col("seq") + 100).withColumn("amount", F.lit(9).cast("decimal(12,2)"))
+    none = spark.createDataFrame([], TRANSACTIONS)
+    out = {r.transaction_id: r.amount for r in TN.promote(again.unionByName(batch), "7", none).collect()}
+    assert len(out) == 2 and out["A"] == Decimal("1.00")
+    with pytest.raises(Exception, match="not-null"):
+        TN.promote(batch.withColumn("transaction_id", F.lit(None).cast("string")), "7", none).collect()
+
+
+def test_insert_if_absent_resolves_conflicts_within_the_batch(spark):
+    target = spark.createDataFrame([("1", "a")], "id string, slug string")
+    new = spark.createDataFrame([("3", "b"), ("2", "b"), ("1", "c"), ("4", "a"), ("5", None), ("6", None)], "id string, slug string")
+    out = TN.insert_if_absent(target, new, [["id"], ["slug"]], order=["id"])
+    assert sorted(map(tuple, out.collect()), key=str) == [("1", "a"), ("2", "b"), ("5", None), ("6", None)]
+
+
+def test_number_and_date_grammar(spark):
+    texts = ["10d", "10f", "0x1p3", "1e3", " 12.5 ", ".5", "5.", "+1", "-1", "1e", "", "NaN"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(C.cast_amount("t").alias("n")).collect()] == \
+        [None, None, None, 1000.0, 12.5, 0.5, 5.0, 1.0, -1.0, None, None, None]
+    dates = spark.createDataFrame([(t,) for t in ["2025", "2025-1", "2025-01-05 garbage", "2025-01-05Tjunk", " 2025-01-05 ", "2025-02-30"]], "t string")
+    assert [str(r.d) for r in dates.select(parse_date_lenient("t").alias("d")).collect()] == \
+        ["None", "None", "None", "None", "2025-01-05", "None"]
+
+
+def test_null_date_fails_only_in_a_kept_row(spark):
+    dropped = _raw_rows(spark, [{"transaction_id": "A", "amount": "-1", "txn_date": None}, {"transaction_id": "B"}])
+    assert [r.transaction_id for r in C.clean_transactions(dropped).collect()] == ["B"]
+    assert C.check_strict(dropped) == 0
+    kept = _raw_rows(spark, [{"transaction_id": "A", "txn_date": None}])
+    with pytest.raises(Exception, match="strict cast failed"):
+        C.clean_transactions(kept).collect()
+
+
+def test_results_come_in_their_stated_order(spark, sf_dir):
+    from ledgerlens.sources import fixtures as FX
+    stg = S.stg_transactions(FX.tx(spark, sf_dir))
+    months = [r.txn_month for r in M.fct_monthly_revenue(stg).collect()]
+    assert months == sorted(months, key=lambda m: (m is None, m)) and months[-1] is None
+    for mart in (M.fct_revenue_by_category(stg), M.fct_revenue_by_province(stg)):
+        revenue = [r.total_revenue for r in mart.collect()]
+        assert revenue == sorted(revenue, reverse=True)
 
 
 def test_one_pass_without_distinct_counts_keeps_measures(spark, sf_dir):
