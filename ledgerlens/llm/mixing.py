@@ -8,7 +8,7 @@ blocks by a hash; every whole epoch holds all its blocks in an order drawn for
 that epoch, the last, partial epoch a prefix of its order (and of the documents
 inside the block where the quota ends).
 
-All steps are DataFrame functions; the driver sees two numbers per bisection
+All steps are DataFrame functions; the driver sees a few numbers per bisection
 round.
 """
 
@@ -83,13 +83,11 @@ def plan_sources(counts: DataFrame, target_entropy: float, max_repeats: float, b
     partial epoch, and number of blocks."""
     tokens = stored(counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "mix-sources")
     exponent = solve_exponent(tokens, target_entropy, max_repeats, budget_share)
-    whole = tokens.agg(F.sum("tokens").alias("total")).withColumn("one", F.lit(1))
-    powers = tokens.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
-    powers = powers.withColumn("q", F.pow(F.col("tokens") / F.col("total"), F.lit(exponent)))
-    z = powers.groupBy("one").agg(F.sum("q").alias("z"))
-    return (powers.join(F.broadcast(z), "one")
-            .withColumn("weight", F.col("q") / F.col("z"))
-            .withColumn("quota", F.floor(F.lit(budget_share) * F.col("total") * F.col("weight") + F.lit(1e-6)).cast("long"))
+    total = float(tokens.agg(F.sum("tokens")).first()[0] or 0)
+    powers = tokens.withColumn("q", F.pow(F.col("tokens") / F.lit(total), F.lit(exponent)))
+    z = powers.agg(F.sum("q")).first()[0] or 1.0
+    return (powers.withColumn("weight", F.col("q") / F.lit(z))
+            .withColumn("quota", F.floor(F.lit(budget_share) * F.lit(total) * F.col("weight") + F.lit(1e-6)).cast("long"))
             .select("source", "tokens", "weight", "quota", F.expr("quota div tokens").alias("epochs"),
                     F.expr("quota % tokens").alias("rest"),
                     F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / F.lit(float(block_tokens)))).cast("long").alias("blocks")))
