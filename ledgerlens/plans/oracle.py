@@ -8,9 +8,11 @@ integer arithmetic so that both engines round the exact quotient once.
 
 from __future__ import annotations
 
-from ..sources.fixtures import (ACCOUNT_TYPE_SQL, AGE_GROUP_SQL, FIXTURE_EPOCH, ORG_MAX_ROWS,
-                                ORG_MAX_USERS, STATUS_SQL)
+from ..sources.fixtures import FIXTURE_EPOCH, ORG_MAX_ROWS, ORG_MAX_USERS
 
+AGE_GROUP_SQL = "['18-25', '26-35', '36-45', '46-55', '55+'][o_custkey % 5 + 1]"
+ACCOUNT_TYPE_SQL = "['chequing', 'savings', 'premium'][o_custkey % 3 + 1]"
+STATUS_SQL = "MAP {'F': 'completed', 'O': 'pending', 'P': 'failed'}[o_orderstatus]"
 MONTH_SQL = "CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m') END"
 
 ORDER_ROWS = ("orders JOIN customer ON o_custkey = c_custkey "
@@ -21,15 +23,16 @@ CTE_TX = f"""tx AS (
          cast(n_regionkey AS VARCHAR) AS org_id,
          cast(NULL AS VARCHAR) AS source_id,
          'T' || cast(o_orderkey AS VARCHAR) AS transaction_id,
-         c_name AS customer_ref,
+         CASE WHEN o_orderkey % 59 <> 0 THEN c_name END AS customer_ref,
          n_name AS province,
          {AGE_GROUP_SQL} AS age_group,
          {ACCOUNT_TYPE_SQL} AS account_type,
          'M' || cast(o_orderkey % 50 AS VARCHAR) AS merchant,
-         o_orderpriority AS category,
-         cast(o_totalprice AS DECIMAL(15,2)) AS amount,
+         CASE WHEN o_orderkey % 71 <> 0 THEN o_orderpriority END AS category,
+         cast(CASE WHEN o_orderkey % 41 = 0 THEN -o_totalprice WHEN o_orderkey % 37 = 0 THEN 0 ELSE o_totalprice END
+              AS DECIMAL(15,2)) AS amount,
          'CAD' AS currency,
-         {STATUS_SQL} AS status,
+         CASE WHEN o_orderkey % 43 = 0 THEN 'REFUNDED' ELSE {STATUS_SQL} END AS status,
          cast(o_orderdate AS DATE) AS txn_date,
          {MONTH_SQL} AS txn_month,
          cast(year(o_orderdate) AS INTEGER) AS txn_year,

@@ -118,6 +118,17 @@ PIPELINE_RUNS = T.StructType([
     T.StructField("notes", T.StringType(), True),
 ])
 
+# States of tenant runs: running, then success or failed.
+TENANT_RUN_STATES = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("org_id", T.StringType(), False),
+    T.StructField("status", T.StringType(), False),
+    T.StructField("rows_loaded", T.LongType(), True),
+    T.StructField("rows_failed", T.LongType(), False),
+    T.StructField("error", T.StringType(), True),
+    T.StructField("at", T.TimestampNTZType(), False),
+])
+
 AI_INSIGHTS = T.StructType([
     T.StructField("id", T.StringType(), False),
     T.StructField("org_id", T.StringType(), False),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
-from .tables import read_parquet_table
+from .tables import read_parquet_table, read_table
 
 # Derivation rules of the fixtures.  Shared with the DuckDB oracle text in
 # ledgerlens.plans.oracle, which restates them in DuckDB syntax.
@@ -32,7 +32,7 @@ FIXTURE_EPOCH = "2024-01-01 00:00:00"
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet_table(spark, sf_dir, name)
+    return read_table(spark, name, sf_dir)
 
 
 def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,21 +52,24 @@ def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tenant ``transactions`` (FIXTURES §2.1): one row per order."""
+    """Tenant ``transactions`` (FIXTURES §2.1): one row per order.  Some rows break
+    the rules that the staging view and the column tests are there for: amounts
+    that are not positive, a foreign status, null customers and categories."""
     return _order_rows(spark, sf_dir).selectExpr(
         "cast(o_orderkey as string) AS id",
         "cast(n_regionkey as string) AS org_id",
         "cast(NULL as string) AS source_id",
         "concat('T', cast(o_orderkey as string)) AS transaction_id",
-        "c_name AS customer_ref",
+        "CASE WHEN o_orderkey % 59 = 0 THEN NULL ELSE c_name END AS customer_ref",
         "n_name AS province",
         f"{AGE_GROUP_SQL} AS age_group",
         f"{ACCOUNT_TYPE_SQL} AS account_type",
         "concat('M', cast(o_orderkey % 50 as string)) AS merchant",
-        "o_orderpriority AS category",
-        "cast(o_totalprice as decimal(15,2)) AS amount",
+        "CASE WHEN o_orderkey % 71 = 0 THEN NULL ELSE o_orderpriority END AS category",
+        "cast(CASE WHEN o_orderkey % 41 = 0 THEN -o_totalprice WHEN o_orderkey % 37 = 0 THEN 0 ELSE o_totalprice END "
+        "as decimal(15,2)) AS amount",
         "'CAD' AS currency",
-        f"{STATUS_SQL} AS status",
+        f"CASE WHEN o_orderkey % 43 = 0 THEN 'REFUNDED' ELSE {STATUS_SQL} END AS status",
         "cast(o_orderdate as date) AS txn_date",
         f"{MONTH_SQL} AS txn_month",
         "cast(year(o_orderdate) as int) AS txn_year",

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import CSV_COLUMNS, INSERT_BATCH_ROWS, PIPELINE_RUNS, RAW_LENGTHS, RAW_TRANSACTIONS, TRANSACTIONS
+from ..schemas import CSV_COLUMNS, INSERT_BATCH_ROWS, PIPELINE_RUNS, RAW_LENGTHS, RAW_TRANSACTIONS, TENANT_RUN_STATES, TRANSACTIONS
 from ..session import checkpoint_dir
 
 # The text tokens that the source reader treats as missing
@@ -240,17 +240,40 @@ def log_run(spark: SparkSession, path: str, rows_loaded: int, status: str, notes
     spark.createDataFrame(row, PIPELINE_RUNS).write.mode("append").parquet(path)
 
 
+def log_tenant_run(spark: SparkSession, path: str, org_id: str, status: str, run_id: str | None = None,
+                   rows_loaded: int | None = None, rows_failed: int = 0, error: str | None = None,
+                   at: dt.datetime | None = None) -> str:
+    """SRC-10 for a tenant: append a state of a run (``running`` at its start,
+    ``success`` or ``failed`` at its end) and return the run's id."""
+    run_id, at = run_id or uuid.uuid4().hex, at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    row = [(run_id, str(org_id), status, rows_loaded, int(rows_failed), error, at)]
+    spark.createDataFrame(row, TENANT_RUN_STATES).write.mode("append").parquet(path)
+    return run_id
+
+
+def tenant_runs(spark: SparkSession, path: str) -> DataFrame:
+    """One row per run: its last state, its start and (once it ended) its finish."""
+    states = spark.read.schema(TENANT_RUN_STATES).parquet(path)
+    last = F.max_by(F.struct("status", "rows_loaded", "rows_failed", "error"), "at")
+    return (states.groupBy("id", "org_id").agg(last.alias("s"), F.min("at").alias("started_at"),
+                                              F.max(F.when(F.col("status") != "running", F.col("at"))).alias("finished_at"))
+            .select("id", "org_id", "s.*", "started_at", "finished_at"))
+
+
 def ingest(spark: SparkSession, csv_path: str, raw_path: str, runs_path: str, loaded_at=None,
-           report: Callable[[str, object], None] | None = None) -> int:
+           report: Callable[[str, object], None] | None = None, contracts: Sequence = ()) -> int:
     """The ingest job: read → audit → clean → stamp ids → constraints → atomic
     load → run log.
 
     ``report(name, value)`` receives what the run has to say: the extract
     summary, the null audit, the cleaning report and the completed revenue of
-    the loaded rows.  Any failure (a strict date or year cast, a constraint) leaves the previous raw table
+    the loaded rows.  ``contracts`` are column tests on the model ``raw`` that
+    the rows must pass before they are loaded (one more pass over them).  Any
+    failure (a strict date or year cast, a constraint, a contract) leaves the previous raw table
     untouched and is still logged, with its whole text, as a failed run."""
     from ..operators.clean import clean_transactions, cleaning_report, null_audit
     from ..operators.marts import completed_revenue
+    from ..operators.quality import enforce, run_tests
 
     loaded_at = loaded_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     say = report or (lambda name, value: None)
@@ -261,7 +284,10 @@ def ingest(spark: SparkSession, csv_path: str, raw_path: str, runs_path: str, lo
             say("nulls", {r.column_name: r.null_count for r in null_audit(extracted, CSV_COLUMNS).collect()})
             say("cleaning", cleaning_report(extracted).first().asDict())
         cleaned = clean_transactions(extracted)
-        rows = load_raw(raw_table_rows(cleaned, loaded_at), raw_path)
+        table = raw_table_rows(cleaned, loaded_at)
+        if contracts:
+            enforce(run_tests({"raw": table}, list(contracts)))
+        rows = load_raw(table, raw_path)
         if report is not None:
             say("completed_revenue", completed_revenue(read_versioned(spark, raw_path)).first()[0])
     except Exception as e:

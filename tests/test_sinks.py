@@ -299,3 +299,26 @@ def test_insight_json_rule(spark):
         (False, None), (False, None), (False, None), (True, "A"), (True, ""), (False, None), (False, None), (False, None),
         (True, ""), (False, None), (False, None), (False, None), (True, "pad"), (False, None)]
     assert rows[3].confidence == Decimal("0.5000")
+
+
+def test_tenant_run_log(spark, scratch):
+    path = os.path.join(scratch, "tenant_runs")
+    one = K.log_tenant_run(spark, path, "7", "running", at=LOADED_AT)
+    two = K.log_tenant_run(spark, path, "8", "running", at=LOADED_AT)
+    later = LOADED_AT + dt.timedelta(minutes=5)
+    K.log_tenant_run(spark, path, "7", "failed", one, rows_loaded=0, rows_failed=3, error="e" * 9000, at=later)
+    rows = {r.id: r for r in K.tenant_runs(spark, path).collect()}
+    assert (rows[one].status, rows[one].rows_failed, len(rows[one].error)) == ("failed", 3, 9000)
+    assert (rows[one].started_at, rows[one].finished_at) == (LOADED_AT, later)
+    assert (rows[two].status, rows[two].finished_at) == ("running", None)
+
+
+def test_contracts_stop_a_load(spark, sf_dir, scratch):
+    csv, raw_path, runs = (os.path.join(scratch, x) for x in ("in.csv", "raw", "runs"))
+    _write_csv(spark, sf_dir, csv)
+    keys = [Q.ColumnTest("raw", "transaction_id", "unique"), Q.ColumnTest("raw", "transaction_id", "not_null")]
+    assert K.ingest(spark, csv, raw_path, runs, loaded_at=LOADED_AT, contracts=keys) > 0
+    before = K.current_version(spark, raw_path)
+    with pytest.raises(Q.QualityError):
+        K.ingest(spark, csv, raw_path, runs, loaded_at=LOADED_AT, contracts=[Q.ColumnTest("raw", "category", "accepted_values", ("none",))])
+    assert K.current_version(spark, raw_path) == before
