@@ -187,7 +187,8 @@ def answer(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in REPLY.split(", ")])
 
 
-def traverse(docs: pd.DataFrame, replies: pd.DataFrame, buckets: int, hot: np.ndarray, n: int, v: int) -> pd.DataFrame:
+def traverse(docs: pd.DataFrame, replies: pd.DataFrame, buckets: int, hot: np.ndarray, n: int, v: int,
+             discount: float) -> pd.DataFrame:
     """Base and model log10 probability of a block's texts."""
     b = Block(list(docs["raw"]), docs["train"].to_numpy(bool))
     given = {(k, u): row for k, u, row in zip(replies["kind"], replies["bucket"], replies.to_dict("records"))}
@@ -204,7 +205,7 @@ def traverse(docs: pd.DataFrame, replies: pd.DataFrame, buckets: int, hot: np.nd
         kept_sum[contexts] += unpack(row["kept_sum"])
         kept_n[contexts] += unpack(row["kept_n"])
     # Unigram state: seen words by absolute discounting, every other word is one unknown word.
-    p = np.where(words > 0, words - DISCOUNT, DISCOUNT * v) / n if n else np.ones(b.size)
+    p = np.where(words > 0, words - discount, discount * v) / n if n else np.ones(b.size)
     # Arcs and failure arcs.
     ctx, word = b.codes // b.size, b.codes % b.size
     back = 1.0 - (kept_sum - DISCOUNT * kept_n) / np.maximum(mass, 1)
@@ -217,9 +218,10 @@ def traverse(docs: pd.DataFrame, replies: pd.DataFrame, buckets: int, hot: np.nd
         "base_score": total(base[b.words]), "score": total(arc[b.pair])})
 
 
-def vocabulary(rows: DataFrame, buckets: int) -> tuple[int, int, np.ndarray]:
-    """Training tokens, distinct training tokens, and the hashes of the start and
-    of the words that make up over ``HOT_SHARE`` of them (so at most 1 / HOT_SHARE + 1)."""
+def vocabulary(rows: DataFrame, buckets: int) -> tuple[int, int, float, np.ndarray]:
+    """Training tokens, distinct training tokens, the unigrams' discount (from the
+    numbers of words seen once and twice), and the hashes of the start and of the
+    words that make up over ``HOT_SHARE`` of them (so at most 1 / HOT_SHARE + 1)."""
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: defaultdict[bytes, int] = defaultdict(int)
 
@@ -235,7 +237,7 @@ def vocabulary(rows: DataFrame, buckets: int) -> tuple[int, int, np.ndarray]:
                 for w in raw.lower().split():
                     seen[w] += 1
                 seen[END] += 1
-            if len(seen) > 2_000_000:
+            if len(seen) > 600_000:
                 yield drain()
         yield drain()
 
@@ -243,17 +245,19 @@ def vocabulary(rows: DataFrame, buckets: int) -> tuple[int, int, np.ndarray]:
         every, at = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([unpack(c) for c in rows["counts"]]), len(every)).astype(np.int64)
         top = counts >= max(2, HOT_SHARE * counts.sum() / 4)        # a superset; the exact share follows
-        return pd.DataFrame({"key": [None, *every[top].astype(np.int64)], "n": [counts.sum(), *counts[top]],
-                             "v": [len(every), *np.zeros(top.sum(), np.int64)]}).astype({"key": "Int64"})
+        none = np.zeros(top.sum(), np.int64)
+        return pd.DataFrame({"key": [None, *every[top].astype(np.int64)], "n": [counts.sum(), *counts[top]], "v": [len(every), *none],
+                             "once": [(counts == 1).sum(), *none], "twice": [(counts == 2).sum(), *none]}).astype({"key": "Int64"})
 
     asked = rows.where("train").select("raw").mapInPandas(local, "bucket long, keys binary, counts binary")
-    sums = stored(asked.groupBy("bucket").applyInPandas(total, "key long, n long, v long"), "lm-vocabulary")
-    n, v = sums.where("key IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    sums = stored(asked.groupBy("bucket").applyInPandas(total, "key long, n long, v long, once long, twice long"), "lm-vocabulary")
+    n, v, once, twice = sums.where("key IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]).first()
     hot = [r["key"] for r in sums.where(F.col("key").isNotNull() & (F.col("n") >= HOT_SHARE * n)).select("key").collect()]
-    return n, v, np.append(np.array(hot, np.int64).astype(np.uint64), np.uint64(xxhash.xxh64_intdigest(START)))
+    discount = once / (once + 2 * twice) if once else DISCOUNT
+    return n, v, discount, np.append(np.array(hot, np.int64).astype(np.uint64), np.uint64(xxhash.xxh64_intdigest(START)))
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, block_bytes: int = 24 * MB) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, block_bytes: int = 8 * MB) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per
     row: log10 probabilities of the whole text under the smoothed unigram base
     and under the automaton, both learned from the rows outside the held-out fold.
@@ -267,14 +271,14 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, block_
     spark = docs.sparkSession
     size = rows.select(F.sum(F.octet_length("raw"))).first()[0] or 0
     blocks = int(max(2 * spark.sparkContext.defaultParallelism, -(-size // block_bytes)))
-    n, v, hot = vocabulary(rows, blocks)
+    n, v, discount, hot = vocabulary(rows, blocks)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(blocks))).repartition(blocks, "block")
 
     def asked(key, batch: pd.DataFrame) -> pd.DataFrame:
         return ask(int(key[0]), batch, blocks, hot)
 
     def scored(batch: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        return traverse(batch, replies, blocks, hot, n, v)
+        return traverse(batch, replies, blocks, hot, n, v, discount)
 
     replies = (dealt.groupBy("block").applyInPandas(asked, ASK)
                .groupBy("kind", "bucket").applyInPandas(answer, REPLY).repartition(blocks, "block"))
