@@ -19,9 +19,9 @@ def primary_membership(memberships: DataFrame) -> DataFrame:
     """TOP-3: one active membership per user.
 
     The service takes an arbitrary one (``LIMIT 1`` without an order); this
-    picks the earliest ``joined_at``, then the smallest ``org_id``.  Written as
-    a grouped first-by (map-side combined), so a user in very many orgs is
-    reduced per partition before the shuffle."""
+    picks the earliest ``joined_at``, then the smallest ``org_id``.  It is a
+    first-row window, which Spark limits per partition before the shuffle, so
+    a user in very many orgs leaves each partition as one row."""
     return dedupe_first(active(memberships), ["user_id"], ["joined_at", "org_id"])
 
 

@@ -32,6 +32,7 @@ def money_text(col: str) -> Column:
     return F.expr(f"cast(cast({col} as decimal(38,2)) as string)")
 
 
+# The layouts of the context's month and category lines.
 def month_line(month: str = "month", revenue: str = "revenue", volume: str = "volume") -> Column:
     """FN-9: ``"  <month>: CAD $<revenue> (<n> transactions)\\n"``."""
     return F.concat(F.lit("  "), F.col(month), F.lit(": CAD $"), money_text(revenue),
@@ -47,7 +48,10 @@ def category_line(category: str = "category", revenue: str = "revenue", volume:
 
 
 def _ordered_text(rank_col: str, line: Column, when: Column | None = None) -> Column:
-    """Concatenate an org's lines in rank order (only the rows where ``when`` holds)."""
+    """Concatenate an org's lines in rank order (only the rows where ``when`` holds).
+
+    An org has at most ``CONTEXT_MONTHS`` month lines and one line per distinct
+    category of its own."""
     item = F.struct(F.col(rank_col).alias("r"), line.alias("t"))
     lines = F.array_sort(F.collect_list(item if when is None else F.when(when, item)))
     return F.array_join(F.transform(lines, lambda x: x["t"]), "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_key, year_int
 from ..schemas import VALID_STATUSES
 
-# Staging output columns in order: (source column, output name).
+# Staging output columns in order: (source column, output name).
 STAGING_COLUMNS = [
     ("id", "txn_pk"),
     ("transaction_id", "transaction_id"),
