@@ -9,6 +9,8 @@ the two tables are small constants inside the plan.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +65,15 @@ RULES = [
 ]
 
 
+#: Every known sentence holds one of these, so a text without any has no known sentence.
+ANCHORS = ("licens", "software", "permission", "redistribut", "reserved")
+
+
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences among those that ``text`` (one sentence
     a line) holds, in order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9.\n-]+", " "), r" *\n[ .\n-]*", "\n")
+    plain = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9.\n-]+", " "), r"[ .-]*\n[ .\n-]*", "\n")
     sentences = F.split(F.regexp_replace(plain, r"^[ .-]+|[ .-]+$", ""), "\n")
     found = F.transform(sentences, lambda s: F.try_element_at(known, s))
     return F.filter(found, lambda x: x.isNotNull())
@@ -75,7 +81,7 @@ def identifiers(text: Column) -> Column:
 
 def follows(ids: Column, rule: list[str]) -> Column:
     """Whether ``ids`` has the rule's identifiers in order: a gap pattern over the joined identifiers."""
-    return F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|")).like("%|" + "|%|".join(rule) + "|%")
+    return F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|")).like("%|" + "|%|".join(rule) + "|%")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -89,7 +95,8 @@ def scan(docs: DataFrame) -> DataFrame:
     lower = F.lower(F.regexp_replace(text_or_empty(), r"[\r\x0B\f]", " "))
     stopped = F.regexp_replace(lower, r"([.!?;:])[ \t\n]+", "$1\n")
     joined = F.regexp_replace(F.regexp_replace(lower, r"([^\n])\n([^\n])", "$1 $2"), r"([.!?;:])[ \t\n]+", "$1\n")
-    rows = docs.select("doc_id", identifiers(stopped).alias("a"), identifiers(joined).alias("b"))
+    some = functools.reduce(Column.__or__, [F.contains(F.lower(text_or_empty()), F.lit(a)) for a in ANCHORS])
+    rows = docs.where(some).select("doc_id", identifiers(stopped).alias("a"), identifiers(joined).alias("b"))
     rows = rows.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids")).where(F.size("ids") > 0)
     licences = F.array(*[F.when(follows(F.col("ids"), rule), F.lit(name)) for name, rule in RULES])
     return rows.select("doc_id", F.array_join("ids", "|").alias("sentence_ids"),
@@ -100,7 +107,7 @@ def scan_oracle() -> str:
     """The same scan in DuckDB SQL."""
     known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
     ids = (f"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(#, '[^a-z0-9.\\n-]+', ' ', 'g'),"
-           f" ' *\\n[ .\\n-]*', chr(10), 'g'), '^[ .-]+|[ .-]+$', '', 'g'), chr(10)), lambda s: {known}[s]), lambda x: x IS NOT NULL)")
+           f" '[ .-]*\\n[ .\\n-]*', chr(10), 'g'), '^[ .-]+|[ .-]+$', '', 'g'), chr(10)), lambda s: {known}[s]), lambda x: x IS NOT NULL)")
     cut = "regexp_replace(#, '([.!?;:])[ \\t\\n]+', '\\1' || chr(10), 'g')"
     joined = cut.replace("#", "regexp_replace(low, '([^\\n])\\n([^\\n])', '\\1 \\2', 'g')")
     rules = ", ".join(f"CASE WHEN joined LIKE '%|{'|%|'.join(rule)}|%' THEN '{name}' END" for name, rule in RULES)
@@ -108,7 +115,7 @@ def scan_oracle() -> str:
 WITH t AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[\\r\\v\\f]', ' ', 'g')) AS low FROM documents),
 b AS (SELECT doc_id, {ids.replace('#', cut.replace('#', 'low'))} AS a, {ids.replace('#', joined)} AS b FROM t),
 i AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM b),
-j AS (SELECT doc_id, ids, '|' || array_to_string(ids, '|') || '|' AS joined FROM i WHERE len(ids) > 0)
+j AS (SELECT doc_id, ids, '|' || array_to_string(ids, '||') || '|' AS joined FROM i WHERE len(ids) > 0)
 SELECT doc_id, array_to_string(ids, '|') AS sentence_ids,
   array_to_string(list_filter([{rules}], lambda x: x IS NOT NULL), '|') AS licenses FROM j
 """
