@@ -162,12 +162,13 @@ def answer(rows: pd.DataFrame) -> pd.DataFrame:
     keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
     counts = [unpack(c) for c in rows["counts"]]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    asked = list(zip(rows["bucket"].tolist(), rows["block"].tolist()))
     out = []
     if rows["kind"].iloc[0] == 0:
         totals = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
         parts = np.split(totals[at], np.cumsum([len(k) for k in keys])[:-1])
-        for (_, row), part in zip(rows.iterrows(), parts):
-            out.append((0, row["bucket"], row["block"], pack(part), None, None, None, None))
+        for (bucket, block), part in zip(asked, parts):
+            out.append((0, bucket, block, pack(part), None, None, None, None))
     else:
         sizes = [unpack(s) for s in rows["sizes"]]
         ctx = np.repeat(at, np.concatenate(sizes)).astype(np.uint64)
@@ -181,8 +182,8 @@ def answer(rows: pd.DataFrame) -> pd.DataFrame:
         kept_n = np.bincount(owner, kept, len(every)).astype(np.int64)
         ctx_parts = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
         pair_parts = np.split(of, np.cumsum([len(c) for c in counts])[:-1])
-        for (_, row), c, p in zip(rows.iterrows(), ctx_parts, pair_parts):
-            out.append((1, row["bucket"], row["block"], pack(totals[p][kept[p]]), np.packbits(kept[p]).tobytes(),
+        for (bucket, block), c, p in zip(asked, ctx_parts, pair_parts):
+            out.append((1, bucket, block, pack(totals[p][kept[p]]), np.packbits(kept[p]).tobytes(),
                         pack(mass[c]), pack(kept_sum[c]), pack(kept_n[c])))
     return pd.DataFrame(out, columns=[c.split()[0] for c in REPLY.split(", ")])
 

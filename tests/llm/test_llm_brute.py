@@ -174,6 +174,12 @@ def test_retrieval_finds_paraphrases(spark, sf_dir):
     assert len(got & {(10_000 + k, r.item_id) for k, r in enumerate(items)}) >= 18
 
 
+def test_long_items_are_cut_into_equal_parts():
+    words = " ".join(f"w{i}" for i in range(150))
+    passages = decontaminate.passages_of([(1, words), (2, "one two three four"), (3, "a b c d e f")], 5)
+    assert passages.items == [1, 1, 1, 3] and [len(p) for p in passages.tokens] == [50, 50, 50, 6]
+
+
 def test_lcs_matches_the_table():
     rng = np.random.default_rng(3)
     for _ in range(50):

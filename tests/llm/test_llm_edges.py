@@ -67,11 +67,12 @@ def test_html(spark, none):
     rows = [(1, "http://a/x", None, 0), (2, None, "<p>one", 0), (3, "odd url", "", 0), (4, "http://a/y", "<div>" * 3000 + "deep", 0),
             (5, "http://a/z", "<article><p>a &amp; b<br>c</p><nav>no</nav><div class='user-comments'>no</div></article><p>out", 0),
             (5, "http://a/z", "<article><p>a &amp; b<br>c</p><nav>no</nav><div class='user-comments'>no</div></article><p>out", 0),
+            (6, "http://a/c", "<article><p>body</article><article class='comment'><p>me too</article>", 0),
             (None, "http://a/", "<script>x</script><!-- y --><form>z</form>", 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(pages).collect()}
     assert html_extract.extract(pages).count() == len(rows)
-    assert got == {1: ("", 0), 2: ("one", 3), 3: ("", 0), 4: ("deep", 4), 5: ("a & b c", 7), None: ("", 0)}
+    assert got == {1: ("", 0), 2: ("one", 3), 3: ("", 0), 4: ("deep", 4), 5: ("a & b c", 7), 6: ("body", 4), None: ("", 0)}
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
