@@ -12,12 +12,15 @@ once; inlined, Spark would rebuild them for every element.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MB, bind, small_side, stored, text_or_empty
 
 MAX_TOKEN = 32
+MAX_RANGES = 1 << 14    # ranges of the id order; beyond 128 GB of text the ranges grow instead
 
 
 def anchors(text: Column, k: int, s: int) -> Column:
@@ -69,6 +72,16 @@ def document_fingerprints(docs: DataFrame, k: int = 5, s: int = 2) -> DataFrame:
     return rows.withColumn("fingerprint", fingerprint(F.col("anchors")))
 
 
+def range_of(ident: Column, cuts: list[int]) -> Column:
+    """Number of ``cuts`` (ascending) at or below ``ident``, found in two steps of
+    about the square root of their number."""
+    step = math.isqrt(len(cuts)) + 1
+    every = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
+    coarse = F.array(*[F.lit(c) for c in cuts[step - 1::step]]).cast("array<bigint>")
+    return bind(F.size(F.filter(coarse, lambda c: c <= ident)) * step, lambda passed: passed + F.size(
+        F.filter(F.slice(every, passed + 1, step), lambda c: c <= ident)))
+
+
 def with_next(docs: DataFrame, k: int, s: int, bucket_bytes: int = 8 * MB) -> DataFrame:
     """``docs(doc_id, text)`` with ``anchors``, and ``next_text, next_anchors`` of the
     row that follows in the order of (doc_id, text); after the last row, the first.
@@ -76,11 +89,10 @@ def with_next(docs: DataFrame, k: int, s: int, bucket_bytes: int = 8 * MB) -> Da
     Rows are dealt into ranges of the id, so the order needs no single task;
     each range's first row is handed to the range before it."""
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // bucket_bytes))
+    ranges = min(MAX_RANGES, max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // bucket_bytes)))
     cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
     ident = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    dealt = docs.withColumn("bucket", F.size(F.filter(cuts, lambda c: c <= ident)))
+    dealt = docs.withColumn("bucket", range_of(ident, sorted(set(cuts or []))))
     led = dealt.withColumn("anchors", anchors(F.col("text"), k, s)).withColumn("after", F.lead(F.struct("text", "anchors")).over(
         Window.partitionBy("bucket").orderBy(ident, "text")))
     least = stored(dealt.groupBy(F.col("bucket").alias("at")).agg(F.min(ident).alias("least")), "syncmer-ranges")
