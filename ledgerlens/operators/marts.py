@@ -166,14 +166,19 @@ def failure_rate(stg: DataFrame, threshold_pct: Decimal | float | str = Decimal(
             .orderBy(F.col("txn_month").asc_nulls_last()))
 
 
-def touched_rows(rows: DataFrame, months: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose ``txn_month`` is among ``months`` (``left_anti``: is not).
-
-    The months compare by plain equality, so that on a table partitioned by
-    month a selective filter on ``months`` prunes the scan's partitions at run
-    time; the null month is a branch of its own, whose scan reads the null
-    partition alone."""
+def touched_rows(rows: DataFrame, months: DataFrame, how: str = "left_semi", by_partition: bool = False) -> DataFrame:
+    """Rows whose ``txn_month`` is among ``months`` (``left_anti``: is not); a
+    null month is a month of its own.
+
+    ``by_partition`` is for a table partitioned by month: the months compare by
+    plain equality, so that a selective filter on ``months`` prunes the scan's
+    partitions at run time, and the null month is a branch of its own, whose
+    scan reads the null partition alone.  There are at most as many months as
+    partition folders, so they are broadcast."""
     month = months.withColumnRenamed("txn_month", "_m")
+    if not by_partition:
+        return rows.join(month, F.col("txn_month").eqNullSafe(F.col("_m")), how)
+    month = F.broadcast(month)
     dated = rows.where(F.col("txn_month").isNotNull()).join(
         month.where(F.col("_m").isNotNull()), F.col("txn_month") == F.col("_m"), how)
     undated = rows.where(F.col("txn_month").isNull()).join(
@@ -203,12 +208,10 @@ def touched_months(stg: DataFrame, since) -> DataFrame:
 def fresh_months(stg: DataFrame, since, org_id: str | None = None, by_partition: bool = False) -> DataFrame:
     """The monthly mart's rows for the months touched after ``since``.
 
-    ``by_partition`` is for a table partitioned by ``txn_month``: its months
-    are at most as many as its partition folders, so they are broadcast, and
-    the recompute reads the touched partitions only."""
+    ``by_partition`` is for a table partitioned by ``txn_month``: the recompute
+    then reads the touched partitions only (:func:`touched_rows`)."""
     scoped = _scoped(stg, org_id)
-    months = touched_months(scoped, since)
-    return fct_monthly_revenue(touched_rows(scoped, F.broadcast(months) if by_partition else months))
+    return fct_monthly_revenue(touched_rows(scoped, touched_months(scoped, since), by_partition=by_partition))
 
 
 # Grouping sets of the four dashboard marts, keyed by mart name.

@@ -72,10 +72,9 @@ def _promote_and_refresh(spark: SparkSession, cleaned: DataFrame, stamp: dt.date
     # The table is partitioned by month, so a batch has at most as many months
     # as the table has partition folders (they are broadcast), and the filter
     # on the load stamp lets the scan prune to the touched partitions.
-    touched = F.broadcast(cleaned.where(F.col("ingested_at") <= F.lit(stamp).cast("timestamp_ntz"))
-                          .select("txn_month").distinct())
+    touched = cleaned.where(F.col("ingested_at") <= F.lit(stamp).cast("timestamp_ntz")).select("txn_month").distinct()
     stg = stg_transactions(read_transactions(spark, tx_path).where(F.col("org_id") == org_id))
-    fresh = fct_monthly_revenue(touched_rows(stg, touched))
+    fresh = fct_monthly_revenue(touched_rows(stg, touched, by_partition=True))
     (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("txn_month").parquet(mart_path))
 
