@@ -78,8 +78,10 @@ def write_transactions_csv(df: DataFrame, path: str) -> None:
 # ---------------------------------------------------------------------------
 
 def append_transactions(rows: DataFrame, path: str) -> None:
-    """Append tenant transactions, one folder per month (a null month has its own)."""
-    rows.write.mode("append").partitionBy("txn_month").parquet(path)
+    """Append tenant transactions, one folder per month (a null month has its own).
+    The rebalance gathers a month's rows, so a month gets few files, and splits
+    a month that holds a large share of the rows."""
+    rows.hint("rebalance", "txn_month").write.mode("append").partitionBy("txn_month").parquet(path)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
