@@ -15,13 +15,15 @@ from pyspark.sql import SparkSession
 # Settings every ledgerlens job relies on.  UTC keeps TIMESTAMPTZ semantics
 # ("always UTC") and makes date/month derivations deterministic; AQE coalesces
 # small shuffles, splits skewed join partitions and turns joins whose runtime
-# side is small into broadcasts.
+# side is small into broadcasts.  Arrow batches of 2,000 rows keep a batch of
+# long texts small in a Python worker.
 JOB_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
