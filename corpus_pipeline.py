@@ -11,30 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import decontaminate, mixing, quality_qda, secret_scan, simhash_dedup
 from ledgerlens.llm.common import read, stored
+from ledgerlens.session import configure
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    configure(spark)
     return quality_qda.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    configure(spark)
     return simhash_dedup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    configure(spark)
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Confirmed secrets are overwritten in the texts; every document stays."""
+    configure(spark)
     return secret_scan.redact(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The draws of the mix: one row for each time a document is drawn."""
+    configure(spark)
     return mixing.mix(docs)
 
 
