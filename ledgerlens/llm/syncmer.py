@@ -13,6 +13,7 @@ once; inlined, Spark would rebuild them for every element.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,17 +33,38 @@ def anchors(text: Column, k: int, s: int) -> Column:
     def digest(c: Column) -> Column:
         return F.shiftright(F.xxhash64(c), 32).cast("int")
 
-    def chosen(hashes: Column, inner: Column) -> Column:
-        picked = F.transform(F.sequence(F.lit(1), F.size(inner) - (w - 1)),
-                             lambda i: bind(F.slice(inner, i, w), lambda run: bind(
-                                 F.array_min(run), lambda least: F.when(
-                                     (F.get(run, F.lit(0)) == least) | (F.get(run, F.lit(w - 1)) == least),
-                                     digest(F.slice(hashes, i, k))))))
+    def pairwise(values: Column, step: int, f: Callable[[Column, Column], Column]) -> Column:
+        """``f`` of every element and the one ``step`` places after it; the last ``step`` elements pair with null."""
+        return F.zip_with(values, F.slice(values, step + 1, F.greatest(F.size(values) - step, F.lit(0))), f)
+
+    def least_of_runs(inner: Column, body: Callable[[Column], Column]) -> Column:
+        """``body`` of the least value of each run of ``w`` elements: runs double, the last two overlap."""
+        def grow(least: Column, width: int) -> Column:
+            if width == w:
+                return body(least)
+            step = min(width, w - width)
+            return bind(pairwise(least, step, lambda x, y: F.least(x, y)), lambda wider: grow(wider, width + step))
+
+        return grow(inner, 1)
+
+    def chosen(hashes: Column, inner: Column, least: Column) -> Column:
+        picked = F.transform(F.sequence(F.lit(1), F.size(inner) - (w - 1)), lambda i: F.when(
+            (F.get(inner, i - 1) == F.get(least, i - 1)) | (F.get(inner, i + (w - 2)) == F.get(least, i - 1)),
+            digest(F.slice(hashes, i, k))))
         return F.filter(picked, lambda x: x.isNotNull())
 
+    def inner_hashes(hashes: Column) -> Column:
+        if s == 1:
+            return F.transform(hashes, lambda h: F.xxhash64(h))
+        if s == 2:
+            pairs = pairwise(hashes, 1, lambda x, y: F.xxhash64(x, y))
+        else:
+            pairs = F.transform(F.sequence(F.lit(1), F.size(hashes)), lambda i: F.xxhash64(F.slice(hashes, i, s)))
+        return F.slice(pairs, 1, F.size(hashes) - (s - 1))
+
     def of_hashes(hashes: Column) -> Column:
-        inner = F.transform(F.sequence(F.lit(1), F.size(hashes) - (s - 1)), lambda i: F.xxhash64(F.slice(hashes, i, s)))
-        return (F.when(F.size(hashes) >= k, bind(inner, lambda x: chosen(hashes, x)))
+        anchored = bind(inner_hashes(hashes), lambda x: least_of_runs(x, lambda m: chosen(hashes, x, m)))
+        return (F.when(F.size(hashes) >= k, anchored)
                 .when(F.size(hashes) > 0, F.array(digest(hashes)))
                 .otherwise(F.array().cast("array<int>")))
 
