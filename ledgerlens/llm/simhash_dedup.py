@@ -195,7 +195,9 @@ def link_stars(fps: DataFrame, max_bits: int, split_rows: int) -> DataFrame:
         linked = root != own
         return pd.DataFrame({"fp": own[linked], "root": root[linked]})
 
-    return level.groupBy("mask", "key").applyInPandas(search, "fp long, root long")
+    # A few MB here are much work: keep every partition instead of merging small ones.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return level.repartition(tasks, "mask", "key").groupBy("mask", "key").applyInPandas(search, "fp long, root long")
 
 
 def components(edges: DataFrame, label: str = "simhash") -> DataFrame:
