@@ -94,20 +94,26 @@ class Lexicon:
         return float(np.log1p(total)), float(np.log1p(100.0 * total / (line.count(" ") + 20.0)))
 
 
-def count_entries(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """``entry, n``: training documents (column ``text``) that hold each entry."""
+def count_entries(rows: DataFrame) -> DataFrame:
+    """``entry, toxic, clean``: training documents (``text, label``) of either class that hold each entry."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def drain() -> pd.DataFrame:
+            entries = list(seen[1] | seen[0])
+            out = pd.DataFrame({"entry": entries, "toxic": [seen[1][e] for e in entries], "clean": [seen[0][e] for e in entries]})
+            seen[0].clear(), seen[1].clear()
+            return out.astype({"entry": str, "toxic": "int64", "clean": "int64"})
+
         for batch in batches:
-            for text in batch["text"]:
-                found = stems(set(folded(text).split()))
-                total.update(found if only is None else found & only)
-            if len(total) > 500_000:
-                yield pd.DataFrame({"entry": list(total), "n": list(total.values())})
-                total = Counter()
-        yield pd.DataFrame({"entry": list(total), "n": list(total.values())}).astype({"entry": str, "n": "int64"})
+            for text, label in zip(batch["text"], batch["label"]):
+                seen[label].update(stems(set(folded(text).split())))
+                if len(seen[0]) + len(seen[1]) > 500_000:
+                    yield drain()
+        yield drain()
 
-    return rows.select("text").mapInPandas(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    counted = rows.select("text", "label").mapInPandas(count, "entry string, toxic long, clean long")
+    return counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_lexicon(rows: DataFrame, min_documents: int, min_log_odds: float, max_entries: int) -> dict[str, float]:
@@ -117,15 +123,15 @@ def learn_lexicon(rows: DataFrame, min_documents: int, min_log_odds: float, max_
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
         return {}
-    often = (count_entries(rows.where("label = 1")).where(F.col("n") >= min_documents)
-             .orderBy(F.desc("n"), "entry").limit(20 * max_entries).collect())
-    seen = {r["entry"]: r["n"] for r in often}
-    innocent = {r["entry"]: r["n"] for r in count_entries(rows.where("label = 0"), frozenset(seen)).collect()}
-    odds = {e: float(np.log((n + 0.1) / (toxic + 1.0)) - np.log((innocent.get(e, 0) + 0.1) / (clean + 1.0)))
-            for e, n in seen.items()}
+    weight = F.ln((F.col("toxic") + 0.1) / (toxic + 1.0)) - F.ln((F.col("clean") + 0.1) / (clean + 1.0))
+    telling = (count_entries(rows).where(F.col("toxic") >= min_documents).withColumn("weight", weight)
+               .where(F.col("weight") >= min_log_odds)
+               .orderBy(F.desc(F.col("toxic") * F.col("weight")), "entry").limit(5 * max_entries).collect())
+    seen = {r["entry"]: r["toxic"] for r in telling}
+    odds = {r["entry"]: r["weight"] for r in telling}
     kept: list[str] = []
     reach: dict[str, float] = {}        # best odds among an entry's kept beginnings and itself
-    for e in sorted((e for e, w in odds.items() if w >= min_log_odds), key=len):
+    for e in sorted(odds, key=len):
         shorter = max((reach.get(e[:k], 0.0) for k in range(MIN_STEM, len(e))), default=0.0)
         if odds[e] >= shorter + (1.0 if shorter else 0.0):
             kept.append(e)
