@@ -1,7 +1,7 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
 A candidate is a token core of 16 or more credential characters with a digit,
-or a private-key header.  Its features: length, character transitions and
+or a private-key header; a token has as many candidates as it has cores.  Its features: length, character transitions and
 classes, spread of characters, dictionary coverage, path marks, and what the
 neighbouring words say.  The forest learns from labelled findings: a seed of
 known shapes in known surroundings plus a bounded sample of the corpus's own
@@ -20,9 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import bind, free_name, small_side, stored, text_or_empty
 
-CORE = r"[A-Za-z0-9_+/=.~-]{16,}"
+#: A run of credential characters; "=" is its padding only where no value follows, else it ends a name.
+CORE = r"[A-Za-z0-9_+/.~-]{14,}(?:={1,2}(?![\"'`]?[A-Za-z0-9_+/=.~-]))?"
+#: What parts the fields of a token (JSON, CSV, query strings); never part of a core.
+FIELD = r"[,;&?|{}()\[\]<>]+"
+#: A field that brings its own name.
+NAMED = r"^[\"'`\\]*[A-Za-z_][A-Za-z0-9_.-]*[\"'`\\]*[=:]"
+KEY_START = "-----BEGIN"
 KEY_BLOCK = "PRIVATE KEY"
-KEY_HEADER = f"-----BEGIN {KEY_BLOCK}-----"
+KEY_HEADER = f"{KEY_START} {KEY_BLOCK}-----"
 # Openings of credentials that providers issue.
 PREFIXED = r"^(AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_](live|test)?[-_]?[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_.-]{8,}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{36})"
 # Words that announce a credential, and words that announce a harmless digest or id.
@@ -37,30 +43,55 @@ DICTIONARY = ("the and tion ing ment able com org net www http html index user h
 
 
 def pieces(words: Column) -> Column:
-    """Structs of position, core and neighbours for the candidate tokens of ``words``."""
+    """Structs of position, token and neighbours for the tokens of ``words`` that may hold a core."""
     def at(i: Column) -> Column:
         return F.coalesce(F.get(words, i), F.lit(""))
 
     def piece(t: Column, i: Column) -> Column:
-        core = F.when((t == "-----BEGIN") & F.concat_ws(" ", at(i + 1), at(i + 2), at(i + 3)).contains(KEY_BLOCK), F.lit(KEY_HEADER)) \
-            .when((F.char_length(t) >= 16) & t.rlike("[0-9]"), F.regexp_extract(t, CORE, 0)).otherwise(F.lit(""))
-        return F.struct(i.alias("place"), core.alias("core"), t.alias("token"),
-                        F.concat_ws(" ", at(i - 3), at(i - 2), at(i - 1)).alias("before"), at(i + 1).alias("after"))
+        header = t.endswith(KEY_START) & F.concat_ws(" ", at(i + 1), at(i + 2), at(i + 3)).contains(KEY_BLOCK)
+        return F.when(header | ((F.char_length(t) >= 16) & t.rlike("[0-9]")), F.struct(
+            i.alias("place"), t.alias("token"), header.alias("header"),
+            F.array(at(i - 3), at(i - 2), at(i - 1)).alias("earlier"), at(i + 1).alias("after")))
 
-    return F.filter(F.transform(words, piece), lambda p: (p["core"] != "") & (p["core"].rlike("[0-9]") | p["core"].contains(KEY_BLOCK)))
+    return F.filter(F.transform(words, piece), lambda p: p.isNotNull())
+
+
+def cores(fields: Column) -> Column:
+    """Structs of core, its field (``part``) and neighbours for every core of a token's
+    ``fields``.  A field after the first that brings its own name has no words
+    before it; another one has the fields and words before it."""
+    earlier, after = F.col("p.earlier"), F.col("p.after")
+    # A provider's credential inside a path is a core beside the path.
+    inner = "(?<=[/.~+])" + PREFIXED.removeprefix("^")
+
+    def of_field(f: Column, j: Column) -> Column:
+        before = (F.when(j == 0, F.concat_ws(" ", earlier)).when(f.rlike(NAMED), F.lit(""))
+                  .otherwise(F.concat_ws(" ", F.slice(F.concat(earlier, F.slice(fields, 1, j)), -3, 3))))
+        found = F.concat(F.regexp_extract_all(f, F.lit(CORE), F.lit(0)), F.regexp_extract_all(f, F.lit(inner), F.lit(0)))
+        found = F.filter(found, lambda c: (F.char_length(c) >= 16) & c.rlike("[0-9]"))
+        return F.transform(found, lambda c: F.struct(c.alias("core"), f.alias("part"), before.alias("before"),
+                                                     F.when(j == F.size(fields) - 1, after).otherwise("").alias("after")))
+
+    header = F.struct(F.lit(KEY_HEADER).alias("core"), F.col("p.token").alias("part"),
+                      F.concat_ws(" ", earlier).alias("before"), after.alias("after"))
+    return F.concat(F.flatten(F.transform(fields, of_field)), F.filter(F.array(header), lambda _: F.col("p.header")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, core, token, before, after``: every candidate token with
-    its neighbouring words, from the whole text."""
+    """``doc_id, place, core, token, part, before, after``: every core of every
+    token, as often as it stands there, with its field (``part``) and
+    neighbouring words, from the whole text."""
     words = F.split(text_or_empty(), r"[\x20\x09-\x0D]+")
-    return (docs.select("doc_id", F.explode(bind(words, pieces)).alias("p"))
-            .select("doc_id", "p.place", "p.core", "p.token", "p.before", "p.after"))
+    tokens = docs.select("doc_id", F.explode(bind(words, pieces)).alias("p"))
+    fields = F.filter(F.split("p.token", FIELD), lambda f: f != "")
+    return (tokens.select("doc_id", "p", F.explode(bind(fields, cores)).alias("c"))
+            .select("doc_id", "p.place", "c.core", "p.token", "c.part", "c.before", "c.after"))
 
 
 def features(found: DataFrame) -> DataFrame:
-    """``found`` with the vector column ``features``."""
-    core, low = F.col("core"), F.lower("core")
+    """``found`` with the vector column ``features``; surroundings are the core's
+    field (``part``, in given findings ``token``) and neighbours."""
+    core, low, part = F.col("core"), F.lower("core"), F.col("part" if "part" in found.columns else "token")
     n = F.char_length(core).cast("double")
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(core, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     kinds = [F.char_length(F.regexp_replace(core, pattern, "")) / n for pattern in ("[^0-9]", "[^A-Z]", "[^a-z]", "[^/.]", "[A-Za-z0-9]")]
@@ -73,11 +104,11 @@ def features(found: DataFrame) -> DataFrame:
         "letters_run": F.coalesce(longest, F.lit(0)) / n,
         "hex": core.rlike("^[0-9a-fA-F]+$").cast("double"),
         "prefixed": (core.rlike(PREFIXED) | core.contains(KEY_BLOCK)).cast("double"),
-        "announced": F.concat_ws(" ", "before", "token").rlike(ANNOUNCE).cast("double"),
-        "assigned": (F.col("before").rlike("[=:]$") | F.col("token").rlike("^[A-Za-z_]+[=:]")).cast("double"),
-        "quoted": F.col("token").rlike("[\"'`]").cast("double"),
-        "harmless": F.concat_ws(" ", "before", "token", "after").rlike(HARMLESS).cast("double"),
-        "in_path": F.col("token").rlike("(://|^/|[a-z]/[a-z]|@)").cast("double"),
+        "announced": F.concat_ws(" ", "before", part).rlike(ANNOUNCE).cast("double"),
+        "assigned": (F.col("before").rlike("[=:]$") | part.rlike(NAMED)).cast("double"),
+        "quoted": part.rlike("[\"'`]").cast("double"),
+        "harmless": F.concat_ws(" ", "before", part, "after").rlike(HARMLESS).cast("double"),
+        "in_path": part.rlike("(://|^/|[a-z]/[a-z]|@)").cast("double"),
         "uuid": core.rlike("^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}").cast("double"),
     }
     wide = found.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"f_{name}") for name, c in columns.items()])
@@ -122,18 +153,18 @@ def label_findings(found: DataFrame, max_findings: int) -> DataFrame:
     """At most about ``max_findings`` of the corpus's candidates whose shape and
     surroundings settle the label, with the same strings in harmless
     surroundings as counter-examples."""
-    core, near = F.col("core"), F.concat_ws(" ", "before", "token")
+    core, part, near = F.col("core"), F.col("part"), F.concat_ws(" ", "before", "part")
     hard = core.rlike("^[0-9a-fA-F]{32,64}$|^[A-Za-z0-9+/=_-]{32,}$")
     label = (F.when(core.rlike(PREFIXED) | core.contains(KEY_BLOCK), 1.0)
              .when(hard & near.rlike(ANNOUNCE) & ~near.rlike(HARMLESS), 1.0)
              .when(core.rlike("^[0-9.-]+$"), 0.0)
-             .when(F.col("token").rlike("(://|@)") | (near.rlike(HARMLESS) & hard), 0.0)
+             .when(part.rlike("(://|@)") | (near.rlike(HARMLESS) & hard), 0.0)
              .when(~core.rlike("[0-9].*[0-9].*[0-9]"), 0.0))
     settled = found.withColumn("label", label).where("label IS NOT NULL")
     n = settled.count()
     share = min(1.0, max_findings / max(1, n))
     keep = F.pmod(F.xxhash64("doc_id", "place", "core"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    settled = settled.where(keep).select("core", "token", "before", "after", "label")
+    settled = settled.where(keep).select("core", part.alias("token"), "before", "after", "label")
     moved = (settled.where((F.col("label") == 1) & core.rlike("^[0-9a-fA-F]{32,64}$"))
              .select("core", F.col("core").alias("token"), F.lit("of commit").alias("before"), F.lit("").alias("after"), F.lit(0.0).alias("label")))
     return settled.unionByName(moved)
@@ -148,7 +179,8 @@ def train(findings: DataFrame, trees: int = 30, depth: int = 6, seed: int = 17)
 
 def scan(docs: DataFrame, max_findings: int = 10_000, threshold: float = 0.5, findings: DataFrame | None = None) -> DataFrame:
     """``doc_id, place, core, token, probability, is_secret``: every candidate with the
-    forest's verdict; ``place`` is the token's index in its text.
+    forest's verdict; ``place`` is the token's index in its text (a token with
+    several cores has several rows).
 
     Learns from ``findings`` if given, else from the seed and a bounded sample of
     the corpus's settled candidates.  Null or empty texts have no candidates;
