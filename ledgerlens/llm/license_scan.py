@@ -32,8 +32,15 @@ SENTENCES = {
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-as-is",
     "this work is licensed under the gnu general public license version 3": "gpl3-grant",
     "licensed under the gnu general public license version 3": "gpl3-grant",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-or-later",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-or-later",
+    # The notices as their ':' and ';' cut them; the first part, of free software, is common to other licences.
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-terms-3-or-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-terms-3-or-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-terms-2-or-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-terms-2-or-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "either version 3 of the license or at your option any later version": "gpl-3-or-later",
+    "either version 2 of the license or at your option any later version": "gpl-2-or-later",
     "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-conditions",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
@@ -43,18 +50,20 @@ SENTENCES = {
     "licensed under cc by-sa 4.0": "cc-by-sa4-grant",
     "this work is licensed under a creative commons attribution 4.0 international license": "cc-by4-grant",
     "this work is licensed under a creative commons attribution-noncommercial 4.0 international license": "cc-by-nc4-grant",
+    "this work is licensed under a creative commons attribution-sharealike 4.0 international license": "cc-by-sa4-grant",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "all rights reserved": "all-rights",
 }
-# Licence rules, the most specific first; identifiers in the order in which they must appear.
+# Licence rules, the most specific first; identifiers in the order in which they must appear
+# ("%" spans one sentence or several: "gpl-terms-3-or-later", or "gpl-terms" and later "gpl-3-or-later").
 RULES = [
     ("Apache-2.0 (notice)", ["apache2-grant", "apache2-compliance", "apache2-copy", "apache2-as-is", "apache2-see"]),
     ("Apache-2.0", ["apache2-grant"]),
     ("MIT (text)", ["mit-permission", "mit-notice", "mit-as-is"]),
     ("MIT", ["mit-grant"]),
-    ("GPL-3.0-or-later", ["gpl3-or-later", "gpl-copy"]),
+    ("GPL-3.0-or-later", ["gpl-terms%-3-or-later", "gpl-copy"]),
     ("GPL-3.0", ["gpl3-grant"]),
-    ("GPL-2.0-or-later", ["gpl2-or-later", "gpl-copy"]),
+    ("GPL-2.0-or-later", ["gpl-terms%-2-or-later", "gpl-copy"]),
     ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-conditions", "bsd-source"]),
     ("CC-BY-NC-4.0", ["cc-by-nc4-grant"]),

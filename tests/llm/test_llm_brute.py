@@ -107,6 +107,41 @@ def test_license_rules_and_anchors(spark):
     assert got == {1: "MIT (text)", 2: "CC-BY-NC-4.0", 4: "MIT|All rights reserved"}
 
 
+GPL = ("    This program is free software{0} you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n"
+       "    the Free Software Foundation{1} either version {2} of the License, or\n    (at your option) any later version.\n\n"
+       "    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+       "    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n    GNU General Public License for more details.\n\n"
+       "    You should have received a copy of the GNU General Public License\n    along with this program{3}\n")
+APACHE = ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n"
+          "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+          "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\n"
+          "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\n"
+          "limitations under the License.\n")
+BSD2 = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+        "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n")
+CC = "This work is licensed under a Creative Commons Attribution{0} 4.0 International License."
+
+
+@pytest.mark.parametrize("notice, licences", [
+    (APACHE, "Apache-2.0 (notice)|Apache-2.0"), ("Released under the MIT License.", "MIT"),
+    (GPL.format(":", ",", 3, ".  If not, see <https://www.gnu.org/licenses/>."), "GPL-3.0-or-later"),
+    (GPL.format(";", ";", 3, "; if not, see <https://www.gnu.org/licenses/>."), "GPL-3.0-or-later"),
+    (GPL.format(";", ";", 2, "; if not, write to the Free Software Foundation, Inc."), "GPL-2.0-or-later"),
+    (GPL.format(",", ";", 2, ".  If not, see <https://www.gnu.org/licenses/>."), "GPL-2.0-or-later"),
+    (GPL.format(":", ",", 2, ".  If not, see <https://www.gnu.org/licenses/>."), "GPL-2.0-or-later"),
+    (GPL.format(";", ";", 2, "; if not, see the file.").replace("General", "Lesser General"), ""),
+    ("This work is licensed under the GNU General Public License version 3.", "GPL-3.0"),
+    (BSD2 + "2. Redistributions in binary form must reproduce the above copyright notice.\n", "BSD-2-Clause"),
+    (BSD2 + "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+     "   this software without specific prior written permission.\n", "BSD-3-Clause|BSD-2-Clause"),
+    (CC.format(""), "CC-BY-4.0"), (CC.format("-NonCommercial"), "CC-BY-NC-4.0"), (CC.format("-ShareAlike"), "CC-BY-SA-4.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("All rights reserved.", "All rights reserved")])
+def test_standard_notices(spark, notice, licences):
+    """The untouched notice of every rule, alone in its text."""
+    got = license_scan.scan(spark.createDataFrame([(1, notice)], "doc_id long, text string")).collect()
+    assert [r.licenses for r in got] == ([licences] if got or licences else [])
+
+
 def test_language_model_against_brute_force(spark, sf_dir, texts):
     got = {r.doc_id: r for r in lm_score.score_documents(read(spark, sf_dir, "documents"), block_bytes=20_000).collect()}
     words = {i: t.encode().lower().split() + [lm_score.END] for i, t in texts}
