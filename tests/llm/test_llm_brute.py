@@ -107,6 +107,22 @@ def test_license_rules_and_anchors(spark):
     assert got == {1: "MIT (text)", 2: "CC-BY-NC-4.0", 4: "MIT|All rights reserved"}
 
 
+def test_copies_do_not_fill_the_wrapper_sample(spark):
+    """The page with the smallest hash stands hundreds of times, or one article has hundreds of near copies."""
+    def page(title, body):
+        return f"<html><body><article><h1>{title}</h1><p>{body}</p><p>Sent from the station, with care and attention.</p></article></body></html>"
+    bodies = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(6)]
+    different = [page(f"Title {i}", b) for i, b in enumerate(bodies)]
+    smallest = min(different, key=lambda x: as_signed(x64(x.encode())))
+    near = [page(f"Title 0 as of day {k}", bodies[0]) for k in range(300)]
+    rows = [(i, "http://a.example/x", p) for i, p in enumerate(different + [smallest] * 300)]
+    rows += [(1000 + i, "http://b.example/x", p) for i, p in enumerate(different + near)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert [got[i] for i in range(6)] == [got[1000 + i] for i in range(6)] == [f"Title {i}\n{b}" for i, b in enumerate(bodies)]
+    assert len(got) == len(rows) and not any("station" in t for t in got.values())
+
+
 GPL = ("    This program is free software{0} you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n"
        "    the Free Software Foundation{1} either version {2} of the License, or\n    (at your option) any later version.\n\n"
        "    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n"
