@@ -10,6 +10,7 @@ the two tables are small constants inside the plan.
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,13 +80,16 @@ ANCHORS = ("licens", "software", "permission", "redistribut", "reserved")
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences among those that ``text`` (one sentence
-    a line) holds, in order."""
+    """Identifiers of the known sentences of ``text``, in order.  In it ``\\r`` ends a
+    sentence for certain and ``\\n`` may end one or stand inside one: every known
+    sentence that begins and ends at such places is found, the longest first."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9.\n-]+", " "), r"[ .-]*\n[ .\n-]*", "\n")
-    sentences = F.split(F.regexp_replace(plain, r"^[ .-]+|[ .-]+$", ""), "\n")
-    found = F.transform(sentences, lambda s: F.try_element_at(known, s))
-    return F.filter(found, lambda x: x.isNotNull())
+    plain = F.regexp_replace(text, r"[^a-z0-9.\n\r-]+", " ")
+    plain = F.regexp_replace(plain, r"(?<![ .\n-])[ .\n-]*+\r[ .\n\r-]*", "\r")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?<![ .-])[ .-]*+\n[ .\n-]*", "\n"), r"^[ .\n\r-]+|(?<![ .\n\r-])[ .\n\r-]++$", "")
+    sentences = "|".join(re.escape(s).replace(r"\ ", r"[ \n]") for s in sorted(SENTENCES, key=len, reverse=True))
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<![^\n\r])(?:{sentences})(?![^\n\r])"), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
 
 def follows(ids: Column, rule: list[str]) -> Column:
@@ -96,24 +100,23 @@ def follows(ids: Column, rule: list[str]) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, sentence_ids, licenses`` for every row with a known sentence.
 
-    Sentences end at ``. ! ? ; :`` before white space and at line breaks; where
-    that finds fewer than reading line breaks as spaces (wrapped text), the
-    latter counts.  ``sentence_ids`` and ``licenses`` are joined by ``|``
+    Sentences end at ``. ! ? ; :`` before white space and at blank lines.  A
+    line break may end one or, in wrapped text, stand inside one: both readings
+    count at every place.  ``sentence_ids`` and ``licenses`` are joined by ``|``
     (``licenses`` in rule order, empty where no rule is complete).  Null or
     empty text has no sentence; repeated rows repeat."""
     lower = F.lower(F.regexp_replace(text_or_empty(), r"[\r\x0B\f]", " "))
-    stopped = F.regexp_replace(lower, r"([.!?;:])[ \t\n]+", "$1\n")
-    joined = F.regexp_replace(F.regexp_replace(lower, r"([^\n])\n([^\n])", "$1 $2"), r"([.!?;:])[ \t\n]+", "$1\n")
+    stopped = F.regexp_replace(F.regexp_replace(lower, r"([.!?;:])[ \t\n]+", "$1\r"), r"\n{2,}", "\r")
     some = functools.reduce(Column.__or__, [F.contains(F.lower(text_or_empty()), F.lit(a)) for a in ANCHORS])
-    rows = docs.where(some).select("doc_id", identifiers(stopped).alias("a"), identifiers(joined).alias("b"))
-    rows = rows.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids")).where(F.size("ids") > 0)
+    rows = docs.where(some).select("doc_id", identifiers(stopped).alias("ids")).where(F.size("ids") > 0)
     licences = F.array(*[F.when(follows(F.col("ids"), rule), F.lit(name)) for name, rule in RULES])
     return rows.select("doc_id", F.array_join("ids", "|").alias("sentence_ids"),
                        F.array_join(F.filter(licences, lambda x: x.isNotNull()), "|").alias("licenses"))
 
 
 def scan_oracle() -> str:
-    """The same scan in DuckDB SQL."""
+    """The scan in DuckDB SQL with one reading of line breaks for a whole text (the
+    one with more identifiers): equal where a text mixes no two readings."""
     known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
     ids = (f"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(#, '[^a-z0-9.\\n-]+', ' ', 'g'),"
            f" '[ .-]*\\n[ .\\n-]*', chr(10), 'g'), '^[ .-]+|[ .-]+$', '', 'g'), chr(10)), lambda s: {known}[s]), lambda x: x IS NOT NULL)")

@@ -158,6 +158,16 @@ def test_standard_notices(spark, notice, licences):
     assert [r.licenses for r in got] == ([licences] if got or licences else [])
 
 
+def test_both_readings_of_line_breaks_count_at_every_place(spark):
+    """Unpunctuated grants on lines of their own, above, below and between wrapped notices."""
+    rows = [(1, "Licensed under CC BY 4.0\nby the authors of this page\n\n" + APACHE), (2, APACHE + "\nLicensed under CC BY 4.0\nfor the pictures\n"),
+            (3, "Licensed under CC BY 4.0\n" + APACHE), (4, "/*\n" + re.sub("(?m)^", " * ", "Licence notice\n" + APACHE) + " */"),
+            (5, "Some pages are\nnot licensed under CC BY 4.0\nat all.\n\nReleased under\nthe MIT License")]
+    got = {r.doc_id: r.licenses for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    both = "Apache-2.0 (notice)|Apache-2.0|CC-BY-4.0"
+    assert got == {1: both, 2: both, 3: both, 4: "Apache-2.0 (notice)|Apache-2.0", 5: "MIT"}
+
+
 def test_language_model_against_brute_force(spark, sf_dir, texts):
     got = {r.doc_id: r for r in lm_score.score_documents(read(spark, sf_dir, "documents"), block_bytes=20_000).collect()}
     words = {i: t.encode().lower().split() + [lm_score.END] for i, t in texts}
