@@ -123,6 +123,38 @@ def test_copies_do_not_fill_the_wrapper_sample(spark):
     assert len(got) == len(rows) and not any("station" in t for t in got.values())
 
 
+def test_constant_nodes_after_varying_numbers_of_siblings(spark):
+    """Notes after, between and before 5 to 300 paragraphs, in lists of up to 300 entries, and many runs of siblings."""
+    note = "<p>Sent from the station, with care and attention.</p>"
+
+    def page(i, n, mixed):
+        body = [f"w{i}x{k} " * 8 for k in range(n)]
+        parts = [f"<h2>Part {i} {k}</h2><p>{b}</p>" if mixed else f"<p>{b}</p>" for k, b in enumerate(body)]
+        half = n // 2
+        text = "".join(parts[:half]) + "<p>Read on below the picture.</p>" + "".join(parts[half:]) + note
+        items = "".join(f"<li>entry {i} {k}</li>" for k in range(n)) + "<li>back to the top of the list</li>"
+        heads = [x.strip() for k, b in enumerate(body) for x in ([f"Part {i} {k}"] if mixed else []) + [b]]
+        return f"<html><body><article><p>First published here.</p>{text}<ul>{items}</ul></article></body></html>", heads + [f"entry {i} {k}" for k in range(n)]
+    cases = [(h, *page(i, n, h == "m")) for h in "pm" for i, n in enumerate((5, 6, 12, 40, 70, 130, 210, 300))]
+    rows = [(i, f"http://{h}.example/{i}", html_text) for i, (h, html_text, _) in enumerate(cases)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(cases))] == ["\n".join(want) for _, _, want in cases]
+
+
+def test_matching_of_children_is_the_heaviest():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a, b = ([("pd"[rng.integers(0, 2)], {int(x) for x in rng.integers(0, 5, rng.integers(1, 4))}) for _ in range(rng.integers(0, 9))] for _ in range(2))
+        gain = lambda x, y: len(x[1] & y[1]) if x[0] == y[0] else 0
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + gain(a[i], b[j]))
+        got = html_extract.matched(a, b)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(got, got[1:]))
+        assert sum(gain(a[i], b[j]) for i, j in got) == best[-1, -1]
+
+
 GPL = ("    This program is free software{0} you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n"
        "    the Free Software Foundation{1} either version {2} of the License, or\n    (at your option) any later version.\n\n"
        "    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n"
