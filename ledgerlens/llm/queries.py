@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, html_extract, license_scan, lm_score, mixing, quality_qda, secret_scan,
-               simhash_dedup, syncmer, toxicity)
+from . import (decontaminate, filter_audit, html_extract, language_id, license_scan, lm_score, mixing, quality_qda,
+               secret_scan, simhash_dedup, syncmer, token_align, toxicity)
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(read(spark, sf_dir, "documents"))
+
+
+@query("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+@query("op12_token_align")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(read(spark, sf_dir, "documents"))
+
+
+@query("op13_filter_audit", filter_audit.audit_oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
