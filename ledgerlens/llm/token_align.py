@@ -9,6 +9,8 @@ into groups.  Counts of linked id pairs over the corpus are Spark sums.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,21 +48,46 @@ class Side:
     def __init__(self, pieces: list[bytes], encode):
         self.pieces, self.encode = pieces, encode
         self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
-        self.names = [str(i) for i in range(len(pieces))]
+
+    def named(self, within: str, last: str) -> np.ndarray:
+        """Each id in decimal with the mark behind it, then the same with ``last``."""
+        return np.array([f"{i}{mark}" for mark in (within, last) for i in range(len(self.pieces))], dtype=object)
+
+
+#: How a byte-level tokenizer cuts a text into words.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranked_by_id(file: dict) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE whose ids follow its merges:
+    its ids are then merge ranks, all that the faster encoder needs."""
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    vocab, merges = model.get("vocab", {}), model.get("merges", [])
+    made = [m if isinstance(m, str) else " ".join(m) for m in merges]
+    return (model.get("type", "BPE") == "BPE" and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space")
+            and cut.get("use_regex", True) and not file.get("normalizer") and not model.get("ignore_merges")
+            and all(vocab.get(m.replace(" ", "", 1)) == 256 + i for i, m in enumerate(made)))
 
 
 def byte_level(raw: bytes) -> Side:
     """A byte-level tokenizer file; special tokens' strings are plain text and a
     space goes before every text."""
+    file, alphabet = json.loads(raw), byte_alphabet()
+    vocab = file["model"]["vocab"] | {t["content"]: t["id"] for t in file.get("added_tokens", [])}
+    pieces = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        pieces[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+    if ranked_by_id(file):
+        import tiktoken
+
+        ranks = {pieces[i]: i for i in range(256 + len(file["model"]["merges"]))}
+        fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+        return Side(pieces, lambda texts: [fast.encode_ordinary(" " + t) for t in texts])
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_buffer(raw)
     tokenizer.encode_special_tokens = True
-    alphabet = byte_alphabet()
-    pieces = [b""] * tokenizer.get_vocab_size()
-    for token, i in tokenizer.get_vocab().items():
-        pieces[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
     return Side(pieces, lambda texts: [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)])
 
 
@@ -75,12 +102,22 @@ def sentence_pieces(raw: bytes) -> Side:
 
 def overlaps(doc_a: np.ndarray, start_a: np.ndarray, doc_b: np.ndarray, start_b: np.ndarray) -> pd.DataFrame:
     """All (a, b) places of tokens that share a byte: the union, over both sides, of
-    each token's start and the other side's token that covers it.  Starts are byte
-    offsets that increase over the documents of a batch."""
+    each token's start and the other side's token that covers it (tokens that start
+    together come twice).  Starts are byte offsets that increase over a batch."""
     left = pd.DataFrame({"doc": doc_a, "at": start_a, "a": np.arange(len(start_a))})
     right = pd.DataFrame({"doc": doc_b, "at": start_b, "b": np.arange(len(start_b))})
     found = [pd.merge_asof(left, right, on="at", by="doc"), pd.merge_asof(right, left, on="at", by="doc")]
-    return pd.concat([f[["a", "b"]] for f in found]).drop_duplicates(ignore_index=True)
+    return pd.concat([f[["a", "b"]] for f in found], ignore_index=True)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and the sum of ``n`` over each."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[new], np.add.reduceat(n[order], new)
 
 
 @dataclass
@@ -94,7 +131,7 @@ class Tokens:
     @classmethod
     def of(cls, side: Side, encoded: list[list[int]]) -> Tokens:
         sizes = [len(ids) for ids in encoded]
-        ids = np.fromiter((i for own in encoded for i in own), np.int64, sum(sizes))
+        ids = np.fromiter(itertools.chain.from_iterable(encoded), np.int64, sum(sizes))
         return cls(np.repeat(np.arange(len(encoded)), sizes), ids, np.cumsum(side.lengths[ids]), np.empty(0, np.int64))
 
     def start(self) -> np.ndarray:
@@ -102,7 +139,7 @@ class Tokens:
 
     def by_group(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (group, id) with the number of such tokens, in order."""
-        keys, n = np.unique((self.group << ID_BITS) | self.ids, return_counts=True)
+        keys, n = summed((self.group << ID_BITS) | self.ids, np.ones(len(self.ids), np.int64))
         return keys >> ID_BITS, keys & ((1 << ID_BITS) - 1), n
 
 
@@ -128,47 +165,56 @@ def linked_pairs(a: Tokens, b: Tokens, doc: np.ndarray) -> tuple[np.ndarray, np.
     width = past - first
     left = np.repeat(np.arange(len(group_a)), width)
     right = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
-    pair, links, where = (id_a[left] << ID_BITS) | id_b[right], n_a[left] * n_b[right], doc[group_a[left]]
-    order = np.lexsort((pair, where))
-    pair, links, where = pair[order], links[order], where[order]
-    new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (where[1:] != where[:-1])]) if len(pair) else np.empty(0, np.int64)
-    return where[new], pair[new], np.add.reduceat(links, new) if len(new) else links
-
-
-def group_texts(side_a: Side, side_b: Side, a: Tokens, b: Tokens, n_groups: int) -> list[str]:
-    """``a1,a2|b1`` for each group."""
-    names_a, names_b = [side_a.names[i] for i in a.ids.tolist()], [side_b.names[i] for i in b.ids.tolist()]
-    edge_a = np.searchsorted(a.group, np.arange(n_groups + 1)).tolist()
-    edge_b = np.searchsorted(b.group, np.arange(n_groups + 1)).tolist()
-    return [f"{names_a[i]}|{names_b[k]}" if j - i == 1 == m - k else f"{','.join(names_a[i:j])}|{','.join(names_b[k:m])}"
-            for i, j, k, m in zip(edge_a, edge_a[1:], edge_b, edge_b[1:])]
-
-
-def align_texts(side_a: Side, side_b: Side, texts: list[str]) -> list[tuple]:
-    """``n_a, n_b, n_groups, n_links, groups_sha256, pairs, links`` of each text."""
-    none = (0, 0, 0, 0, "", [], [])
-    out: list[tuple] = [none] * len(texts)
-    given = [i for i, t in enumerate(texts) if t]
-    if not given:
-        return out
-    ids_a, ids_b = side_a.encode([texts[i] for i in given]), side_b.encode([texts[i] for i in given])
-    kept, in_a, in_b = [], [], []
-    for i, x, y in zip(given, ids_a, ids_b):
-        whole = (" " + texts[i]).encode()
-        if b"".join([side_a.pieces[k] for k in x]) == whole == b"".join([side_b.pieces[k] for k in y]):
-            kept.append(i), in_a.append(x), in_b.append(y)
-    if not kept:
+    keys, links = summed((doc[group_a[left]] << 2 * ID_BITS) | (id_a[left] << ID_BITS) | id_b[right], n_a[left] * n_b[right])
+    return keys >> 2 * ID_BITS, keys & ((1 << 2 * ID_BITS) - 1), links
+
+
+def group_digests(named_a: np.ndarray, named_b: np.ndarray, a: Tokens, b: Tokens, n_docs: int) -> list[str]:
+    """The SHA-256 of each document's groups, ``a1,a2|b1;a3|b2,b3``: every id in
+    decimal, with the mark behind it, at its place in the text."""
+    last_a, last_b = np.r_[a.group[1:] != a.group[:-1], True], np.r_[b.group[1:] != b.group[:-1], True]
+    before = np.searchsorted(b.group, a.group)                          # b tokens of earlier groups
+    through = np.searchsorted(a.group, b.group, side="right")           # a tokens up to the own group
+    marked = np.empty(len(a.ids) + len(b.ids), dtype=object)
+    marked[np.arange(len(a.ids)) + before] = named_a[a.ids + last_a * (len(named_a) // 2)]
+    marked[np.arange(len(b.ids)) + through] = named_b[b.ids + last_b * (len(named_b) // 2)]
+    docs = np.arange(n_docs + 1)
+    edges = (np.searchsorted(a.doc, docs) + np.searchsorted(b.doc, docs)).tolist()
+    return [hashlib.sha256("".join(marked[i:j].tolist())[:-1].encode()).hexdigest() for i, j in zip(edges, edges[1:])]
+
+
+class Aligner:
+    """Both tokenizers and the tables that the digests need; one per task."""
+
+    def __init__(self, side_a: Side, side_b: Side):
+        self.a, self.b = side_a, side_b
+        self.named_a, self.named_b = side_a.named(",", "|"), side_b.named(",", ";")
+
+    def align(self, texts: list[str]) -> list[tuple]:
+        """``n_a, n_b, n_groups, n_links, groups_sha256, pairs, links`` of each text."""
+        out: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
+        rows: dict[str, list[int]] = {}
+        for i, text in enumerate(texts):                                # equal texts are aligned once
+            if text:
+                rows.setdefault(text, []).append(i)
+        given, kept, in_a, in_b = list(rows), [], [], []
+        for text, x, y in zip(given, self.a.encode(given), self.b.encode(given)) if given else []:
+            whole = (" " + text).encode()
+            if b"".join([self.a.pieces[k] for k in x]) == whole == b"".join([self.b.pieces[k] for k in y]):
+                kept.append(text), in_a.append(x), in_b.append(y)
+        if not kept:
+            return out
+        a, b, doc = grouped(self.a, self.b, in_a, in_b)
+        where, pair, links = linked_pairs(a, b, doc)
+        digests = group_digests(self.named_a, self.named_b, a, b, len(kept))
+        places = np.arange(len(kept) + 1)
+        of_group, of_pair = np.searchsorted(doc, places).tolist(), np.searchsorted(where, places).tolist()
+        for k, text in enumerate(kept):
+            own = slice(of_pair[k], of_pair[k + 1])
+            found = (len(in_a[k]), len(in_b[k]), of_group[k + 1] - of_group[k], int(links[own].sum()), digests[k], pair[own], links[own])
+            for i in rows[text]:
+                out[i] = found
         return out
-    a, b, doc = grouped(side_a, side_b, in_a, in_b)
-    where, pair, links = linked_pairs(a, b, doc)
-    names = group_texts(side_a, side_b, a, b, len(doc))
-    places = np.arange(len(kept) + 1)
-    of_group, of_pair = np.searchsorted(doc, places).tolist(), np.searchsorted(where, places).tolist()
-    for k, i in enumerate(kept):
-        own = slice(of_pair[k], of_pair[k + 1])
-        digest = hashlib.sha256(";".join(names[of_group[k]:of_group[k + 1]]).encode()).hexdigest()
-        out[i] = (len(in_a[k]), len(in_b[k]), of_group[k + 1] - of_group[k], int(links[own].sum()), digest, pair[own], links[own])
-    return out
 
 
 def vocabulary(spark: SparkSession, path: str) -> bytes:
@@ -187,14 +233,14 @@ def alignments(docs: DataFrame, byte_level_file: str, piece_file: str, chars: in
     raw_a, raw_b = vocabulary(spark, byte_level_file), vocabulary(spark, piece_file)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        side_a, side_b = byte_level(raw_a), sentence_pieces(raw_b)
+        aligner = Aligner(byte_level(raw_a), sentence_pieces(raw_b))
         names = [f.split()[0] for f in ENCODED.split(", ")]
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             run = (np.cumsum([len(t) for t in texts]) // chars).tolist() if texts else []
             begins = [i for i in range(len(run)) if i == 0 or run[i] != run[i - 1]] + [len(run)]
             for i, j in zip(begins, begins[1:]):
-                columns = zip(*align_texts(side_a, side_b, texts[i:j]))
+                columns = zip(*aligner.align(texts[i:j]))
                 yield pd.DataFrame({"doc_id": batch["doc_id"].array[i:j], **dict(zip(names[1:], map(list, columns)))})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(encode, ENCODED)
