@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stored, text_or_empty
+from .common import free_name, small_side, stored, text_or_empty
 
 SEED = 42
 SEGMENT = 4          # bits by which one level of the index splits a node
@@ -247,16 +247,31 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2, spl
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, split_rows: int = 2000) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one whose
-    ``doc_id`` is the component's id; of rows that repeat that id one stays.
+    """``docs`` with one row of each near-duplicate group: one whose ``doc_id`` is
+    the component's id.  Rows that repeat an id with texts of several groups are
+    judged by their own text, so no group loses its survivor to another's row.
     Rows with a null ``doc_id`` cannot be told apart and all stay."""
     classes = stored(simhash_components(docs, shingle, max_bits, split_rows).where("doc_id IS NOT NULL"), "simhash-classes")
-    gone = stored(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
+    ids = stored(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("least"),
+                                               F.max("component_id").alias("most"))
+                 .where("n > 1 OR least <> doc_id").withColumn("mixed", F.col("least") != F.col("most")), "simhash-ids")
+    gone = ids.where("NOT mixed AND least <> doc_id").select(F.col("doc_id").alias("_gone"))
+    again = ids.where("mixed OR least = doc_id").select(F.col("doc_id").alias("_again"))
+    again.stored_path = gone.stored_path = ids.stored_path                  # subsets: no larger than their table
     left = docs.join(small_side(gone), docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = stored(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).count()
-                      .where("count > 1").select("_again"), "simhash-repeated")
-    if repeated.isEmpty():
+    if again.isEmpty():
         return left
-    side = small_side(repeated)
-    again = left.join(side, left["doc_id"] == repeated["_again"], "left_semi").dropDuplicates(["doc_id"])
-    return left.join(side, left["doc_id"] == repeated["_again"], "left_anti").unionByName(again)
+    again = small_side(again)
+    whole = left.join(again, left["doc_id"] == again["_again"], "left_anti")
+    repeated = left.join(again, left["doc_id"] == again["_again"], "left_semi")
+
+    @F.pandas_udf("long")
+    def fingerprint(raw: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint_of(r, shingle) for r in raw], np.uint64).astype(np.int64))
+
+    name, component, same, value = (free_name(docs, base) for base in ("_fp", "_component", "_same", "_hex"))
+    own = classes.select(F.col("doc_id").alias(same), F.col("fingerprint").alias(value), F.col("component_id").alias(component)).distinct()
+    judged = repeated.withColumn(name, F.lower(F.lpad(F.hex(fingerprint(text_or_empty().cast("binary"))), 16, "0")))
+    kept = (judged.join(own, (F.col("doc_id") == F.col(same)) & (F.col(name) == F.col(value)))
+            .where(F.col("doc_id") == F.col(component)).dropDuplicates([component]).select(*docs.columns))
+    return whole.unionByName(kept)
