@@ -1,10 +1,11 @@
 """Sources and sinks with side effects (SRC-1, SRC-3..6, SRC-10, SRC-12).
 
-Loads are atomic at the table level: the new data is written to a version
-folder and one pointer file is switched to it after the write job succeeded,
-so a failing load leaves the previous table in place and readers always find
-one complete version.  The row count comes from an ``Observation`` on the
-write itself — no second pass over the data.
+Loads are atomic at the level of a table set: the new data is written to version
+folders of its own and committed as one log entry after the write jobs succeeded
+(:mod:`ledgerlens.sources.commits`), so a failing load leaves the previous tables
+in place, loads that run at the same time do not harm each other, and readers
+always find one complete version.  The row count comes from an ``Observation`` on
+the write itself — no second pass over the data.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..schemas import CSV_COLUMNS, INSERT_BATCH_ROWS, PIPELINE_RUNS, RAW_LENGTHS, RAW_TRANSACTIONS, TENANT_RUN_STATES, TRANSACTIONS
 from ..session import checkpoint_dir
+from . import commits
 
 # The text tokens that the source reader treats as missing
 # (in addition to an empty field).
@@ -90,69 +92,40 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# File-system helpers (Hadoop FileSystem API, so they work on any cluster FS)
+# Versioned tables (see ledgerlens.sources.commits)
 # ---------------------------------------------------------------------------
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+path_exists = commits.exists
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
-POINTER = "_CURRENT"
+def _located(spark: SparkSession, path: str) -> tuple[str, str]:
+    """The table set and the table that ``path`` names: a set of one table, or a
+    table below the folder of a set."""
+    path = path.rstrip("/")
+    top, _, name = path.rpartition("/")
+    if top and not path_exists(spark, f"{path}/{commits.COMMITS}") and path_exists(spark, f"{top}/{commits.COMMITS}"):
+        return top, name
+    return path, ""
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
     """The folder of a versioned table's current data; None before its first load."""
-    fs, p = _fs(spark, f"{path}/{POINTER}")
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return f"{path}/{name.strip()}"
-
-
-def read_versioned(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The current version of a table that :func:`load_raw` loads."""
-    version = current_version(spark, path)
-    if version is None:
-        raise FileNotFoundError(f"{path} has never been loaded")
-    return spark.read.format(fmt).load(version)
-
-
-def switch_version(spark: SparkSession, path: str, version: str) -> None:
-    """Make the folder ``version`` below ``path`` the table's data: the pointer
-    file is replaced in one rename, so a reader finds the old version or the
-    new one and never neither.  Folders that neither is are leftovers of
-    interrupted loads or superseded versions and are removed; the version just
-    superseded stays for readers that opened it, until the next load."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    before = current_version(spark, path)
-    fs, fresh = _fs(spark, f"{path}/{POINTER}.{uuid.uuid4().hex}")
-    out = fs.create(fresh, True)
-    try:
-        out.write(bytearray(version.encode()))
-    finally:
-        out.close()
-    _, pointer = _fs(spark, f"{path}/{POINTER}")
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri(), conf) \
-        .rename(fs.makeQualified(fresh), fs.makeQualified(pointer), options)
-    keep = {POINTER, version, before.rpartition("/")[2] if before else version}
-    _, top = _fs(spark, path)
-    for status in fs.listStatus(top):
-        name = status.getPath().getName()
-        if name not in keep and (name.startswith("v-") or name.startswith(f"{POINTER}.")):
-            fs.delete(status.getPath(), True)
+    top, table = _located(spark, path)
+    folders = commits.snapshot(spark, top).tables.get(table)
+    return f"{top}/{folders[-1]}" if folders else None
+
+
+def read_versioned(spark: SparkSession, path: str, fmt: str = "parquet", number: int | None = None) -> DataFrame:
+    """The current version of a table that :func:`load_raw` or :func:`build_all`
+    loads, or the one as of commit ``number``."""
+    top, table = _located(spark, path)
+    return commits.read_snapshot(spark, top, commits.snapshot(spark, top, number), table, fmt)
+
+
+def read_set(spark: SparkSession, path: str, number: int | None = None) -> dict[str, DataFrame]:
+    """All tables of a set, as one load left them."""
+    at = commits.snapshot(spark, path, number)
+    return {table: commits.read_snapshot(spark, path, at, table) for table in at.tables}
 
 
 # ---------------------------------------------------------------------------
@@ -187,13 +160,18 @@ def with_load_columns(df: DataFrame, loaded_at, order_col: str = "seq", dense: b
 
 
 def load_raw(df: DataFrame, path: str, fmt: str = "parquet", batch_rows: int = INSERT_BATCH_ROWS,
-             jdbc_options: dict | None = None) -> int:
+             jdbc_options: dict | None = None, conflict: str = "retry",
+             grace_seconds: float = commits.GRACE_SECONDS) -> int:
     """SRC-3/4: truncate-and-load; returns the number of rows loaded.
 
-    Files: the rows are written to a new version folder and the table's pointer
-    is switched to it, so N runs leave the same table as one run, a failed run
-    leaves the old table, and readers (:func:`read_versioned`) always find one
-    complete version.  JDBC: ``truncate`` + ``batchsize`` (pages of ``batch_rows``)."""
+    Files: the rows are written to a version folder of their own and committed
+    (:mod:`ledgerlens.sources.commits`), so N runs leave the same table as one
+    run, a failed run leaves the old table, and readers (:func:`read_versioned`)
+    always find one complete version.  Loads that run at the same time take
+    effect one after the other, in the order of their commits, or with
+    ``conflict="fail"`` the later one raises.  Versions superseded longer than
+    ``grace_seconds`` ago are removed.  JDBC: ``truncate`` + ``batchsize`` (pages
+    of ``batch_rows``)."""
     spark = df.sparkSession
     obs = Observation(f"load_{uuid.uuid4().hex}")
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
@@ -201,9 +179,14 @@ def load_raw(df: DataFrame, path: str, fmt: str = "parquet", batch_rows: int = I
         (observed.write.format("jdbc").options(**(jdbc_options or {}))
          .option("truncate", "true").option("batchsize", batch_rows).mode("overwrite").save())
     else:
-        version = f"v-{uuid.uuid4().hex}"
-        observed.write.format(fmt).save(f"{path}/{version}")
-        switch_version(spark, path, version)
+        load = commits.Load(spark, path, {"": "replace"}, conflict)
+        try:
+            observed.write.format(fmt).save(load.folder())
+        except BaseException:
+            load.abandon()
+            raise
+        load.commit()
+        commits.vacuum(spark, path, grace_seconds)
     return int(obs.get.get("rows", 0))
 
 
@@ -308,8 +291,9 @@ def build_all(spark: SparkSession, tx: DataFrame, target_dir: str, org_id: str |
     """SRC-12: staging stays lazy; the four marts are computed in one scan
     (grouping sets), the small combined result is checkpointed to the shared
     checkpoint folder, the marts' column tests run on it (a failed test of
-    a ``blocking`` severity stops the load), and each mart replaces its table
-    atomically.  Returns the row count of each mart."""
+    a ``blocking`` severity stops the load), and one commit switches all four
+    marts, so a reader finds four marts of one build.  Returns the row count of
+    each mart."""
     from ..operators.marts import MART_SETS, marts_one_pass, split_marts, stack_marts
     from ..operators.quality import ALL_COLUMN_TESTS, enforce, run_tests_stacked
     from ..operators.staging import for_tenant, stg_transactions
@@ -318,7 +302,16 @@ def build_all(spark: SparkSession, tx: DataFrame, target_dir: str, org_id: str |
     checkpoint_dir(spark)
     combined = marts_one_pass(stg).checkpoint(eager=True)
     enforce(run_tests_stacked(stack_marts(combined), [t for t in ALL_COLUMN_TESTS if t.model in MART_SETS]), blocking)
-    counts = {}
-    for name, mart in split_marts(combined).items():
-        counts[name] = load_raw(mart, f"{target_dir}/{name}")
+    marts, counts = split_marts(combined), {}
+    load = commits.Load(spark, target_dir, {name: "replace" for name in marts})
+    try:
+        for name, mart in marts.items():
+            obs = Observation(f"mart_{uuid.uuid4().hex}")
+            mart.observe(obs, F.count(F.lit(1)).alias("rows")).write.parquet(load.folder(name))
+            counts[name] = int(obs.get.get("rows", 0))
+    except BaseException:
+        load.abandon()
+        raise
+    load.commit()
+    commits.vacuum(spark, target_dir)
     return counts
