@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import full_avg, money_sum
 from ..schemas import CONTEXT_MONTHS, TRANSACTIONS
+from ..session import checkpoint_dir
 from .clean import dedupe_first
 from .joins import subset_side
 from .staging import active, for_tenant
@@ -150,23 +151,67 @@ def promote(raw: DataFrame, org_id: str, existing: DataFrame, loaded_at_col: str
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key_sets: list[list[str]],
-                     order: list[str] | None = None) -> DataFrame:
-    """SRC-9: ``INSERT ... ON CONFLICT DO NOTHING``: rows of ``new`` that
-    collide with ``target`` on any unique key set are skipped, and of rows of
-    ``new`` that collide with one another the first in ``order`` (default: the
-    key columns) is inserted, key set by key set.  A null in a key never
-    collides.  The result is the target plus the inserted rows."""
-    inserted = new.select(*target.columns)
-    first = order or [c for keys in key_sets for c in keys]
+                     order: list[str] | None = None, last_rows: int = 100_000) -> DataFrame:
+    """SRC-9: ``INSERT ... ON CONFLICT DO NOTHING`` of the rows of ``new``, one after
+    the other in ``order`` (columns of ``new``; default: the key columns; ties by
+    the other columns): a row is skipped if the target, or a row inserted before
+    it, has its values in any of the ``key_sets``.  A null in a key never
+    collides.  The result is the target plus the inserted rows.
+
+    A skipped row stands in nobody's way, so the inserted rows are the first
+    maximal set without conflict over the graph of rows and key values.  It is
+    found in rounds: a row that is first at all its keys goes in, the rows that
+    share a key with it go out.  A key's first row is a combined minimum, joined
+    back by the key, so a key that a third of all rows share makes no hot task.
+    Each round is checkpointed (``spark.checkpoint.dir``).  Once ``last_rows`` or
+    fewer rows are undecided (long chains of conflicts, one link a round) one task
+    decides the rest in order, with the same result."""
+    columns = target.columns
+    first = order or list(dict.fromkeys(c for keys in key_sets for c in keys))
+    checkpoint_dir(new.sparkSession)
     for keys in key_sets:
-        inserted = inserted.join(target.select(*keys), keys, "left_anti")
-    rest = [c for c in target.columns if c not in first]
-    for keys in key_sets:
-        w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in first + rest])
-        known = [F.col(k).isNotNull() for k in keys]
-        inserted = inserted.withColumn("_rank", F.row_number().over(w))
-        inserted = inserted.where((F.col("_rank") == 1) | ~reduce(Column.__and__, known)).drop("_rank")
-    return target.unionByName(inserted.select(*target.columns))
+        new = new.join(target.select(*keys), keys, "left_anti")
+    rest = [c for c in new.columns if c not in first]
+    place = [F.col(c).asc_nulls_first() for c in first + rest]
+    key_names = [f"_key{i}" for i in range(len(key_sets))]
+    keyed = [F.when(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), F.struct(*keys)).alias(name)
+             for name, keys in zip(key_names, key_sets)]
+    offered = (new.select(*columns, *[c for c in new.columns if c not in columns]).repartitionByRange(*place)
+               .sortWithinPartitions(*place).select(*columns, *keyed, F.monotonically_increasing_id().alias("_place")).checkpoint())
+    undecided, chosen = offered.select("_place", *key_names), []
+    while (left := undecided.count()) > last_rows:
+        marked = undecided
+        for name in key_names:
+            least = undecided.where(F.col(name).isNotNull()).groupBy(name).agg(F.min("_place").alias(f"{name}_least"))
+            marked = marked.join(least, name, "left")
+        is_first = reduce(Column.__and__, [F.coalesce(F.col(f"{n}_least"), F.col("_place")) == F.col("_place") for n in key_names])
+        marked = marked.select("_place", *key_names, is_first.alias("_first")).checkpoint()
+        into = marked.where("_first")
+        chosen.append(into.select("_place"))
+        undecided = marked.where("NOT _first").drop("_first")
+        for name in key_names:
+            undecided = undecided.join(into.select(name), name, "left_anti")
+        undecided = undecided.checkpoint()
+    if left:
+        def decide(batches):
+            taken = [set() for _ in key_names]
+            for batch in batches:
+                keys = [batch[name] for name in key_names]
+                into = []
+                for i, place in enumerate(batch["_place"]):
+                    own = [(held, k[i]) for held, k in zip(taken, keys) if k[i] is not None]
+                    if not any(k in held for held, k in own):
+                        into.append(place)
+                        for held, k in own:
+                            held.add(k)
+                yield batch.loc[batch["_place"].isin(into), ["_place"]]
+
+        texts = [F.to_json(name, {"ignoreNullFields": "false"}).alias(name) for name in key_names]
+        chosen.append(undecided.select("_place", *texts).repartition(1).sortWithinPartitions("_place").mapInPandas(decide, "_place long"))
+    if not chosen:
+        return target.unionByName(offered.select(*columns))
+    inserted = offered.join(reduce(DataFrame.unionAll, chosen), "_place", "left_semi")
+    return target.unionByName(inserted.select(*columns))
 
 
 def quota_rows(orgs: DataFrame, tx: DataFrame) -> DataFrame:

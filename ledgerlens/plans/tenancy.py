@@ -108,42 +108,51 @@ def q_promote_new_rows(spark, sf_dir):
     return TN.promote(raw, TENANT, _tx(spark, sf_dir))
 
 
-# Nations offered as orgs, every third one a second time under another id: the
-# stored orgs win, then the smaller id.
-CTE_ALL_ORGS = f"""incoming AS (
-  SELECT cast(n_nationkey AS VARCHAR) AS id, n_name AS name, {SLUG_SQL.format(x='n_name')} AS slug
-  FROM nation
+# Nations offered as orgs, one after the other (``place``): first each under its
+# own id and slug, some of which stored orgs hold; then every third one's slug under
+# another id, which is refused; then that other id with a slug of its own, which
+# goes in, for the refused row never took the id; then that slug once more.
+# The oracle walks the offers in order and carries the ids and slugs taken so far.
+CTE_ALL_ORGS = f"""offers AS (
+  SELECT row_number() OVER (ORDER BY copy, n_nationkey) AS place,
+         cast(n_nationkey + CASE copy WHEN 0 THEN 0 WHEN 3 THEN 200 ELSE 100 END AS VARCHAR) AS id, n_name AS name,
+         {SLUG_SQL.format(x='n_name')} || CASE WHEN copy >= 2 THEN '-2' ELSE '' END AS slug
+  FROM nation, unnest(CASE WHEN n_nationkey % 3 = 0 THEN [0, 1, 2, 3] ELSE [0] END) AS u(copy)),
+walk AS (
+  SELECT cast(0 AS BIGINT) AS place, (SELECT list(id) FROM organizations) AS ids,
+         (SELECT list(slug) FROM organizations) AS slugs, false AS goes_in
   UNION ALL
-  SELECT cast(n_nationkey + 100 AS VARCHAR), n_name, {SLUG_SQL.format(x='n_name')}
-  FROM nation WHERE n_nationkey % 3 = 0),
-inserted AS (
-  SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS rn FROM incoming i
-  WHERE NOT EXISTS (SELECT 1 FROM organizations o WHERE o.id = i.id)
-    AND NOT EXISTS (SELECT 1 FROM organizations o WHERE o.slug = i.slug)),
+  SELECT o.place,
+         CASE WHEN list_contains(ids, o.id) OR list_contains(slugs, o.slug) THEN ids ELSE list_append(ids, o.id) END,
+         CASE WHEN list_contains(ids, o.id) OR list_contains(slugs, o.slug) THEN slugs ELSE list_append(slugs, o.slug) END,
+         NOT (list_contains(ids, o.id) OR list_contains(slugs, o.slug))
+  FROM walk JOIN offers o ON o.place = walk.place + 1),
 all_orgs AS (
   SELECT * FROM organizations
   UNION ALL
   SELECT id, name, slug, 'free' AS plan, 'active' AS status, {FX.ORG_MAX_USERS} AS max_users,
          cast({FX.ORG_MAX_ROWS} AS BIGINT) AS max_rows, TIMESTAMP '{FX.FIXTURE_EPOCH}' AS created_at,
          TIMESTAMP '{FX.FIXTURE_EPOCH}' AS updated_at, cast(NULL AS TIMESTAMP) AS deleted_at
-  FROM inserted WHERE rn = 1)"""
+  FROM offers JOIN walk USING (place) WHERE goes_in)"""
 
 
-@register("insert_if_absent", with_ctes(CTE_ORGS, CTE_ALL_ORGS) + "SELECT * FROM all_orgs")
+@register("insert_if_absent", with_ctes(CTE_ORGS, CTE_ALL_ORGS).replace("WITH", "WITH RECURSIVE", 1) + "SELECT * FROM all_orgs")
 def q_insert_if_absent(spark, sf_dir):
     """SRC-9: nations offered as new orgs; id or slug conflicts, with stored
-    orgs or with one another, are skipped."""
+    orgs or with orgs that went in before, are skipped."""
     orgs = FX.organizations(spark, sf_dir)
-    nations = read_parquet_table(spark, sf_dir, "nation")
-    offered = nations.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")).unionAll(
-        nations.where("n_nationkey % 3 = 0").select((F.col("n_nationkey") + 100).cast("string"), "n_name"))
-    incoming = _with_org_defaults(offered.withColumn("slug", slugify("name")))
-    return TN.insert_if_absent(orgs, incoming, [["id"], ["slug"]], order=["id"])
+    copies = F.explode(F.expr("CASE WHEN n_nationkey % 3 = 0 THEN array(0, 1, 2, 3) ELSE array(0) END"))
+    offers = (read_parquet_table(spark, sf_dir, "nation").withColumn("copy", copies)
+              .selectExpr("copy", "n_nationkey", "cast(n_nationkey + CASE copy WHEN 0 THEN 0 WHEN 3 THEN 200 ELSE 100 END as string) AS id",
+                          "n_name AS name")
+              .withColumn("slug", F.concat(slugify("name"), F.expr("CASE WHEN copy >= 2 THEN '-2' ELSE '' END"))))
+    incoming = _with_org_defaults(offers, "copy", "n_nationkey")
+    return TN.insert_if_absent(orgs, incoming, [["id"], ["slug"]], order=["copy", "n_nationkey"])
 
 
-def _with_org_defaults(df):
+def _with_org_defaults(df, *more):
     return df.select(
-        "id", "name", "slug", F.lit("free").alias("plan"), F.lit("active").alias("status"),
+        *more, "id", "name", "slug", F.lit("free").alias("plan"), F.lit("active").alias("status"),
         F.lit(FX.ORG_MAX_USERS).alias("max_users"), F.lit(FX.ORG_MAX_ROWS).cast("bigint").alias("max_rows"),
         F.lit(FX.FIXTURE_EPOCH).cast("timestamp_ntz").alias("created_at"),
         F.lit(FX.FIXTURE_EPOCH).cast("timestamp_ntz").alias("updated_at"),
