@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..schemas import CSV_COLUMNS, INSERT_BATCH_ROWS, PIPELINE_RUNS, RAW_LENGTHS, RAW_TRANSACTIONS, TENANT_RUN_STATES, TRANSACTIONS
 from ..session import checkpoint_dir
 from . import commits
+from .csv_splits import read_split_csv
 
 # The text tokens that the source reader treats as missing
 # (in addition to an empty field).
@@ -33,30 +34,37 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 # ---------------------------------------------------------------------------
 
 #: The file dialect, reading and writing: quotes inside a quoted field are
-#: doubled and a quoted field may hold line breaks (so a file is one split; many
-#: files are read in parallel).  Rows with too many or too few fields and headers
+#: doubled and a quoted field may hold line breaks.  Rows with too many or too few fields and headers
 #: that differ from the expected one fail the read.
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST",
                "enforceSchema": False, "columnPruning": False,
                "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_transactions_csv(spark: SparkSession, path: str, position_col: str = "seq") -> DataFrame:
+def read_transactions_csv(spark: SparkSession, path: str, position_col: str = "seq", split: bool = True) -> DataFrame:
     """SRC-1: the 13-column transactions file(s), every column as text.
 
     Columns are matched by header name: the first file's header gives the
     order, every file must have the same one, and all 13 must be there.
     Missing-value tokens become null.  ``position_col`` is the file position
-    (file path, block offset, row within the block): it orders rows exactly as
-    they appear in the files and is what "keep the first copy" dedupes by."""
+    (file path, 0, number of the record in its file): it orders rows exactly as
+    they appear in the files and is what "keep the first copy" dedupes by.
+
+    A file is read in many byte ranges although quoted fields may hold line
+    breaks (:mod:`ledgerlens.sources.csv_splits`); one more pass over the lines
+    finds the ranges' states.  ``split=False`` reads each file in one task; the
+    number in the position then only orders the rows."""
     header = spark.read.options(**CSV_OPTIONS).csv(path).columns
     missing = [c for c in CSV_COLUMNS if c not in header]
     if missing:
         raise ValueError(f"the header lacks {', '.join(missing)}")
-    raw = spark.read.schema(", ".join(f"`{c}` string" for c in header)).options(**CSV_OPTIONS).csv(path)
-    position = F.struct(F.col("_metadata.file_path").alias("file"),
-                        F.col("_metadata.file_block_start").alias("block"),
-                        F.monotonically_increasing_id().alias("row"))
+    if split:
+        raw = read_split_csv(spark, path, header, CSV_OPTIONS)
+        file, row = F.col("file"), F.col("row")
+    else:
+        raw = spark.read.schema(", ".join(f"`{c}` string" for c in header)).options(**CSV_OPTIONS).csv(path)
+        file, row = F.col("_metadata.file_path"), F.monotonically_increasing_id()
+    position = F.struct(file.alias("file"), F.lit(0).cast("long").alias("block"), row.alias("row"))
     cols = [F.when(F.col(c).isin(*NULL_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c)
             for c in CSV_COLUMNS]
     return raw.select(position.alias(position_col), *cols)
