@@ -147,10 +147,13 @@ def grouped(side_a: Side, side_b: Side, in_a: list[list[int]], in_b: list[list[i
     """Both sides' tokens with their groups, and the document of each group."""
     a, b = Tokens.of(side_a, in_a), Tokens.of(side_b, in_b)
     both = overlaps(a.doc, a.start(), b.doc, b.start())
-    end = a.end[both["a"].to_numpy()]
-    cuts = np.unique(end[end == b.end[both["b"].to_numpy()]])
-    a.group, b.group = np.searchsorted(cuts, a.end), np.searchsorted(cuts, b.end)
-    doc = np.empty(len(cuts), np.int64)
+    at_a, at_b = both["a"].to_numpy(), both["b"].to_numpy()
+    equal = a.end[at_a] == b.end[at_b]
+    for side, at in ((a, at_a[equal]), (b, at_b[equal])):
+        last = np.zeros(len(side.ids), np.int64)                        # tokens that end a group
+        last[at] = 1
+        side.group = np.cumsum(last) - last
+    doc = np.empty(a.group[-1] + 1, np.int64)
     doc[a.group] = a.doc
     return a, b, doc
 
@@ -173,8 +176,9 @@ def group_digests(named_a: np.ndarray, named_b: np.ndarray, a: Tokens, b: Tokens
     """The SHA-256 of each document's groups, ``a1,a2|b1;a3|b2,b3``: every id in
     decimal, with the mark behind it, at its place in the text."""
     last_a, last_b = np.r_[a.group[1:] != a.group[:-1], True], np.r_[b.group[1:] != b.group[:-1], True]
-    before = np.searchsorted(b.group, a.group)                          # b tokens of earlier groups
-    through = np.searchsorted(a.group, b.group, side="right")           # a tokens up to the own group
+    size_a, size_b = np.bincount(a.group), np.bincount(b.group)
+    before = (np.cumsum(size_b) - size_b)[a.group]                      # b tokens of earlier groups
+    through = np.cumsum(size_a)[b.group]                                # a tokens up to the own group
     marked = np.empty(len(a.ids) + len(b.ids), dtype=object)
     marked[np.arange(len(a.ids)) + before] = named_a[a.ids + last_a * (len(named_a) // 2)]
     marked[np.arange(len(b.ids)) + through] = named_b[b.ids + last_b * (len(named_b) // 2)]
