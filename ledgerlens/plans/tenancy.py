@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import cascade as CA
 from ..operators import clean as C
 from ..operators import joins as JN
 from ..operators import tenancy as TN
@@ -13,7 +17,7 @@ from ..sources import fixtures as FX
 from ..sources.tables import read_parquet_table
 from .cleaning import CTE_CLEAN, CTE_DEDUP, CTE_TYPED
 from .marts import TENANT
-from .oracle import (CTE_MEMBERSHIPS, CTE_ORGS, CTE_RAW_DIRTY, CTE_TX, SLUG_SQL, d_sum,
+from .oracle import (CTE_MEMBERSHIPS, CTE_INSIGHTS, CTE_ORGS, CTE_RAW_DIRTY, CTE_TOKENS, CTE_TX, CTE_USERS, SLUG_SQL, d_sum,
                      with_ctes)
 from .registry import register
 
@@ -194,6 +198,32 @@ def q_cascade_purge(spark, sf_dir):
     return TN.purge_orgs(tx, purged, deleted_key="org_id", organizations=orgs)
 
 
+@register("cascade_purge_all", with_ctes(CTE_TX, CTE_ORGS, CTE_MEMBERSHIPS, CTE_USERS, CTE_TOKENS, CTE_INSIGHTS) + f""",
+gone_orgs AS (SELECT org_id AS id FROM ({QUOTA_ROWS_SQL}) WHERE over_quota),
+gone_users AS (SELECT id FROM users WHERE deleted_at IS NOT NULL)
+SELECT 'organizations' AS table_name, id AS row_key FROM organizations WHERE id IN (SELECT id FROM gone_orgs)
+UNION ALL SELECT 'users', id FROM gone_users
+UNION ALL SELECT 'transactions', id FROM tx WHERE org_id IN (SELECT id FROM gone_orgs)
+UNION ALL SELECT 'ai_insights', id FROM insights WHERE org_id IN (SELECT id FROM gone_orgs)
+UNION ALL SELECT 'memberships', concat_ws('/', org_id, user_id) FROM memberships
+  WHERE org_id IN (SELECT id FROM gone_orgs) OR user_id IN (SELECT id FROM gone_users)
+UNION ALL SELECT 'refresh_tokens', token FROM refresh_tokens
+  WHERE org_id IN (SELECT id FROM gone_orgs) OR user_id IN (SELECT id FROM gone_users)""")
+def q_cascade_purge_all(spark, sf_dir):
+    """JON-4: what goes from every table when the orgs over their row quota and the
+    soft-deleted users are deleted."""
+    tx, orgs, users = _tx(spark, sf_dir), FX.organizations(spark, sf_dir), FX.users(spark, sf_dir)
+    roots = {"organizations": TN.quota_rows(orgs, tx).where("over_quota").select(F.col("org_id").alias("id")),
+             "users": users.where("deleted_at IS NOT NULL")}
+    flagged, _ = CA.close_delete({"organizations": orgs, "users": users, "transactions": tx,
+                                  "ai_insights": FX.insights(spark, sf_dir), "memberships": FX.memberships(spark, sf_dir),
+                                  "refresh_tokens": FX.refresh_tokens(spark, sf_dir)}, roots)
+    keys = {"memberships": "concat_ws('/', org_id, user_id)", "refresh_tokens": "token"}
+    parts = [df.where("_gone").select(F.lit(name).alias("table_name"), F.expr(keys.get(name, "id")).alias("row_key"))
+             for name, df in flagged.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
 CUSTOMER_DIM_SQL = [
     "cast(c_custkey as string) AS customer_id",
     "n_name AS province",
