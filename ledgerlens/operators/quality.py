@@ -6,12 +6,15 @@ Test semantics follow the usual column-test conventions:
 * ``unique`` — failures are the non-null values seen more than once;
 * ``accepted_values`` — failures are the distinct non-null values outside
   the list (null passes);
+* ``relationships`` — failures are the rows whose non-null value is no key of the
+  parent model;
 * rules — a row count equal to an expectation, a revenue above a floor.
 
 ``run_tests`` fuses all ``not_null`` and ``accepted_values`` tests of a table,
 and any aggregate rules on it (:class:`AggRule`), into one aggregation pass;
 each ``unique`` test is one grouped count (a map-side-combined shuffle on the
-tested column).  The report is a DataFrame; :func:`enforce` is the action that
+tested column), and all ``relationships`` tests of a table are one pass over it and
+one grouped count.  The report is a DataFrame; :func:`enforce` is the action that
 raises when an error-severity test fails.
 """
 
@@ -40,9 +43,11 @@ REPORT_SCHEMA = T.StructType([
 class ColumnTest:
     model: str
     column: str
-    test: str                      # not_null | unique | accepted_values
+    test: str                      # not_null | unique | accepted_values | relationships
     values: tuple = field(default=())
     severity: str = "error"
+    to: str | None = None          # relationships: the parent model and its key
+    to_column: str = "id"
 
 
 # The column tests declared for the marts and the source table.
@@ -170,6 +175,30 @@ def _fused_counts(model: str, df: DataFrame, tests: list[ColumnTest],
     return wide.select(F.inline(rows)).select("model", "column_name", "test", "failures", "severity")
 
 
+def relationship_counts(model: str, df: DataFrame, tests: list[ColumnTest], models: dict[str, DataFrame]) -> DataFrame:
+    """QLT-4: the ``relationships`` tests of one model as report rows.
+
+    One scan of the child gives a (test, value) cell for every key, one scan of
+    each parent the values that exist; one grouped count brings both together.
+    Cells are counted before the shuffle, so a key that a third of all rows hold
+    is one row a task, and only distinct values travel.  Values compare as text."""
+    cells = F.array(*[F.struct(F.lit(i).alias("t"), F.col(t.column).cast("string").alias("value")) for i, t in enumerate(tests)])
+    rows = (df.select(F.inline(cells)).where("value IS NOT NULL")
+            .select("t", "value", F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("there")))
+    for to, column in sorted({(t.to, t.to_column) for t in tests}):
+        own = F.array(*[F.lit(i) for i, t in enumerate(tests) if (t.to, t.to_column) == (to, column)])
+        rows = rows.unionAll(models[to].where(F.col(column).isNotNull())
+                             .select(F.explode(own).alias("t"), F.col(column).cast("string").alias("value"),
+                                     F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("there")))
+    values = rows.groupBy("t", "value").agg(F.sum("n").alias("n"), F.max("there").alias("there"))
+    wide = values.agg(*[F.coalesce(F.sum(F.when((F.col("t") == i) & (F.col("there") == 0), F.col("n"))), F.lit(0)).alias(f"t{i}")
+                        for i in range(len(tests))])
+    report = F.array(*[F.struct(F.lit(model).alias("model"), F.lit(t.column).alias("column_name"), F.lit("relationships").alias("test"),
+                                F.col(f"t{i}").cast("bigint").alias("failures"), F.lit(t.severity).alias("severity"))
+                       for i, t in enumerate(tests)])
+    return wide.select(F.inline(report))
+
+
 def run_tests(models: dict[str, DataFrame], tests: list[ColumnTest],
               rules: list[DataFrame | AggRule] | None = None) -> DataFrame:
     """QLT-7: one report row per (model, column, test) with failures,
@@ -186,6 +215,12 @@ def run_tests(models: dict[str, DataFrame], tests: list[ColumnTest],
         fused = _fused_counts(model, df, mine, [r for r in agg_rules if r.model == model])
         if fused is not None:
             parts.append(fused)
+        refers = [t for t in mine if t.test == "relationships"]
+        if refers:
+            missing = {t.to for t in refers} - set(models)
+            if missing:
+                raise ValueError(f"relationships name models that are not given: {sorted(map(str, missing))}")
+            parts.append(relationship_counts(model, df, refers, models))
         for t in mine:
             if t.test == "unique":
                 failing = unique(df, t.column).agg(F.count(F.lit(1)).alias("failures"))

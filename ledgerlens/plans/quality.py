@@ -7,7 +7,8 @@ from ..operators import quality as Q
 from ..operators import staging as S
 from ..schemas import EXPECTED_ROW_COUNT, REVENUE_FLOOR, VALID_STATUSES
 from ..sources import fixtures as FX
-from .oracle import CTE_FCT, CTE_RAW_DIRTY, CTE_STG, CTE_TX, CTE_TX_LINE, with_ctes
+from .oracle import (CTE_FCT, CTE_MEMBERSHIPS, CTE_ORGS, CTE_RAW_DIRTY, CTE_STG, CTE_TOKENS, CTE_TX, CTE_TX_LINE, CTE_USERS,
+                     with_ctes)
 from .registry import register
 
 SOURCE_NOT_NULL = ["id", "transaction_id", "customer_ref", "amount"]
@@ -116,3 +117,31 @@ def q_dq_report(spark, sf_dir):
                                    label="stg_transactions")]
     source = Q.run_tests({"transactions": tx}, [t for t in Q.ALL_COLUMN_TESTS if t not in mart_tests], rules)
     return marts.unionByName(source)
+
+
+KEY_TESTS = [
+    Q.ColumnTest("memberships", "org_id", "relationships", to="organizations"),
+    Q.ColumnTest("memberships", "user_id", "relationships", to="users"),
+    Q.ColumnTest("refresh_tokens", "org_id", "relationships", severity="warn", to="organizations"),
+    Q.ColumnTest("refresh_tokens", "user_id", "relationships", to="users"),
+    Q.ColumnTest("transactions", "org_id", "relationships", to="organizations"),
+    Q.ColumnTest("transactions", "source_id", "relationships", to="organizations"),
+    Q.ColumnTest("transactions", "customer_ref", "relationships", severity="warn", to="users", to_column="full_name"),
+]
+
+
+def _key_oracle() -> str:
+    rows = [f"""SELECT '{t.model}' AS model, '{t.column}' AS column_name, 'relationships' AS test, count(*) AS failures,
+  '{t.severity}' AS severity, count(*) = 0 AS passed
+FROM {'tx' if t.model == 'transactions' else t.model} c
+WHERE c.{t.column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {t.to} p WHERE p.{t.to_column} = c.{t.column})""" for t in KEY_TESTS]
+    return with_ctes(CTE_TX, CTE_ORGS, CTE_MEMBERSHIPS, CTE_USERS, CTE_TOKENS) + "\nUNION ALL\n".join(rows)
+
+
+@register("dq_relationships", _key_oracle())
+def q_dq_relationships(spark, sf_dir):
+    """QLT-4 in QLT-7: the foreign keys of three tables as report rows, one pass over each."""
+    models = {"organizations": FX.organizations(spark, sf_dir), "users": FX.users(spark, sf_dir),
+              "memberships": FX.memberships(spark, sf_dir), "refresh_tokens": FX.refresh_tokens(spark, sf_dir),
+              "transactions": FX.tx(spark, sf_dir)}
+    return Q.run_tests(models, KEY_TESTS)

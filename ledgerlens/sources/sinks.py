@@ -254,14 +254,16 @@ def tenant_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, csv_path: str, raw_path: str, runs_path: str, loaded_at=None,
-           report: Callable[[str, object], None] | None = None, contracts: Sequence = ()) -> int:
+           report: Callable[[str, object], None] | None = None, contracts: Sequence = (),
+           parents: dict[str, DataFrame] | None = None) -> int:
     """The ingest job: read → audit → clean → stamp ids → constraints → atomic
     load → run log.
 
     ``report(name, value)`` receives what the run has to say: the extract
     summary, the null audit, the cleaning report and the completed revenue of
     the loaded rows.  ``contracts`` are column tests on the model ``raw`` that
-    the rows must pass before they are loaded (one more pass over them).  Any
+    the rows must pass before they are loaded (one more pass over them);
+    ``parents`` are the models that ``relationships`` contracts refer to.  Any
     failure (a strict date or year cast, a constraint, a contract) leaves the previous raw table
     untouched and is still logged, with its whole text, as a failed run."""
     from ..operators.clean import clean_transactions, cleaning_report, null_audit
@@ -279,7 +281,7 @@ def ingest(spark: SparkSession, csv_path: str, raw_path: str, runs_path: str, lo
         cleaned = clean_transactions(extracted)
         table = raw_table_rows(cleaned, loaded_at)
         if contracts:
-            enforce(run_tests({"raw": table}, list(contracts)))
+            enforce(run_tests({**(parents or {}), "raw": table}, list(contracts)))
         rows = load_raw(table, raw_path)
         if report is not None:
             say("completed_revenue", completed_revenue(read_versioned(spark, raw_path)).first()[0])
