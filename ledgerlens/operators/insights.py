@@ -206,11 +206,10 @@ def latest_insights_all(insights: DataFrame, n: int = LATEST_INSIGHTS) -> DataFr
             .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("org_id"))))
 
 
-def store_insights(insights: DataFrame, path: str, created_at=None) -> None:
-    """SRC-11: append insights with the stored columns only; ``run_id`` and
-    ``metadata`` stay null and confidence is ``decimal(5,4)``.  Rows that
-    :func:`split_insights` marked as not stored are left out; a null in a NOT
-    NULL column fails the job."""
+def store_columns(insights: DataFrame, created_at=None) -> DataFrame:
+    """SRC-11: insights with the stored columns only; ``run_id`` and ``metadata``
+    stay null and confidence is ``decimal(5,4)``.  Rows that :func:`split_insights`
+    marked as not stored are left out; a null in a NOT NULL column fails the job."""
     ts = F.current_timestamp().cast("timestamp_ntz") if created_at is None \
         else F.lit(created_at).cast("timestamp_ntz")
     good = insights.where("stored") if "stored" in insights.columns else insights
@@ -218,4 +217,9 @@ def store_insights(insights: DataFrame, path: str, created_at=None) -> None:
         F.expr("uuid()").alias("id"), "org_id", F.lit(None).cast("string").alias("run_id"), "type", "title",
         "content", F.col("confidence").try_cast("decimal(5,4)").alias("confidence"),
         F.lit(None).cast("string").alias("metadata"), ts.alias("created_at"))
-    enforce_contract(out, AI_INSIGHTS, {"type": 100, "title": TITLE_LENGTH}).write.mode("append").parquet(path)
+    return enforce_contract(out, AI_INSIGHTS, {"type": 100, "title": TITLE_LENGTH})
+
+
+def store_insights(insights: DataFrame, path: str, created_at=None) -> None:
+    """SRC-11: append insights to the stored ones (:func:`store_columns`)."""
+    store_columns(insights, created_at).write.mode("append").parquet(path)
