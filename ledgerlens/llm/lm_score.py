@@ -1,7 +1,7 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model is a bigram model by absolute discounting: states are contexts, a
-context's kept bigrams are its arcs with their smoothed log-probabilities, and
+context's bigrams are its arcs with their smoothed log-probabilities, and
 its failure arc leads to the unigram state at the price of the backoff weight.
 Scoring a text is one traversal from left to right: the state is the word
 before, each token takes its arc or the failure arc and adds its log10
@@ -11,9 +11,10 @@ The automaton of a corpus fits no single machine, so none holds it.  Documents
 are dealt into blocks.  A block sends its distinct n-grams with their training
 counts to buckets of n-grams (by hash); a bucket sums the counts of all blocks
 and answers each block, in the order asked, with what it needs: the totals of
-its words and kept bigrams and the mass of its contexts.  The block then has
-exactly the part of the automaton that its texts can visit.  Buckets of very
-frequent contexts are split by the following word.
+its words and bigrams and the mass of its contexts.  The block then has
+exactly the part of the automaton that its texts can visit.  A context with more
+than a bucket's fair share of the tokens is split by the following word, in ways
+that follow that share.
 
 Words are identified by 64-bit hashes, followers inside a context by 40 bits.
 """
@@ -35,8 +36,8 @@ from .common import MB, fold_of, stored, text_or_empty
 START, END = b" start", b" end"      # no word holds a blank
 LOW40 = np.uint64((1 << 40) - 1)
 HOT_SHARE = 1 / 2000                 # contexts above this share of the tokens are split ...
-HOT_WAYS = 16                        # ... this many ways
-DISCOUNT, MIN_PAIR = 0.75, 2         # absolute discount; bigrams seen less often back off
+HOT_WAYS = 16                        # ... at least this many ways; others from half a bucket's share on
+DISCOUNT = 0.75                      # absolute discount of the bigrams
 
 
 class Block:
@@ -76,34 +77,27 @@ class Block:
         """Bucket and its words (indexes, by ascending hash)."""
         yield from split((self.hashes % np.uint64(buckets)).astype(np.int64))
 
-    def pair_parts(self, buckets: int, hot: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def pair_parts(self, buckets: int, hot: np.ndarray, ways: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Bucket, its contexts, the number of pairs of each and these pairs.  A hot
         context goes to all its buckets, with or without a pair there: each answers with its share of the mass."""
         ctx, word = self.codes // self.size, self.codes % self.size
-        is_hot = np.isin(self.hashes, hot)
+        at = np.minimum(np.searchsorted(hot, self.hashes), len(hot) - 1)
+        own = np.where(hot[at] == self.hashes, ways[at], 1)
         place = mixed(self.hashes)
-        way = (mixed(self.hashes[word]) % np.uint64(HOT_WAYS)) * is_hot[ctx].astype(np.uint64)
+        way = mixed(self.hashes[word]) % own[ctx].astype(np.uint64)
         bucket = ((place[ctx] + way) % np.uint64(buckets)).astype(np.int64)
         present = np.unique(ctx)
-        hot_here = present[is_hot[present]]
-        extra = defaultdict(set)
-        for c in hot_here:
-            for w in range(HOT_WAYS):
-                extra[int((int(place[c]) + w) % (1 << 64) % buckets)].add(int(c))
-        seen = set()
-        for b, at in split(bucket):
-            contexts, sizes = np.unique(ctx[at], return_counts=True)
-            if b in extra:
-                seen.add(b)
-                add = np.setdiff1d(np.fromiter(extra[b], np.int64), contexts)
-                merged = np.concatenate([contexts, add])
-                order = np.argsort(merged, kind="stable")
-                contexts, sizes = merged[order], np.concatenate([sizes, np.zeros(len(add), np.int64)])[order]
-            yield b, contexts, sizes, at
-        none = np.empty(0, np.int64)
-        for b in sorted(set(extra) - seen):
-            contexts = np.array(sorted(extra[b]), np.int64)
-            yield b, contexts, np.zeros(len(contexts), np.int64), none
+        split_here = present[own[present] > 1]
+        more = np.repeat(split_here, own[split_here])
+        step = np.arange(len(more)) - np.repeat(np.cumsum(own[split_here]) - own[split_here], own[split_here])
+        more_bucket = ((place[more] + step.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        every, of = np.unique(np.concatenate([bucket, more_bucket]) * self.size + np.concatenate([ctx, more]), return_inverse=True)
+        sizes = np.bincount(of[:len(ctx)], minlength=len(every))
+        asked, first = np.unique(every // self.size, return_index=True)
+        order = np.argsort(bucket, kind="stable")
+        lo, hi = (np.searchsorted(bucket[order], asked, side) for side in ("left", "right"))
+        for b, i, j, k, m in zip(asked, first, np.append(first[1:], len(every)), lo, hi):
+            yield int(b), every[i:j] % self.size, sizes[i:j], order[k:m]
 
 
 def mixed(hashes: np.ndarray) -> np.ndarray:
@@ -145,13 +139,13 @@ def unpack40(raw: bytes) -> np.ndarray:
 
 
 ASK = "kind int, bucket long, block long, keys binary, sizes binary, followers binary, counts binary"
-REPLY = "kind int, bucket long, block long, totals binary, kept binary, mass binary, kept_sum binary, kept_n binary"
+REPLY = "kind int, bucket long, block long, totals binary, mass binary, kinds binary"
 
 
-def ask(block: int, docs: pd.DataFrame, buckets: int, hot: np.ndarray) -> pd.DataFrame:
+def ask(block: int, docs: pd.DataFrame, buckets: int, hot: np.ndarray, ways: np.ndarray) -> pd.DataFrame:
     b = Block(list(docs["raw"]), docs["train"].to_numpy(bool))
     rows = [(0, bucket, block, b.hashes[at].tobytes(), None, None, pack(b.word_counts[at])) for bucket, at in b.word_parts(buckets)]
-    for bucket, contexts, sizes, at in b.pair_parts(buckets, hot):
+    for bucket, contexts, sizes, at in b.pair_parts(buckets, hot, ways):
         rows.append((1, bucket, block, b.hashes[contexts].tobytes(), pack(sizes),
                      pack40(b.hashes[b.codes[at] % b.size] & LOW40), pack(b.pair_counts[at])))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in ASK.split(", ")])
@@ -168,7 +162,7 @@ def answer(rows: pd.DataFrame) -> pd.DataFrame:
         totals = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
         parts = np.split(totals[at], np.cumsum([len(k) for k in keys])[:-1])
         for (bucket, block), part in zip(asked, parts):
-            out.append((0, bucket, block, pack(part), None, None, None, None))
+            out.append((0, bucket, block, pack(part), None, None))
     else:
         sizes = [unpack(s) for s in rows["sizes"]]
         ctx = np.repeat(at, np.concatenate(sizes)).astype(np.uint64)
@@ -176,40 +170,35 @@ def answer(rows: pd.DataFrame) -> pd.DataFrame:
         pairs, of = np.unique(code, return_inverse=True)
         totals = np.bincount(of, np.concatenate(counts), len(pairs)).astype(np.int64)
         owner = (pairs >> np.uint64(40)).astype(np.int64)
-        kept = totals >= MIN_PAIR
         mass = np.bincount(owner, totals, len(every)).astype(np.int64)
-        kept_sum = np.bincount(owner, totals * kept, len(every)).astype(np.int64)
-        kept_n = np.bincount(owner, kept, len(every)).astype(np.int64)
+        kinds = np.bincount(owner, totals > 0, len(every)).astype(np.int64)
         ctx_parts = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
         pair_parts = np.split(of, np.cumsum([len(c) for c in counts])[:-1])
         for (bucket, block), c, p in zip(asked, ctx_parts, pair_parts):
-            out.append((1, bucket, block, pack(totals[p][kept[p]]), np.packbits(kept[p]).tobytes(),
-                        pack(mass[c]), pack(kept_sum[c]), pack(kept_n[c])))
+            out.append((1, bucket, block, pack(totals[p]), pack(mass[c]), pack(kinds[c])))
     return pd.DataFrame(out, columns=[c.split()[0] for c in REPLY.split(", ")])
 
 
-def traverse(docs: pd.DataFrame, replies: pd.DataFrame, buckets: int, hot: np.ndarray, n: int, v: int,
-             discount: float) -> pd.DataFrame:
+def traverse(docs: pd.DataFrame, replies: pd.DataFrame, buckets: int, hot: np.ndarray, ways: np.ndarray,
+             n: int, v: int, discount: float) -> pd.DataFrame:
     """Base and model log10 probability of a block's texts."""
     b = Block(list(docs["raw"]), docs["train"].to_numpy(bool))
     given = {(k, u): row for k, u, row in zip(replies["kind"], replies["bucket"], replies.to_dict("records"))}
     words = np.zeros(b.size, np.int64)
     for bucket, at in b.word_parts(buckets):
         words[at] = unpack(given[0, bucket]["totals"])
-    mass, kept_sum, kept_n = (np.zeros(b.size, np.int64) for _ in range(3))
+    mass, kinds = (np.zeros(b.size, np.int64) for _ in range(2))
     pairs = np.zeros(len(b.codes), np.int64)
-    for bucket, contexts, _, at in b.pair_parts(buckets, hot):
+    for bucket, contexts, _, at in b.pair_parts(buckets, hot, ways):
         row = given[1, bucket]
-        kept = np.unpackbits(np.frombuffer(row["kept"], np.uint8), count=len(at)).astype(bool)
-        pairs[at[kept]] = unpack(row["totals"])
+        pairs[at] = unpack(row["totals"])
         mass[contexts] += unpack(row["mass"])
-        kept_sum[contexts] += unpack(row["kept_sum"])
-        kept_n[contexts] += unpack(row["kept_n"])
+        kinds[contexts] += unpack(row["kinds"])
     # Unigram state: seen words by absolute discounting, every other word is one unknown word.
     p = np.where(words > 0, words - discount, discount * v) / n if n else np.ones(b.size)
     # Arcs and failure arcs.
     ctx, word = b.codes // b.size, b.codes % b.size
-    back = 1.0 - (kept_sum - DISCOUNT * kept_n) / np.maximum(mass, 1)
+    back = np.where(mass > 0, DISCOUNT * kinds / np.maximum(mass, 1), 1.0)
     arc = np.log10(back[ctx] * p[word] + np.where(pairs > 0, pairs - DISCOUNT, 0.0) / np.maximum(mass[ctx], 1))
     base = np.log10((words + 1) / (n + 1 * (v + 1)))
     total = lambda x: np.bincount(b.owner, x, len(docs))
@@ -219,10 +208,14 @@ def traverse(docs: pd.DataFrame, replies: pd.DataFrame, buckets: int, hot: np.nd
         "base_score": total(base[b.words]), "score": total(arc[b.pair])})
 
 
-def vocabulary(rows: DataFrame, buckets: int) -> tuple[int, int, float, np.ndarray]:
+def vocabulary(rows: DataFrame, buckets: int) -> tuple[int, int, float, np.ndarray, np.ndarray]:
     """Training tokens, distinct training tokens, the unigrams' discount (from the
-    numbers of words seen once and twice), and the hashes of the start and of the
-    words that make up over ``HOT_SHARE`` of them (so at most 1 / HOT_SHARE + 1)."""
+    numbers of words seen once and twice; without either the bigrams', so that it
+    lies between 0 and 1), and by ascending hash the words that hold over
+    ``HOT_SHARE`` of them or half a bucket's share (so at most 2000 or two a
+    bucket), and the start, with the ways in which each is split."""
+    share = min(HOT_SHARE, 0.5 / buckets)
+
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: defaultdict[bytes, int] = defaultdict(int)
 
@@ -245,7 +238,7 @@ def vocabulary(rows: DataFrame, buckets: int) -> tuple[int, int, float, np.ndarr
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         every, at = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([unpack(c) for c in rows["counts"]]), len(every)).astype(np.int64)
-        top = counts >= max(2, HOT_SHARE * counts.sum() / 4)        # a superset; the exact share follows
+        top = counts >= max(2, share * counts.sum() / 4)        # a superset; the exact share follows
         none = np.zeros(top.sum(), np.int64)
         return pd.DataFrame({"key": [None, *every[top].astype(np.int64)], "n": [counts.sum(), *counts[top]], "v": [len(every), *none],
                              "once": [(counts == 1).sum(), *none], "twice": [(counts == 2).sum(), *none]}).astype({"key": "Int64"})
@@ -253,15 +246,22 @@ def vocabulary(rows: DataFrame, buckets: int) -> tuple[int, int, float, np.ndarr
     asked = rows.where("train").select("raw").mapInPandas(local, "bucket long, keys binary, counts binary")
     sums = stored(asked.groupBy("bucket").applyInPandas(total, "key long, n long, v long, once long, twice long"), "lm-vocabulary")
     n, v, once, twice = sums.where("key IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]).first()
-    hot = [r["key"] for r in sums.where(F.col("key").isNotNull() & (F.col("n") >= HOT_SHARE * n)).select("key").collect()]
-    discount = once / (once + 2 * twice) if once else DISCOUNT
-    return n, v, discount, np.append(np.array(hot, np.int64).astype(np.uint64), np.uint64(xxhash.xxh64_intdigest(START)))
+    hot = {r["key"] % (1 << 64): r["n"] / n for r in sums.where(F.col("key").isNotNull() & (F.col("n") >= share * n)).select("key", "n").collect()}
+    hot[xxhash.xxh64_intdigest(START)] = hot.get(xxhash.xxh64_intdigest(END), 0.0)      # as many starts as ends
+    hashes = np.array(sorted(hot), np.uint64)
+    part = np.array([hot[h] for h in sorted(hot)])
+    ways = np.clip(np.maximum(np.ceil(2 * part * buckets), np.where(part >= HOT_SHARE, HOT_WAYS, 1)), 1, buckets).astype(np.int64)
+    discount = once / (once + 2 * twice) if once and twice else DISCOUNT
+    return n, v, discount, hashes, ways
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, block_bytes: int = 8 * MB) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, block_bytes: int = 8 * MB,
+                    bucket_bytes: int = 8 * MB) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per
     row: log10 probabilities of the whole text under the smoothed unigram base
     and under the automaton, both learned from the rows outside the held-out fold.
+    Texts are held in blocks of ``block_bytes``, n-grams in buckets for
+    ``bucket_bytes`` of text; both together bound the messages between them.
 
     Null text counts as empty (its end token alone); a null ``doc_id`` is in no
     held-out fold, so it trains.  Unknown words share the model's unknown-word
@@ -271,15 +271,16 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, block_
                        (fold_of(modulus) != held_out).alias("train"))
     spark = docs.sparkSession
     size = rows.select(F.sum(F.octet_length("raw"))).first()[0] or 0
-    blocks = int(max(2 * spark.sparkContext.defaultParallelism, -(-size // block_bytes)))
-    n, v, discount, hot = vocabulary(rows, blocks)
+    least = 2 * spark.sparkContext.defaultParallelism
+    blocks, buckets = (int(max(least, -(-size // part))) for part in (block_bytes, bucket_bytes))
+    n, v, discount, hot, ways = vocabulary(rows, buckets)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(blocks))).repartition(blocks, "block")
 
     def asked(key, batch: pd.DataFrame) -> pd.DataFrame:
-        return ask(int(key[0]), batch, blocks, hot)
+        return ask(int(key[0]), batch, buckets, hot, ways)
 
     def scored(batch: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        return traverse(batch, replies, blocks, hot, n, v, discount)
+        return traverse(batch, replies, buckets, hot, ways, n, v, discount)
 
     replies = (dealt.groupBy("block").applyInPandas(asked, ASK)
                .groupBy("kind", "bucket").applyInPandas(answer, REPLY).repartition(blocks, "block"))

@@ -214,14 +214,13 @@ def test_language_model_against_brute_force(spark, sf_dir, texts):
     e = once / (once + 2 * twice)
     kept, kinds = collections.Counter(), collections.Counter()
     for (h, _), c in bi.items():
-        if c >= lm_score.MIN_PAIR:
-            kept[h] += c
-            kinds[h] += 1
+        kept[h] += c
+        kinds[h] += 1
 
     def prob(h, w):
         p = (uni[w] - e) / n if uni[w] else e * v / n
         back = 1 - (kept[h] - d * kinds[h]) / max(ctx[h], 1)
-        return back * p + ((bi[h, w] - d) / ctx[h] if bi[h, w] >= lm_score.MIN_PAIR else 0)
+        return back * p + ((bi[h, w] - d) / ctx[h] if bi[h, w] else 0)
 
     for i, w in words.items():
         r = got[i]
