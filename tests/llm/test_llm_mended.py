@@ -2,11 +2,12 @@
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from ledgerlens.llm import lm_score
+from ledgerlens.llm import decontaminate, lm_score
 
 
 def training_ids(n):
@@ -33,3 +34,33 @@ def test_hot_contexts_are_split_by_their_share(spark):
     many = {r.doc_id: r.score for r in lm_score.score_documents(df, block_bytes=2_000, bucket_bytes=500).collect()}
     few = {r.doc_id: r.score for r in lm_score.score_documents(df).collect()}
     assert many.keys() == few.keys() and all(many[k] == pytest.approx(few[k], abs=1e-9) for k in few)
+
+
+@pytest.mark.parametrize("shortest, longest", [(2, 8), (6, 12), (15, 60)])
+def test_items_of_every_length_are_found(spark, shortest, longest):
+    """A full block of 500 items, each planted word for word in a document of its own: recall 0.9 or more by brute force."""
+    rng = np.random.default_rng(longest)
+    words = [f"w{k}" for k in range(3000)]
+    share = 1.0 / np.arange(1, len(words) + 1)
+    draw = lambda n: " ".join(rng.choice(words, n, p=share / share.sum()))
+    items = [(i, draw(int(rng.integers(shortest, longest + 1)))) for i in range(500)]
+    docs = [(i, f"{draw(int(rng.integers(20, 120)))} {text} {draw(90)}") for i, text in items]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                                        spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    df = Counter(w for _, t in docs for w in set(t.split()))
+    told = [i for i, t in items if len(t.split()) >= 5 or any(df[w] <= 0.05 * len(docs) for w in t.split())]
+    assert sum((i, i) in got for i in told) >= 0.9 * len(told)
+    texts = {i: f" {t} " for i, t in docs}
+    asked = dict(items)
+    assert all(f" {asked[i]} " in texts[d] for d, i in got if len(asked[i].split()) < 5)
+
+
+def test_short_items_alone_and_common_ones(spark):
+    """Items of two to four tokens are found as they stand, inside one text only; a single word or common words tell nothing."""
+    docs = [(1, "we met the Purple, Walrus again"), (2, "purple and walrus"), (3, "so purple"), (4, "walrus of the"), (5, ""), (6, None)]
+    docs += [(100 + i, f"one of the many {i}") for i in range(60)]
+    items = [(1, "purple walrus"), (2, "of the"), (3, "purple"), (4, ""), (5, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contamination(df, bench).collect()] == [(1, 1)]
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {d for d, _ in docs} - {1}
