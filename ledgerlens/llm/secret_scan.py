@@ -1,7 +1,9 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-A candidate is a token core of 16 or more credential characters with a digit,
-or a private-key header; a token has as many candidates as it has cores.  Its features: length, character transitions and
+A candidate is a token core of 16 or more credential characters with a digit, a
+private-key header, or by its place, whatever its characters, a value of six or
+more after a name that announces a credential or in the user part of a URL.  A
+token has as many candidates as it has such parts.  Its features: length, character transitions and
 classes, spread of characters, dictionary coverage, path marks, and what the
 neighbouring words say.  The forest learns from labelled findings: a seed of
 known shapes in known surroundings plus a bounded sample of the corpus's own
@@ -12,6 +14,8 @@ DataFrame functions and the DataFrame API of Spark ML only.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,6 +38,12 @@ PREFIXED = r"^(AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[
 # Words that announce a credential, and words that announce a harmless digest or id.
 ANNOUNCE = r"(?i)(token|secret|passw|api.?key|access.?key|auth|bearer|credential|private)"
 HARMLESS = r"(?i)(commit|sha-?\d*|md5|checksum|digest|uuid|guid|etag|revision|build|example|sample|hash|version|isbn|doi)"
+#: A name that announces its value, up to the sign before the value, and the value: up to a quote, comma,
+#: semicolon or the next field of a query.
+NAME_ENDS = ANNOUNCE + r"[A-Za-z0-9_.-]{0,24}[\"'`\\]*[=:]"
+VALUE = r"[\"'`\\]*((?:(?!&[A-Za-z_]+=)[^\"'`\\\s,;]){6,})"
+#: The password of a URL's user part.
+URL_USER = r"://[^/\s:@\"'`]*:([^/\s\"'`]{6,})@"
 #: Words and pieces whose presence speaks against a random string.
 DICTIONARY = ("the and tion ing ment able com org net www http html index user home path file data test example sample name "
               "mail page list image config default main node value string number table version release build static public "
@@ -41,16 +51,31 @@ DICTIONARY = ("the and tion ing ment able com org net www http html index user h
               "ver ung lich keit heit aux eau elle ere en er es re or an on in at ti ha he nd st nt ea ed ou th sh ble ly "
               "xxxx abcd 1234 0000").split()
 
+# Words for passphrases of the seed, and what stands for a credential in descriptions and templates.
+WORDS = ("horse battery staple river window garden copper planet silver basket candle yellow forest bridge kitten marble orange "
+         "pepper rocket saddle tunnel violet walnut winter").split()
+PLACEHOLDERS = ("password changeme required optional username secret string undefined missing invalid expired default example "
+                "refresh authentication mandatory protected encrypted <password> ${PASSWORD} your_password your-secret-here xxxxxxxx ******** "
+                "process.env.SECRET os.environ getenv(").split()
+
 
 def pieces(words: Column) -> Column:
     """Structs of position, token and neighbours for the tokens of ``words`` that may hold a core."""
     def at(i: Column) -> Column:
         return F.coalesce(F.get(words, i), F.lit(""))
 
+    def named(i: Column) -> Column:
+        """Whether the words before ``i`` end in a name that announces a value, and the sign."""
+        last = at(i - 1)
+        sign = last.endswith("=") | last.endswith(":")
+        return sign & F.concat(F.when(F.length(last) < 4, at(i - 2)).otherwise(F.lit("")), last).rlike(NAME_ENDS + "$")
+
     def piece(t: Column, i: Column) -> Column:
         header = t.endswith(KEY_START) & F.concat_ws(" ", at(i + 1), at(i + 2), at(i + 3)).contains(KEY_BLOCK)
-        return F.when(header | ((F.char_length(t) >= 16) & t.rlike("[0-9]")), F.struct(
-            i.alias("place"), t.alias("token"), header.alias("header"),
+        inside = (F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))) & (t.rlike(NAME_ENDS + VALUE) | t.rlike(URL_USER))
+        by_place = (F.char_length(t) >= 6) & (named(i) | inside)
+        return F.when(header | ((F.char_length(t) >= 16) & t.rlike("[0-9]")) | by_place, F.struct(
+            i.alias("place"), t.alias("token"), header.alias("header"), ((F.char_length(t) >= 6) & named(i)).alias("named"),
             F.array(at(i - 3), at(i - 2), at(i - 1)).alias("earlier"), at(i + 1).alias("after")))
 
     return F.filter(F.transform(words, piece), lambda p: p.isNotNull())
@@ -74,12 +99,21 @@ def cores(fields: Column) -> Column:
 
     header = F.struct(F.lit(KEY_HEADER).alias("core"), F.col("p.token").alias("part"),
                       F.concat_ws(" ", earlier).alias("before"), after.alias("after"))
-    return F.concat(F.flatten(F.transform(fields, of_field)), F.filter(F.array(header), lambda _: F.col("p.header")))
+    found = F.concat(F.flatten(F.transform(fields, of_field)), F.filter(F.array(header), lambda _: F.col("p.header")))
+    # Values by their place, each once and only where no core is that value.
+    token, near = F.col("p.token"), F.concat_ws(" ", earlier)
+    values = F.concat(F.regexp_extract_all(token, F.lit(NAME_ENDS + VALUE), F.lit(2)), F.regexp_extract_all(token, F.lit(URL_USER), F.lit(1)),
+                      F.when(F.col("p.named"), F.slice(F.regexp_extract_all(token, F.lit("^" + VALUE), F.lit(1)), 1, 1))
+                      .otherwise(F.array().cast("array<string>")))
+    values = F.filter(F.array_distinct(F.transform(values, lambda v: F.regexp_replace(v, r"[.!?)}\]>]+$", ""))), lambda v: F.char_length(v) >= 6)
+    return bind(found, lambda f: F.concat(f, F.transform(
+        F.filter(values, lambda v: ~F.exists(f, lambda c: c["core"] == v)),
+        lambda v: F.struct(v.alias("core"), token.alias("part"), near.alias("before"), after.alias("after")))))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, core, token, part, before, after``: every core of every
-    token, as often as it stands there, with its field (``part``) and
+    """``doc_id, place, core, token, part, before, after``: every core and every
+    value by its place of every token, as often as it stands there, with its field (``part``) and
     neighbouring words, from the whole text."""
     words = F.split(text_or_empty(), r"[\x20\x09-\x0D]+")
     tokens = docs.select("doc_id", F.explode(bind(words, pieces)).alias("p"))
@@ -109,6 +143,10 @@ def features(found: DataFrame) -> DataFrame:
         "quoted": part.rlike("[\"'`]").cast("double"),
         "harmless": F.concat_ws(" ", "before", part, "after").rlike(HARMLESS).cast("double"),
         "in_path": part.rlike("(://|^/|[a-z]/[a-z]|@)").cast("double"),
+        "user_part": (F.regexp_extract(part, URL_USER, 1) == core).cast("double"),
+        "value": F.endswith(F.regexp_extract(F.concat_ws(" ", "before", part), NAME_ENDS + "\\s*" + VALUE, 2), core).cast("double"),
+        "classes": sum(core.rlike(x).cast("double") for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")),
+        "letters": (F.lower(core).rlike("^[a-z]+$")).cast("double"),
         "uuid": core.rlike("^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}").cast("double"),
     }
     wide = found.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"f_{name}") for name, c in columns.items()])
@@ -117,8 +155,8 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def seed_findings(spark: SparkSession, each: int = 60) -> DataFrame:
-    """Labelled findings of known shapes: ``core, token, before, after, label``."""
-    h = F.sha2(F.col("id").cast("string"), 256)
+    """Labelled findings of known shapes, ``each`` of every kind: ``core, token, before, after, label``."""
+    h = F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")), 256)
     base = F.base64(F.unhex(h))
     uuid = F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12))
     kinds = [  # core, token text before and after it, words before, word after, label
@@ -140,13 +178,36 @@ def seed_findings(spark: SparkSession, each: int = 60) -> DataFrame:
         (F.concat(F.lit("internationalization"), h.substr(1, 1), F.lit("2")), "", "", "of the", "and", 0),
         (F.concat(F.lit("2024-01-01T00.00."), F.conv(h.substr(1, 6), 16, 10)), "", "", "dated", "", 0),
     ]
-    out = None
-    for i, (core, left, right, before, after, label) in enumerate(kinds):
-        rows = spark.range(i * each, (i + 1) * each, 1, 1).select(
-            core.alias("core"), F.concat(F.lit(left), core, F.lit(right)).alias("token"), F.lit(before).alias("before"),
-            F.lit(after).alias("after"), F.lit(float(label)).alias("label"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    # Short values and passphrases by their place, and what stands there in descriptions and templates.
+    strong = F.concat(F.substring(base, 3, 4), F.lit("!"), F.substring(base, 9, 3), F.substring(h, 60, 2), F.lit("#"))
+    mixed = F.concat(F.upper(F.substring(h, 3, 1)), F.substring(F.translate(h, "0123456789", "ghjkmnpqrs"), 5, 4), F.substring(F.translate(h, "abcdef", "234567"), 11, 2),
+                     F.substring(F.translate(h, "0123456789", "ghjkmnpqrs"), 20, 3), F.lit("&"), F.substring(F.translate(h, "abcdef", "234567"), 31, 1))
+
+    def drawn(words: list[str], k: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, words)), F.conv(h.substr(k, 6), 16, 10).cast("int") % len(words) + 1)
+
+    phrase = F.concat(*[drawn(WORDS, k) for k in (1, 6, 11, 16)])
+    short = F.concat(F.substring(base, 5, 4), F.substring(F.translate(h, "abcdef", "234567"), 7, 2), F.upper(F.substring(F.translate(h, "0123456789", "ghjkmnpqrs"), 3, 2)))
+    leet = F.concat(F.translate(drawn(WORDS, 2), "aeio", "4310"), F.initcap(F.substring(F.translate(drawn(WORDS, 9), "aeio", "4310"), 1, 4)))
+    marked = F.concat(F.substring(F.translate(h, "0123456789", "ghjkmnpqrs"), 9, 2), F.upper(F.substring(h, 15, 1)), F.lit("7$"), F.substring(base, 7, 2), F.lit("!"), F.substring(h, 40, 2))
+    letters = F.substring(F.translate(h, "0123456789", "ghjkmnpqrs"), 1, 32)
+    word = drawn(WORDS + PLACEHOLDERS, 1)
+    values = [(strong, 1), (mixed, 1), (phrase, 1), (letters, 1), (short, 1), (leet, 1), (marked, 1), (word, 0), (drawn(PLACEHOLDERS, 4), 0)]
+    for name, sign in (("password", "="), ("db_password", ":"), ("SECRET", "="), ("auth_token", ":")):
+        for value, label in values:
+            kinds += [(value, name + sign, "", "", "", label), (value, "", "", f"{name}{sign}", "", label), (value, "", "", f"the {name} {sign}", "", label)]
+    for value, label in values:
+        kinds.append((value, "postgres://admin:", "@db.internal/main", "connect to", "", label))
+        kinds.append((value, '{"user":"x","password":"', '","n":1}', "", "", label))
+    # The strings of every kind, then each kind's surroundings.
+    strings = list({str(core): core for core, *_ in kinds}.items())
+    place = {name: i for i, (name, _) in enumerate(strings)}
+    around = json.dumps([[place[str(core)], *rest] for core, *rest in kinds])
+    drawn_rows = spark.range(0, each, 1, 1).select(F.posexplode(F.array(*[core for _, core in strings])).alias("kind", "core"))
+    shown = spark.range(1).select(F.explode(F.from_json(F.lit(around), "array<array<string>>")).alias("a")).select(
+        F.col("a")[0].cast("int").alias("kind"), *[F.col("a")[i + 1].alias(c) for i, c in enumerate(("left", "right", "before", "after", "label"))])
+    return drawn_rows.join(shown, "kind").select("core", F.concat("left", "core", "right").alias("token"), "before", "after",
+                                                 F.col("label").cast("double").alias("label"))
 
 
 def label_findings(found: DataFrame, max_findings: int) -> DataFrame:
@@ -155,8 +216,11 @@ def label_findings(found: DataFrame, max_findings: int) -> DataFrame:
     surroundings as counter-examples."""
     core, part, near = F.col("core"), F.col("part"), F.concat_ws(" ", "before", "part")
     hard = core.rlike("^[0-9a-fA-F]{32,64}$|^[A-Za-z0-9+/=_-]{32,}$")
+    # What stands in a credential's place is settled by the seed alone.
+    by_place = (F.regexp_extract(part, URL_USER, 1) == core) | F.endswith(F.regexp_extract(near, NAME_ENDS + "\\s*" + VALUE, 2), core)
     label = (F.when(core.rlike(PREFIXED) | core.contains(KEY_BLOCK), 1.0)
              .when(hard & near.rlike(ANNOUNCE) & ~near.rlike(HARMLESS), 1.0)
+             .when(by_place, F.lit(None).cast("double"))
              .when(core.rlike("^[0-9.-]+$"), 0.0)
              .when(part.rlike("(://|@)") | (near.rlike(HARMLESS) & hard), 0.0)
              .when(~core.rlike("[0-9].*[0-9].*[0-9]"), 0.0))

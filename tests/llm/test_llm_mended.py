@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ledgerlens.llm import decontaminate, lm_score
+from ledgerlens.llm import decontaminate, lm_score, secret_scan
 
 
 def training_ids(n):
@@ -64,3 +64,19 @@ def test_short_items_alone_and_common_ones(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.contamination(df, bench).collect()] == [(1, 1)]
     assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {d for d, _ in docs} - {1}
+
+
+def test_secrets_by_their_place(spark):
+    """Short values, values without digits and URL user parts are confirmed; descriptions, templates and prose are left alone."""
+    secret = {"password = correcthorsebatterystaplexy": "correcthorsebatterystaplexy", "db_password: Tr0ub4dor&3": "Tr0ub4dor&3",
+              "SECRET=Zq8!mK2#pL9": "Zq8!mK2#pL9", "token: qwhgjzkmnpvbxrtyclsdfqwmzkhgpbvn": "qwhgjzkmnpvbxrtyclsdfqwmzkhgpbvn",
+              "connect postgres://admin:s3cr3tP4ss@db.internal/x": "s3cr3tP4ss", '{"user":"x1","password":"hV7$kq!2z","n":3}': "hV7$kq!2z"}
+    clean = ["the password: required for all users", "a token = optional in this call", "password: <password>", "password=changeme", "",
+             "The secret: always listen to people", "see the token: https://example.com/docs/auth/index.html for more", "the author: Katherine wrote", None]
+    rows = list(enumerate([*secret, *clean]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.core) for r in secret_scan.scan(docs).where("is_secret").collect()}
+    assert got == set(enumerate(secret.values()))
+    texts = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert all(texts[i] == t.replace(secret[t], "<SECRET>") for i, t in enumerate(secret))
+    assert all(texts[len(secret) + i] == t for i, t in enumerate(clean))
