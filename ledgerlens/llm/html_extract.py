@@ -15,6 +15,7 @@ import html as entities
 import itertools
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,7 +46,7 @@ NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|na
                    r"newsletter|subscribe|subscription|social|share|sharing|related|recommended|widget|toolbar|pagination|pager)(?=$|[\s_-])", re.I)
 #: An article element so named is a reader's comment, a teaser or an advert.
 NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|related|teaser|promo\w*|sponsor\w*|ads?|advert\w*)(?=$|[\s_-])", re.I)
-MAX_DEPTH = 200       # deeper elements join the tree at this depth (as browsers bound theirs)
+ALIGNED_DEPTH = 200   # wrappers reach so deep; below, no node is template and all text is kept
 
 
 @dataclass(slots=True)
@@ -53,6 +54,7 @@ class Node:
     tag: str
     label: str
     aside: bool
+    depth: int = 0
     children: list = field(default_factory=list)     # Node or text
 
 
@@ -60,14 +62,18 @@ def parse(page: str) -> Node:
     """A tolerant DOM: unclosed and unopened tags are mended as browsers do for text."""
     root = Node("#root", "#root", False)
     stack, at, size = [root], 0, len(page)
+    opened: Counter = Counter()
 
     def text(piece: str) -> None:
         if piece:
             stack[-1].children.append(entities.unescape(piece))
 
     def close(tags: frozenset | set, stop: frozenset | set) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                opened.subtract(n.tag for n in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in stop:
@@ -95,15 +101,15 @@ def parse(page: str) -> Node:
         off = (tag in ASIDE or given.get("role", "").lower() in ROLES or "hidden" in given
                or given.get("aria-hidden", "").lower() == "true" or tag not in ("body", "html", "main") and bool(
                    name and (NO_ARTICLE if tag == "article" else NAMES).search(name)))
-        node = Node(tag, f"{tag}.{' '.join(sorted(re.sub(r'[0-9]+', '', given.get('class', '')).split()))}", off)
+        node = Node(tag, f"{tag}.{' '.join(sorted(re.sub(r'[0-9]+', '', given.get('class', '')).split()))}", off, len(stack))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
             node.children.append(entities.unescape(page[at:end.start() if end else size]))
             at = end.end() if end else size
         elif tag not in VOID and not (m[3] and m[3].rstrip().endswith("/") and tag in ("svg", "path")):
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
+            stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -118,7 +124,8 @@ def digest(node: Node) -> int:
 
 
 def elements(node: Node) -> list[Node]:
-    return [c for c in node.children if not isinstance(c, str)]
+    """The child elements that a wrapper may reach."""
+    return [c for c in node.children if not isinstance(c, str)] if node.depth < ALIGNED_DEPTH else []
 
 
 class Slot:
@@ -221,23 +228,27 @@ def blocks(node: Node, skip: set[int]) -> list[str]:
             out.append(line)
         held.clear()
 
-    def walk(n: Node) -> None:
-        block = n.tag not in INLINE
-        if block:
+    def enter(n: Node) -> tuple[Node, Iterator]:
+        if n.tag not in INLINE:
             flush()
         if n.tag == "br":
             held.append(" ")
-        silent = id(n) in skip
-        for c in n.children:
+        return n, iter(n.children)
+
+    stack = [enter(node)]       # pages may nest deeper than calls can
+    while stack:
+        n, rest = stack[-1]
+        for c in rest:
             if isinstance(c, str):
-                if not silent:
+                if id(n) not in skip:
                     held.append(c)
             elif not c.aside:
-                walk(c)
-        if block:
-            flush()
-
-    walk(node)
+                stack.append(enter(c))
+                break
+        else:
+            stack.pop()
+            if n.tag not in INLINE:
+                flush()
     flush()
     return out
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ledgerlens.llm import decontaminate, lm_score, secret_scan
+from ledgerlens.llm import decontaminate, html_extract, lm_score, secret_scan
 
 
 def training_ids(n):
@@ -80,3 +80,26 @@ def test_secrets_by_their_place(spark):
     texts = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert all(texts[i] == t.replace(secret[t], "<SECRET>") for i, t in enumerate(secret))
     assert all(texts[len(secret) + i] == t for i, t in enumerate(clean))
+
+
+def test_very_deep_pages_keep_all_text():
+    for depth in (50, 260, 20_000):
+        page = f"<article><h1>Top</h1>{'<div>' * depth}inside<nav>menu</nav><p>one</p><p>two</p>{'</div>' * depth}<p>after</p></article><p>out</p>"
+        assert html_extract.main_text(page, None) == "Top\ninside\none\ntwo\nafter"
+        assert html_extract.main_text(page + "</b>" * depth, html_extract.induce([page] * 3)) == "Top\ninside\none\ntwo\nafter"
+
+
+def test_wrapper_alone_finds_the_article_among_neutral_tags(spark):
+    """Nothing but div elements under class names without meaning: what the pages of a host share is template, the rest the text."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for host in range(3):
+        a, b, c, d = (f"x{rng.integers(1000, 9999)}q" for _ in range(4))
+        for i in range(8):
+            body = [" ".join(f"h{host}p{i}k{k}w{rng.integers(0, 99)}" for k in range(12)) for _ in range(rng.integers(1, 7))]
+            page = (f"<div class={a}><div>Home</div><div>All sections</div></div><div class={b}><div>{body[0]}</div>"
+                    + "".join(f"<div class={c}>{x}</div>" for x in body[1:]) + f"<div>Read more on this site</div></div><div class={d}>Imprint of host {host}</div>")
+            rows.append((host * 10 + i, f"http://h{host}.example/{i}", f"<html><body>{page}</body></html>"))
+            want[host * 10 + i] = "\n".join(body)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
