@@ -114,17 +114,25 @@ def split(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Counts as one byte each; larger ones follow as (index, value)."""
-    large = np.flatnonzero(values >= 255)
-    return (np.array([len(values)], np.int64).tobytes() + np.minimum(values, 255).astype(np.uint8).tobytes()
-            + np.stack([large, values[large]]).astype(np.int64).tobytes())
+    """Counts as two bits each; what 3 stands for follows as one byte each, larger ones as (index, value)."""
+    rest = values[values >= 3] - 3
+    large = np.flatnonzero(rest >= 255)
+    small = np.zeros(-(-len(values) // 4) * 4, np.uint8)
+    small[:len(values)] = np.minimum(values, 3)
+    bits = small[0::4] | small[1::4] << 2 | small[2::4] << 4 | small[3::4] << 6
+    return (np.array([len(values), len(rest)], np.int64).tobytes() + bits.tobytes() + np.minimum(rest, 255).astype(np.uint8).tobytes()
+            + np.stack([large, rest[large]]).astype(np.int64).tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
-    large, values = np.frombuffer(raw[8 + n:], np.int64).reshape(2, -1)
-    out[large] = values
+    n, more = np.frombuffer(raw, np.int64, 2).tolist()
+    bits = np.frombuffer(raw, np.uint8, -(-n // 4), 16)
+    out = np.stack([bits & 3, bits >> 2 & 3, bits >> 4 & 3, bits >> 6], axis=1).reshape(-1)[:n].astype(np.int64)
+    at = 16 + len(bits)
+    rest = np.frombuffer(raw, np.uint8, more, at).astype(np.int64)
+    large, values = np.frombuffer(raw[at + more:], np.int64).reshape(2, -1)
+    rest[large] = values
+    out[out == 3] += rest
     return out
 
 

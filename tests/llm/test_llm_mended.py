@@ -103,3 +103,12 @@ def test_wrapper_alone_finds_the_article_among_neutral_tags(spark):
             want[host * 10 + i] = "\n".join(body)
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+
+
+def test_counts_survive_packing():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 3, 4, 5, 999):
+        values = np.minimum(rng.zipf(1.3, n), 10**12) - rng.integers(0, 2, n)
+        assert np.array_equal(lm_score.unpack(lm_score.pack(values)), values)
+    edges = np.array([0, 1, 2, 3, 257, 258, 259, 1 << 40])
+    assert np.array_equal(lm_score.unpack(lm_score.pack(edges)), edges)
