@@ -3,8 +3,12 @@
 A k-mer of consecutive tokens is an anchor (a closed syncmer) when the smallest
 of its inner s-mers, by hash, lies at its first or last place.  Whether a k-mer
 is chosen depends on its own tokens alone, so an edit moves no anchor outside
-its reach.  Tokens are runs of other than white space, lower-cased, cut after
-``MAX_TOKEN`` characters (a text without spaces has anchors too).
+its reach.  Tokens of the lower-cased text are words between white space; a run
+of more than ``MAX_WORD`` characters, or with a letter of a script that writes
+no spaces, is read character by character (``SPACELESS``).
+
+A fingerprint holds all anchors in text order, and two fingerprints are compared
+by anchors and their places (:func:`likeness`).
 
 DataFrame functions only.  Nested ``transform`` calls bind intermediate arrays
 once; inlined, Spark would rebuild them for every element.
@@ -20,23 +24,29 @@ from pyspark.sql import functions as F
 
 from .common import MB, bind, small_side, stored, text_or_empty
 
-MAX_TOKEN = 32
+MAX_WORD = 32           # longer runs without white space are read character by character
+SPACE = r"\x20\x09-\x0D"
+SPACELESS = "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+#: A whole run that is a word, else one character.
+TOKEN = rf"(?<![^{SPACE}])[^{SPACE}{SPACELESS}]{{1,{MAX_WORD}}}+(?![^{SPACE}])|[^{SPACE}]"
+PLACE = (1 << 31) - 1   # places in a list of anchors are below this
 MAX_RANGES = 1 << 14    # ranges of the id order; beyond 128 GB of text the ranges grow instead
 
 
+def pairwise(values: Column, step: int, f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of every element and the one ``step`` places after it; the last ``step`` elements pair with null."""
+    return F.zip_with(values, F.slice(values, step + 1, F.greatest(F.size(values) - step, F.lit(0))), f)
+
+
 def anchors(text: Column, k: int, s: int) -> Column:
     """The closed syncmers of ``text`` in order, as 32-bit hashes.  Fewer than
     ``k`` tokens form a single anchor; no token, none."""
     w = k - s + 1
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([^\x20\x09-\x0D]{1,%d})" % MAX_TOKEN), F.lit(1))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
     def digest(c: Column) -> Column:
         return F.shiftright(F.xxhash64(c), 32).cast("int")
 
-    def pairwise(values: Column, step: int, f: Callable[[Column, Column], Column]) -> Column:
-        """``f`` of every element and the one ``step`` places after it; the last ``step`` elements pair with null."""
-        return F.zip_with(values, F.slice(values, step + 1, F.greatest(F.size(values) - step, F.lit(0))), f)
-
     def least_of_runs(inner: Column, body: Callable[[Column], Column]) -> Column:
         """``body`` of the least value of each run of ``w`` elements: runs double, the last two overlap."""
         def grow(least: Column, width: int) -> Column:
@@ -71,19 +81,45 @@ def anchors(text: Column, k: int, s: int) -> Column:
     return bind(F.transform(tokens, lambda t: F.xxhash64(t)), of_hashes)
 
 
-def fingerprint(marks: Column, sketch: int = 16) -> Column:
-    """Fixed-length text form: a hash of all anchors in order, then the
-    ``sketch`` smallest distinct anchors (8 hex digits each)."""
-    least = F.slice(F.array_sort(F.array_distinct(marks)), 1, sketch)
-    return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(marks)), 16, "0"), F.lit(":"),
-                            F.array_join(F.transform(least, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")))
+def fingerprint(marks: Column) -> Column:
+    """Text form of all anchors in order, 8 hex digits each; no anchor, the empty string."""
+    return F.lower(F.array_join(F.transform(marks, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
+
+
+def shifts(a: Column, b: Column, last: bool) -> Column:
+    """For every anchor in both lists its place in ``b`` less its place in ``a``;
+    of a repeated anchor the first place in each list or, if ``last``, the last.
+
+    Both lists are sorted as one by (anchor, list, place), ``a`` before ``b``; with
+    places descending on one side the two that meet are the first or the last."""
+    def packed(marks: Column, side: int, falling: bool) -> Column:
+        return F.transform(marks, lambda x, i: F.shiftleft(F.coalesce(x, F.lit(0)).cast("long"), 32) + F.lit(side << 31).cast("long")
+                           + (F.lit(PLACE) - i if falling else i))
+
+    def meeting(x: Column, y: Column) -> Column:
+        side = F.lit(1 << 31)
+        places = x.bitwiseAND(F.lit(PLACE)) + y.bitwiseAND(F.lit(PLACE)) - PLACE
+        return F.when((F.shiftright(x, 32) == F.shiftright(y, 32)) & (x.bitwiseAND(side) == 0) & (y.bitwiseAND(side) != 0), -places if last else places)
+
+    both = F.sort_array(F.concat(packed(a, 0, not last), packed(b, 1, last)))
+    return bind(both, lambda values: F.filter(pairwise(values, 1, meeting), lambda d: d.isNotNull()))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard index of two anchor sets; two empty sets are alike."""
-    return bind(F.array_distinct(a), lambda x: bind(F.array_distinct(b), lambda y: bind(
-        F.size(F.array_intersect(x, y)), lambda both: F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0))
-        .otherwise(both / (F.size(x) + F.size(y) - both)))))
+    """Jaccard index of the anchors of two lists that match by place; two empty lists are alike.
+
+    Half of each anchor in both lists is matched if its first places agree, half
+    if its last ones do: their shift differs from the middle shift by no more
+    than a quarter of the longer list.  A text with its halves exchanged, or
+    twice in a row, thus matches itself in part only."""
+    def of_shifts(moved: Column) -> Column:
+        middle = F.get(moved, F.floor(F.size(moved) / 2).cast("int"))
+        slack = F.greatest(F.size(a), F.size(b)) / 4
+        matched = bind(middle, lambda m: F.size(F.filter(moved, lambda d: F.abs(d - m) <= slack)))
+        return bind(F.coalesce(matched, F.lit(0)) / 2, lambda n: n / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - n))
+
+    return (F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
+            .otherwise(bind(F.sort_array(F.concat(shifts(a, b, False), shifts(a, b, True))), of_shifts)))
 
 
 def document_fingerprints(docs: DataFrame, k: int = 5, s: int = 2) -> DataFrame:

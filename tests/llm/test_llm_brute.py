@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -299,8 +300,16 @@ def hash_array(values, fmt="<q"):
     return h
 
 
+SPACELESS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+
+
+def brute_tokens(text):
+    return [t for run in re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+            for t in (run if len(run) > 32 or regex.search(f"[{SPACELESS}]", run) else [run])]
+
+
 def brute_anchors(text, k=5, s=2):
-    h = [as_signed(x64(t.encode())) for t in re.findall(r"[^\x20\x09-\x0D]{1,32}", text.lower())]
+    h = [as_signed(x64(t.encode())) for t in brute_tokens(text)]
     digest = lambda values: as_signed(as_signed(hash_array(values)) >> 32, 32)
     if len(h) < k:
         return [digest(h)] if h else []
@@ -309,15 +318,22 @@ def brute_anchors(text, k=5, s=2):
     return [digest(h[i:i + k]) for i in range(len(h) - k + 1) if min(inner[i:i + w]) in (inner[i], inner[i + w - 1])]
 
 
+def brute_likeness(a, b):
+    """From two lists of anchors, in quadratic time."""
+    both = set(a) & set(b)
+    moved = sorted([b.index(x) - a.index(x) for x in both]
+                   + [(len(b) - b[::-1].index(x)) - (len(a) - a[::-1].index(x)) for x in both])
+    if not a and not b:
+        return 1.0
+    n = sum(abs(d - moved[len(moved) // 2]) <= max(len(a), len(b)) / 4 for d in moved) / 2
+    return n / (len(set(a)) + len(set(b)) - n)
+
+
 def test_syncmers_against_brute_force(spark, sf_dir, texts):
     got = {r.doc_id: r for r in syncmer.edited_fingerprints(read(spark, sf_dir, "documents")).collect()}
 
     def mark(a):
-        return f"{hash_array(a, '<i'):016x}:" + "".join(f"{x & 0xffffffff:08x}" for x in sorted(set(a))[:16])
-
-    def jaccard(a, b):
-        a, b = set(a), set(b)
-        return len(a & b) / len(a | b) if a or b else 1.0
+        return "".join(f"{x & 0xffffffff:08x}" for x in a)
 
     assert len(got) == len(texts)
     for i, (d, t) in enumerate(texts):
@@ -326,7 +342,33 @@ def test_syncmers_against_brute_force(spark, sf_dir, texts):
         a, b, c, r = brute_anchors(t), brute_anchors(edited), brute_anchors(after), got[d]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (mark(a), mark(b))
-        assert r.near_edited == pytest.approx(jaccard(a, b)) and r.near_next == pytest.approx(jaccard(a, c))
+        assert r.near_edited == pytest.approx(brute_likeness(a, b)) and r.near_next == pytest.approx(brute_likeness(a, c))
+
+
+def test_syncmers_of_moved_repeated_and_spaceless_text(spark):
+    """The likeness is that of the fingerprints, judges places, and one character moves little in text without spaces."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 2000)]
+    han = "".join(chr(0x4E00 + i) for i in rng.integers(0, 4000, 2000))
+    code = "".join("abcdefghijklmnopqrstuvwxyz0123456789"[i] for i in rng.integers(0, 36, 2000))
+    lines = ["the same line again and again here"] * 50
+    text = " ".join(words)
+    pairs = [(text, text), (text, " ".join(words[1000:] + words[:1000])), (text, text + " " + text), (text, "one more " + text),
+             (text, " ".join(words[:900] + ["new"] * 100 + words[900:])), (han, "\u4e00" + han), (han, han[:1000] + "\u4e00" + han[1000:]),
+             (code, "x" + code), (code, code[:700] + "y" + code[700:]), (han, han[1000:] + han[:1000]), (text, han), ("", ""), ("", text),
+             ("short", "short"), ("short", "other"), (" ".join(lines), " ".join(lines)), ("word\u6f22\u5b57 more words stand here", "word\u6f22\u5b57 more words")]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i int, x string, y string").repartition(4)
+    marks = df.select("i", syncmer.anchors(F.col("x"), 5, 2).alias("a"), syncmer.anchors(F.col("y"), 5, 2).alias("b"))
+    got = {r.i: r for r in marks.select("*", syncmer.likeness(F.col("a"), F.col("b")).alias("near"), syncmer.fingerprint(F.col("a")).alias("held")).collect()}
+    for i, (x, y) in enumerate(pairs):
+        r = got[i]
+        assert (r.a, r.b) == (brute_anchors(x), brute_anchors(y))
+        held = [as_signed(int(r.held[j:j + 8], 16), 32) for j in range(0, len(r.held), 8)]
+        assert held == r.a and r.near == pytest.approx(brute_likeness(held, r.b))
+    near = [got[i].near for i in range(len(pairs))]
+    assert near[0] == near[11] == near[13] == near[15] == 1 and near[10] == near[12] == near[14] == 0
+    assert near[1] < 0.5 and near[2] < 0.6 and near[9] < 0.5
+    assert all(n > 0.9 for n in (near[3], near[5], near[6], near[7], near[8])) and near[4] > 0.8
 
 
 def test_secrets_planted_among_look_alikes(spark):
