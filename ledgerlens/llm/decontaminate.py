@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's terms over all documents give IDF.
-2. A randomised SVD of TF-IDF passages (every benchmark passage and a bounded
-   sample of document passages) gives a latent space: Spark sums A'(A Q) over
-   the passages' partitions, the driver orthogonalises the terms-by-rank result.
+1. One pass cuts all documents into passages and stores which of the benchmark's
+   terms each holds; document frequencies over all documents give IDF.
+2. A randomised SVD of TF-IDF passages (every benchmark passage and every passage
+   of every document) gives a latent space: Spark sums A'(A Q) over the passages'
+   partitions, the driver orthogonalises the terms-by-rank result.
 3. Every document is cut into overlapping windows of twice a passage's length
    class; a window whose latent vector is close to a passage's is a candidate.
 4. A candidate is confirmed by the longest common subsequence of the passage
@@ -70,20 +71,40 @@ def passages_of(rows: list, min_tokens: int) -> Passages:
     return Passages(items, out, short)
 
 
-def document_frequencies(texts: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
-    """Number of texts with each term, and number of texts."""
+def term_counts(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's term ids (-1: no term) in passages of ``WINDOW`` tokens: the distinct
+    terms of each passage, how often each occurs there, and how many each passage has."""
+    at = np.flatnonzero(ids >= 0)
+    keys, counts = np.unique(at // WINDOW * size + ids[at], return_counts=True)
+    return (keys % size).astype(np.int32), counts.astype(np.uint8), np.bincount(keys // size).astype(np.uint8)
+
+
+def passage_terms(texts: DataFrame, terms: list[bytes]) -> DataFrame:
+    """:func:`term_counts` of every text, one row each, stored."""
     known = {t: i for i, t in enumerate(terms)}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, n = Counter(), 0
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get, size = known.get, len(known)
         for batch in batches:
-            for text in batch["text"]:
-                seen.update(known.keys() & set(tokens_of(text)))
-                n += 1
-        yield pd.DataFrame({"term": [-1, *(known[t] for t in seen)], "n": [n, *seen.values()]})
+            out = [term_counts(np.array([get(t, -1) for t in tokens_of(text)], np.int64), size) for text in batch["text"]]
+            yield pd.DataFrame([[part.tobytes() for part in parts] for parts in out], columns=["ids", "counts", "sizes"])
 
-    sums = texts.mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(len(terms)), 0
+    return stored(texts.mapInPandas(cut, "ids binary, counts binary, sizes binary"), "decon-terms")
+
+
+def document_frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Number of texts with each term, and number of texts, from :func:`passage_terms`."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, n = np.zeros(size, np.int64), 0
+        for batch in batches:
+            n += len(batch)
+            for ids in batch["ids"]:
+                seen[np.unique(np.frombuffer(ids, np.int32))] += 1
+        used = np.flatnonzero(seen)
+        yield pd.DataFrame({"term": [-1, *used], "n": [n, *seen[used]]})
+
+    sums = rows.select("ids").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df, total = np.zeros(size), 0
     for r in sums:
         if r["term"] < 0:
             total = r["n"]
@@ -106,52 +127,72 @@ def term_weights(passages: Passages, terms: list[bytes], df: np.ndarray, total:
     return np.where(dropped, 0.0, idf)
 
 
-def latent_space(texts: DataFrame, passages: Passages, terms: list[bytes], idf: np.ndarray, total: int,
-                 rank: int, fit_texts: int, emphasis: float, rounds: int = 2, seed: int = 11) -> np.ndarray:
-    """Leading right singular vectors (terms by rank) of the TF-IDF passages, each
-    of length 1, a benchmark passage of length ``emphasis``."""
-    known = {t: i for i, t in enumerate(terms)}
+def tf_idf(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms and weights of the passages with two or more weighty terms, each of length 1, and
+    how many terms each has.  ``ids`` are -1 where a term is not the block's."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    own = ids >= 0
+    own[own] = idf[ids[own]] > 0
+    own[own] = (np.bincount(owner[own], minlength=len(sizes)) > 1)[owner[own]]
+    ids, owner = ids[own], owner[own]
+    weights = counts[own] * idf[ids]
+    lengths = np.sqrt(np.bincount(owner, weights ** 2, minlength=len(sizes)))
+    kept = np.bincount(owner, minlength=len(sizes))
+    return ids, weights / lengths[owner], kept[kept > 0]
+
+
+def add_gram(total: np.ndarray, q: np.ndarray, ids: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> None:
+    """``total += A'(A q)`` for the passages of :func:`tf_idf`, a few thousand terms at a time."""
+    ends = np.cumsum(sizes)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // 4096)) + 1), len(sizes)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if lo == hi:
+            continue
+        n, at = sizes[lo:hi], slice(ends[lo] - sizes[lo], ends[hi - 1])
+        term, w = ids[at], weights[at, None]
+        dots = np.add.reduceat(w * q[term], np.cumsum(n) - n, axis=0)
+        back = w * np.repeat(dots, n, axis=0)
+        order = np.argsort(term, kind="stable")
+        used, first = np.unique(term[order], return_index=True)
+        total[used] += np.add.reduceat(back[order], first, axis=0)
+
+
+def latent_space(rows: DataFrame, place: np.ndarray, passages: Passages, terms: list[bytes], idf: np.ndarray, total: int,
+                 rank: int, background: int, emphasis: float, rounds: int = 2, seed: int = 11) -> np.ndarray:
+    """Leading right singular vectors (terms by rank) of the TF-IDF passages of all
+    documents (``rows`` of :func:`passage_terms`, whose term ``i`` is this block's
+    ``place[i]`` or -1) and of the benchmark.
+
+    A benchmark passage has length ``emphasis``.  Every passage of every document is
+    summed; all have the one length at which the documents weigh together as
+    ``background`` texts of length 1 would, or 1 if there are fewer."""
     size = len(terms)
-
-    def rows_of(batches: Iterator[pd.DataFrame], weight: float = 1.0) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                ids = [known.get(t, -1) for t in tokens_of(text)]
-                for lo in range(0, max(1, len(ids)), WINDOW):
-                    tf = Counter(i for i in ids[lo:lo + WINDOW] if i >= 0 and idf[i] > 0)
-                    if len(tf) > 1:
-                        w = np.array([c * idf[i] for i, c in tf.items()])
-                        out.append((list(tf), (w * (weight / np.linalg.norm(w))).tolist()))
-            if out:
-                yield pd.DataFrame(out, columns=["ids", "weights"])
-
-    share = min(1.0, fit_texts / max(1, total))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    own = texts.sparkSession.createDataFrame([(b" ".join(p).decode("utf-8", "replace"),) for p in passages.tokens], "text string")
-    schema = "ids array<int>, weights array<double>"
-    matrix = stored(sample.mapInPandas(rows_of, schema).unionByName(
-        own.mapInPandas(lambda batches: rows_of(batches, emphasis), schema)), "decon-passages")
+    share = min(1.0, background / max(1, total))
+    at = {t: i for i, t in enumerate(terms)}
+    own = tf_idf(*map(np.concatenate, zip(*(term_counts(np.array([at[t] for t in p]), size) for p in passages.tokens))), idf)
 
     def gram(q: np.ndarray) -> np.ndarray:
-        """A'(A q), summed over the passages by Spark, term by term."""
+        """A'(A q), summed over the documents' passages by Spark, term by term."""
         width = q.shape[1]
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((size, width))
+            sums = np.zeros((size, width))
             for batch in batches:
-                for ids, w in zip(batch["ids"], batch["weights"]):
-                    ids, w = np.asarray(ids), np.asarray(w)
-                    total[ids] += w[:, None] * (w @ q[ids])
-            used = np.flatnonzero(np.abs(total).sum(axis=1))
+                for _, run in batch.groupby(batch["ids"].map(len).cumsum() // (4 * CHUNK)):
+                    ids, counts, sizes = (np.frombuffer(b"".join(run[c]), t) for c, t in
+                                          [("ids", np.int32), ("counts", np.uint8), ("sizes", np.uint8)])
+                    add_gram(sums, q, *tf_idf(place[ids], counts, sizes, idf))
+            used = np.flatnonzero(np.abs(sums).sum(axis=1))
             if len(used):
-                yield pd.DataFrame({"term": used.astype(np.int32), "x": total[used].tolist()})
+                yield pd.DataFrame({"term": used.astype(np.int32), "x": sums[used].tolist()})
 
-        sums = (matrix.mapInPandas(part, "term int, x array<double>").groupBy("term")
+        sums = (rows.mapInPandas(part, "term int, x array<double>").groupBy("term")
                 .agg(F.array(*[F.sum(F.col("x")[i]) for i in range(width)]).alias("x")).collect())
         out = np.zeros((size, width))
         for r in sums:
             out[r["term"]] = r["x"]
+        out *= share
+        add_gram(out, q, own[0], emphasis * own[1], own[2])
         return out
 
     width = min(size, rank + 8)
@@ -307,13 +348,14 @@ class Index:
                 group, held = [], 0
 
 
-def build_indexes(docs: DataFrame, benchmark: DataFrame, rank: int = 128, fit_texts: int = 4000, emphasis: float = 10.0,
+def build_indexes(docs: DataFrame, benchmark: DataFrame, rank: int = 128, background: int = 4000, emphasis: float = 10.0,
                   block_items: int = 500, min_tokens: int = 2, common: float = 0.05, cosine: float = 0.5, overlap: float = 0.7,
                   answer: float = 0.5, counted_blocks: int = 40) -> list[Index]:
     """An index for each block of the benchmark.  Items of fewer than
     ``min_tokens`` tokens identify nothing and are not searched, nor are items
     under five tokens that hold only terms of over ``common`` of the texts.
-    Document frequencies are counted for ``counted_blocks`` blocks in one pass."""
+    All documents are tokenised once for ``counted_blocks`` blocks; frequencies
+    and latent spaces are summed over all of them."""
     texts = docs.select(text_or_empty().alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     blocks = max(1, math.ceil(items.count() / block_items))
@@ -326,15 +368,18 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, rank: int = 128, fit_te
         every = sorted({t for passages in group for t in passages.terms})
         if not every:
             continue
-        counts, total = document_frequencies(texts, every)
-        place = {t: i for i, t in enumerate(every)}
+        term_rows = passage_terms(texts, every)
+        counts, total = document_frequencies(term_rows, len(every))
+        at = {t: i for i, t in enumerate(every)}
         for passages in group:
             terms = passages.terms
             if not terms:
                 continue
-            df = counts[[place[t] for t in terms]]
+            own = [at[t] for t in terms]
+            df, place = counts[own], np.full(len(every), -1)
+            place[own] = np.arange(len(terms))
             idf = term_weights(passages, terms, df, total, common)
-            space = (latent_space(texts, passages, terms, idf, total, min(rank, len(terms)), fit_texts, emphasis)
+            space = (latent_space(term_rows, place, passages, terms, idf, total, min(rank, len(terms)), background, emphasis)
                      if passages.tokens else np.zeros((len(terms), 1)))
             out.append(Index(passages, terms, idf, space, cosine, overlap, answer, df > common * max(1, total)))
     return out
