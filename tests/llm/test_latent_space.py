@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ledgerlens.llm import decontaminate
 
 
@@ -64,3 +65,19 @@ def test_every_block_is_fitted(spark, corpus):
         assert set(at) == {w for p in index.passages.tokens for w in p}
         want = brute_space([t for _, t in docs], index, rank=4)
         assert np.allclose(index.vectors @ index.vectors.T, want, atol=1e-4 * np.abs(want).max())
+
+
+def test_the_pipeline_stage_fits_every_document(spark, corpus, scratch, monkeypatch):
+    """More terms than the rank, so the space is a choice; the documents with a passage go, null and empty ones stay."""
+    docs, _ = corpus
+    items = [(i, t) for i, t in docs if len((t or "").split()) >= 150][:20]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{scratch}/benchmark.parquet")
+    made, build = [], decontaminate.build_indexes
+    monkeypatch.setattr(decontaminate, "build_indexes", lambda *a, **k: made.extend(build(*a, **k)) or made)
+    kept = {r.doc_id for r in corpus_pipeline.benchmark_decontamination(
+        spark, spark.createDataFrame(docs, "doc_id long, text string"), scratch).collect()}
+    (index,) = made
+    assert len(index.terms) > 136
+    want = brute_space([t for _, t in docs], index)
+    assert np.allclose(index.vectors @ index.vectors.T, want, atol=1e-4 * np.abs(want).max())
+    assert not kept & {i for i, _ in items} and {i for i, t in docs if not t} <= kept
