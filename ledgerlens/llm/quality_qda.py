@@ -3,8 +3,9 @@
 Every text becomes a short vector of transformed statistics.  Each class gets a
 Gaussian whose covariance is shrunk towards the pooled diagonal; the score is a
 logistic function of the Mahalanobis log-density difference, computed with one
-Cholesky factor per class that is cached in the model.  The class moments are
-plain Spark sums over all training rows; only the moments reach the driver.
+Cholesky factor per class that is cached in the model.  The class moments and
+every step of the logistic fit are plain Spark sums over all training rows; only
+the sums reach the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, labelled_sample, small_side, stored, text_or_empty
+from .common import fold_of, labelled_rows, labelled_sample, small_side, stored, text_or_empty
 
 SYMBOLS = b"*&%$#|!@^~<>{}[]=+\\_/"
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -96,10 +97,9 @@ class QuadraticModel:
         return 1.0 / (1.0 + np.exp(-np.clip(self.scale * self.log_ratio(x) + self.offset, -700, 700)))
 
 
-def fit(features: DataFrame, training: DataFrame, shrinkage: float = 0.2, calibration_rows: int = 20_000) -> QuadraticModel:
-    """Class moments over every training row (``doc_id, label``) with features;
-    the logistic map is fitted on at most about ``calibration_rows`` of them."""
-    rows = stored(features.join(training, "doc_id").select("x", "label", "doc_id"), "quality-train")
+def fit(features: DataFrame, training: DataFrame, shrinkage: float = 0.2) -> QuadraticModel:
+    """Class moments and logistic map over every training row (``doc_id, label``) with features."""
+    rows = stored(features.join(training, "doc_id").select("x", "label"), "quality-train")
     x = [F.col("x")[i] for i in range(SIZE)]
     sums = [F.sum(v) for v in x] + [F.sum(x[i] * x[j]) for i in range(SIZE) for j in range(i + 1)]
     moments = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.array(*sums).alias("s")).collect()}
@@ -119,23 +119,32 @@ def fit(features: DataFrame, training: DataFrame, shrinkage: float = 0.2, calibr
     factors = np.array([np.linalg.cholesky(c) for c in covs])
     log_dets = np.array([2 * np.log(np.diag(f)).sum() for f in factors])
     model = QuadraticModel(np.array(means), factors, log_dets, 1.0, 0.0)
-    total = sum(counts)
-    share = min(1.0, calibration_rows / total)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("x", "label").collect()
-    model.scale, model.offset = logistic(model.log_ratio(np.array([r["x"] for r in sample])),
-                                         np.array([r["label"] for r in sample], float))
+
+    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.array(batch["x"].tolist(), float).reshape(len(batch), SIZE)
+            yield pd.DataFrame({"z": model.log_ratio(x), "y": batch["label"].astype(float)})
+
+    model.scale, model.offset = logistic(stored(rows.mapInPandas(ratios, "z double, y double"), "quality-ratios"), sum(counts))
     return model
 
 
-def logistic(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a ridge-regularised one-variable logistic fit."""
-    width = max(1.0, float(np.median(np.abs(z))))
-    t = np.stack([np.clip(z / width, -30, 30), np.ones(len(z))], axis=1)
+def logistic(rows: DataFrame, n: int, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a ridge-regularised one-variable logistic fit over all
+    ``n`` rows (``z, y``).  Slopes and curvatures are Spark sums, one pass a step;
+    the median of ``|z|``, exact up to a million rows, only sets the unit."""
+    places = [((n + 1) // 2 - 0.5) / n, (n // 2 + 0.5) / n]
+    width = max(1.0, float(np.mean(rows.agg(F.percentile_approx(F.abs("z"), places, 1_000_000)).first()[0])))
+    clip = lambda x: F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))
+    t = clip(F.col("z") / width)
     w = np.array([1.0, 0.0])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(t @ w, -30, 30)))
-        g = t.T @ (p - y) + 1e-2 * w
-        h = (t * (p * (1 - p))[:, None]).T @ t + 1e-2 * np.eye(2)
+        p = 1 / (1 + F.exp(-clip(t * float(w[0]) + float(w[1]))))
+        at = rows.select(t.alias("t"), (p - F.col("y")).alias("r"), (p * (1 - p)).alias("v"))
+        s = at.agg(*map(F.sum, [F.col("t") * F.col("r"), F.col("r"), F.col("t") * F.col("t") * F.col("v"),
+                                F.col("t") * F.col("v"), F.col("v")])).first()
+        g = np.array(s[:2]) + 1e-2 * w
+        h = np.array([[s[2], s[3]], [s[3], s[4]]]) + 1e-2 * np.eye(2)
         step = np.linalg.solve(h, g)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
@@ -169,8 +178,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_ou
 def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows the classifier rejects.  A row is scored by its
     own text, so rows that repeat an id are judged one by one."""
-    training, _ = labelled_sample(labels, "quality", modulus, held_out, 1_000_000_000)
-    training = stored(training, "quality-labels")
+    training = stored(labelled_rows(labels, "quality", modulus, held_out), "quality-labels")
     learn = docs.join(small_side(training), "doc_id", "left_semi")
     model = fit(document_statistics(learn), training)
 
